@@ -37,10 +37,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a re-read of the table, not a rerun of the job."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    del df  # else its shuffle files count as used
     release(spark)
-    return out
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
