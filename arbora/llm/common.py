@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on at a time; a longer text is a step of its own.
 CHUNK_BYTES = 4 << 20
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -37,17 +38,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a re-read of the table, not a rerun of the job."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df  # else its shuffle files count as used
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of finished jobs now, not at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Within, Spark removes the shuffle files of each query as soon as it has ended.
+
+    For writes only, after which nothing asks for those files; else they stay until the driver
+    happens to collect its garbage, and the disk holds all steps' files at once."""
+    old = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, old) if old else spark.conf.unset(_FREE)
 
 
 def width(spark: SparkSession) -> int:
