@@ -52,3 +52,75 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+SQL["op2_quality_rules"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {WORDS} AS w,
+    string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
+repeated AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM rep) GROUP BY r),
+line AS (
+  SELECT r, host, text, trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
+  FROM (SELECT r, host, text, unnest(lines) AS x FROM d)),
+freq AS (
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM line WHERE norm <> '' GROUP BY ALL)
+  JOIN (SELECT host, count(DISTINCT text) AS all_n FROM d GROUP BY host) USING (host) WHERE n >= 10 AND n * 100 > all_n * 2),
+gone AS (SELECT r, count(*) AS removed_lines, sum(len(string_split(norm, ' '))) AS removed_words FROM line JOIN freq USING (host, norm) GROUP BY r),
+base AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_lines, 0)::BIGINT AS removed_lines, coalesce(removed_words, 0)::BIGINT AS removed_words
+  FROM d LEFT JOIN repeated USING (r) LEFT JOIN gone USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  removed_lines, removed_words,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - removed_words) >= 30 * n_words AS kept
+FROM base"""
+
+
+def _urls() -> str:
+    from .urls import MAX_DEPTH, MIN_SHARE, MIN_SUPPORT, REJECT, RULES, Z2, A
+
+    rules = ", ".join(f"('{r}', '{v}')" for r, v in RULES)
+    sql = rf"""
+WITH rest AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS x FROM pages),
+p AS (
+  SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(coalesce(x, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(x, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(rule, v) AS (VALUES {rules}),
+parts AS (SELECT rule, v, regexp_extract(rule, '^([^/]*)', 1) AS rh, regexp_extract(rule, '^[^/]*(.*)$', 1) AS rp FROM rules),
+fit AS (
+  SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM p JOIN parts
+  ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r),
+ruled AS (SELECT p.*, rule, v FROM p LEFT JOIN fit USING (r)),
+t0 AS (
+  SELECT host, path, count(*) AS n, count(rule) AS lab, count(*) FILTER (v = 'block') AS blk,
+    list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, '' AS template FROM ruled GROUP BY host, path)"""
+    for d in range(MAX_DEPTH):
+        sql += rf""",
+s{d} AS (SELECT host, template, segs[{d + 1}] AS seg, sum(n) AS n, sum(lab) AS lab, sum(blk) AS blk FROM t{d} WHERE len(segs) > {d} GROUP BY ALL),
+l{d} AS (SELECT *, n >= {MIN_SUPPORT} AND n * 100 >= sum(n) OVER (PARTITION BY host, template) * {MIN_SHARE} AS literal FROM s{d}),
+m{d} AS (
+  SELECT *, sum(lab) FILTER (literal) OVER (PARTITION BY host, template) AS l, sum(blk) FILTER (literal) OVER (PARTITION BY host, template) AS b FROM l{d}),
+k{d} AS (
+  SELECT host, template, seg, template || '/' || CASE WHEN NOT literal THEN '*'
+    WHEN (blk * l - lab * b)::DOUBLE * (blk * l - lab * b) <= {Z2}::DOUBLE * lab * b * (l - b) THEN '~' ELSE seg END AS next FROM m{d}),
+t{d + 1} AS (
+  SELECT t.host, t.path, t.n, t.lab, t.blk, t.segs, coalesce(k.next, t.template) AS template
+  FROM t{d} t LEFT JOIN k{d} k ON k.host = t.host AND k.template = t.template AND k.seg = t.segs[{d + 1}])"""
+    t = f"t{MAX_DEPTH}"
+    return sql + rf""",
+prior AS (SELECT coalesce(sum(blk)::DOUBLE / nullif(sum(lab), 0), 0) AS prior FROM {t}),
+bad AS (SELECT host, template, (sum(blk) + {A} * any_value(prior)) / (sum(lab) + {A}) >= {REJECT} AS rejected FROM {t}, prior GROUP BY host, template)
+SELECT page_id, ruled.host, ruled.path, rule, coalesce(v, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM ruled JOIN {t} t ON ruled.host = t.host AND ruled.path = t.path JOIN bad USING (host, template)""".replace("JOIN bad USING (host, template)", "JOIN bad ON bad.host = t.host AND bad.template = t.template").replace("verdict, template\n", "verdict, t.template\n")
+
+
+SQL["op5_url_filters"] = _urls()
+
+SQL["op4_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS least FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to FROM q"""
