@@ -4,16 +4,21 @@ A document's set: the distinct 5-word shingles of its words (`[^\x20\x09-\x0D]+`
 a shorter text is one shingle; a text without words has the empty set. Two documents are linked when
 100 * |intersection| >= 75 * |union|.
 
-1. sign      128 minima of each set under 128 hash functions. 32 bands of 4 whole minima make bucket
-             keys; of each minimum the low 2 bits are kept, packed into 4 longs.
+1. sign      256 minima of each set under 256 hash functions. The first 128, whole, make the keys of
+             32 bands of 4; of each minimum the low 2 bits are kept, packed into 8 longs.
 2. collapse  documents with equal sets are one class, named by its smallest doc_id.
-3. star      in each bucket, every class is a candidate with the smallest class of that bucket.
-4. estimate  matching 2-bit cells m of 128 give J ~ (m/128 - 1/4) / (3/4); candidates whose estimate is
-             six standard deviations under 0.75 go.
+3. stars     in each bucket, every class is a candidate with the bucket's pivot: the class that shares
+             most buckets (an original shares more than its changed copies do). A second round takes
+             the next pivots, only where a bucket is not connected yet.
+4. estimate  m matching 2-bit cells of 256 give J ~ (m/256 - 1/4) / (3/4); candidates whose estimate is
+             five and a half standard deviations under 0.75 go.
 5. confirm   the rest are compared on their full shingle sets.
-6. the rest  classes that share a bucket but are not yet connected are candidates too, all of them,
-             estimated and confirmed the same way. So a bucket of n connected classes costs n
-             comparisons and not n * n, and no bucketed pair whose link would matter is left out.
+6. the rest  classes of buckets that are still not connected are joined by prefix: with shingles in
+             order of their number of classes, two sets of similarity 0.75 share one of the rarest
+             n - ceil(0.75 n) + 1 of each. Pairs of different components that do, and whose shingles from
+             there on are enough, are candidates, estimated and confirmed the same way. So texts that only share common
+             lines meet nowhere, connected ones don't meet again, and no link between two components is
+             left out.
 7. components of the confirmed links.
 
 A pair at similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 = 5e-6.
@@ -29,6 +34,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -37,10 +43,11 @@ from .graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-PERMS = BANDS * ROWS
+PERMS = 256
+STARS = 2
 LAST = 2**63 - 1
-#: 0.75 less six standard deviations of the estimate (0.046 at 128 cells of 2 bits), in matching cells of 128.
-LEAST_MATCHES = int(PERMS * (0.25 + 0.75 * (0.75 - 6 * 0.046)))
+#: 0.75 less 5.5 standard deviations of the estimate (0.0325 at 256 cells of 2 bits), in matching cells.
+LEAST_MATCHES = int(PERMS * (0.25 + 0.75 * (0.75 - 5.5 * 0.0325)))
 
 _rng = np.random.default_rng(8)
 _A = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) | np.uint64(1)
@@ -78,8 +85,8 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def pack(m: np.ndarray) -> np.ndarray:
-    """Low 2 bits of 128 minima in 4 longs. The minima's own low bits are not mixed well, so mix first."""
-    cells = (tv.mix(m) & np.uint64(3)).reshape(4, 32)
+    """Low 2 bits of the minima, 32 to a long. The minima's own low bits are not mixed well, so mix first."""
+    cells = (tv.mix(m) & np.uint64(3)).reshape(-1, 32)
     return (cells << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64)
 
 
@@ -93,7 +100,7 @@ def _sign(batches):
             if len(x):
                 m = minima(x)
                 sigs.append(pack(m).view(np.int64))
-                bands.append(tv.mix((m.reshape(BANDS, ROWS) * _M).sum(axis=1, dtype=np.uint64)).view(np.int64))
+                bands.append(tv.mix((m[: BANDS * ROWS].reshape(BANDS, ROWS) * _M).sum(axis=1, dtype=np.uint64)).view(np.int64))
             else:
                 sigs.append([])
                 bands.append([])
@@ -145,8 +152,37 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     return materialize(p.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "u long, v long").distinct(), "op8-links")
 
 
+def _shingles(batches):
+    for b in batches:
+        sets = shingle_sets(utf8(b.column("text")))
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        node, comp = (np.repeat(b.column(c).to_numpy(), n) for c in ("node", "component"))
+        every = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(comp), pa.array(np.repeat(n, n)), pa.array(every)], names=["node", "component", "n", "shingle"])
+
+
+def _by_prefix(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among left (node, component, row) that share a prefix shingle."""
+    texts = docs.select(row_key().alias("row"), "text").join(left, "row").dropDuplicates(["node", "row"])
+    every = materialize(texts.select("node", "component", "text").mapInArrow(_shingles, "node long, component long, n long, shingle long"), "op8-shingles")
+    common = every.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
+    shared = every.join(common, "shingle")
+    # those that no other class has come first in the order, but can't be shared
+    alone = F.col("n") - F.count("*").over(W.partitionBy("node"))
+    place = F.row_number().over(W.partitionBy("node").orderBy("classes", "shingle"))
+    prefix = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1
+    head = materialize(shared.select("node", "component", "n", "shingle", (place + alone).alias("place"), prefix.alias("prefix")).where("place <= prefix").drop("prefix"), "op8-prefixes")
+    mixed = head.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
+    head = head.join(mixed, "shingle")
+    a, b = (head.select("shingle", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}"), (F.col("n") - F.col("place") + 1).alias(f"rest{k}")) for k in "ab")
+    # from the first common shingle on, the sets can share no more than the smaller rest; 0.75 takes 3/7 of both sizes
+    fits = (F.col("ca") < F.col("cb")) & (7 * F.least("resta", "restb") >= 3 * (F.col("na") + F.col("nb")))
+    return a.join(b, "shingle").where(fits).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), row_key().alias("row"), "text")
     signed = materialize(rows.mapInArrow(_sign, _SIGNED), "op8-signed")
     names = signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"))
@@ -155,20 +191,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(classes.dropDuplicates(["node", "row"]), "op8-classes")
 
     in_bucket = classes.select(F.explode("bands").alias("bucket"), "node")
-    shared = in_bucket.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = materialize(in_bucket.join(shared.select("bucket", "least"), "bucket"), "op8-members")
-    star = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = _confirmed(star, classes, docs)
-
-    comp = materialize(components(links), "op8-components")
-    placed = members.select("bucket", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialize(placed, "op8-placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    left = materialize(placed.join(mixed, "bucket").join(classes.select("node", "sig"), "node"), "op8-mixed")
-    a, b = (left.select("bucket", F.col("node").alias(n), F.col("component").alias(f"c{n}"), F.col("sig").alias(f"s{n}")) for n in "ab")
-    rest = a.join(b, "bucket").where((F.col("ca") < F.col("cb")) & (matches(F.col("sa"), F.col("sb")) >= LEAST_MATCHES))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _confirmed(rest, classes, docs)
+    shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y")
+    members = materialize(in_bucket.join(shared.select("bucket", "size"), "bucket"), "op8-members")
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = materialize(members.select("bucket", "node").join(weight, "node").select("bucket", F.struct("weight", "node").alias("rank")), "op8-ranked")
+
+    comp = links = spark.createDataFrame([], "u long, v long")
+    comp = comp.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    last = None  # pivots of the round before
+    for _ in range(STARS):
+        open_ = members if last is None else members.join(last, "bucket").where("rank < pivot").drop("pivot")
+        last = open_.groupBy("bucket").agg(F.max("rank").alias("pivot"))
+        star = members.join(last, "bucket").where("rank <> pivot").select(F.col("pivot.node").alias("a"), F.col("rank.node").alias("b")).distinct()
+        star = star.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        star = star.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        links = materialize(links.unionByName(_confirmed(star, classes, docs)), "op8-links")
+        comp = materialize(components(links), "op8-components")
+        placed = members.select("bucket", "rank", F.col("rank.node").alias("node")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+        members = materialize(placed.join(mixed, "bucket").select("bucket", "rank"), "op8-members")
+        last = materialize(last.join(mixed, "bucket"), "op8-pivots")
+
+    left = members.select(F.col("rank.node").alias("node")).distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = _confirmed(_by_prefix(left.join(classes.select("node", "row"), "node"), docs), classes, docs)
     if not more.isEmpty():
         comp = materialize(components(links.unionByName(more)), "op8-components")
 

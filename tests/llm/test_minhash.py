@@ -84,5 +84,5 @@ def test_signature_estimate():
     a, b = np.sort(x[:3000]), np.sort(x[1000:])  # similarity 0.5
     pa_, pb = minhash.pack(minhash.minima(a)), minhash.pack(minhash.minima(b))
     d = pa_ ^ pb
-    m = 128 - sum(bin(int((v | v >> np.uint64(1)) & np.uint64(0x5555555555555555))).count("1") for v in d)
-    assert abs((m / 128 - 0.25) / 0.75 - 0.5) < 0.2
+    m = 256 - sum(bin(int((v | v >> np.uint64(1)) & np.uint64(0x5555555555555555))).count("1") for v in d)
+    assert abs((m / 256 - 0.25) / 0.75 - 0.5) < 0.2
