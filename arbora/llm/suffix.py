@@ -30,12 +30,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import chunks, int64, materialize, row_key, scratch_path, utf8, width
+from .packed import by_bucket, joined, new_run, runs
 
 LENGTH = 200
 GRAM = 24
@@ -46,11 +48,12 @@ BITS = (STARTS + 7) // 8
 MEMORY_BYTES = 96 << 20
 _BLOCK = 1 << 20
 
-_SENT = "bucket int, grams binary, contexts binary, rows binary, places binary, many binary, row long, kind int, whole binary, asked binary"
-_SENT_COLS = ("grams", "contexts", "rows", "places", "many")
-_OUT = "row long, kind int, whole binary, asked binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in _SENT_COLS] + [("row", pa.int64()), ("kind", pa.int32()), ("whole", pa.binary()), ("asked", pa.binary())])
-_OUT_ARROW = pa.schema([("row", pa.int64()), ("kind", pa.int32()), ("whole", pa.binary()), ("asked", pa.binary())])
+_ENTRY = ("grams", "contexts", "rows", "places", "many")
+_MET = ("whole_rows", "whole", "asked_rows", "asked")
+_SENT = "met boolean, bucket int, " + ", ".join(f"{c} binary" for c in (*_ENTRY, *_MET))
+_SENT_ARROW = pa.schema([("met", pa.bool_()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in (*_ENTRY, *_MET)])
+_OUT = "bucket int, " + ", ".join(f"{c} binary" for c in _MET)
+_OUT_ARROW = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in _MET])
 _ASKED = np.dtype([("place", "<i4"), ("many", "?"), ("gram", "<u8")])
 
 
@@ -98,22 +101,12 @@ def contexts_of(texts: list[bytes]):
     return text, at - first[text], tv.mix(grams[at]), tv.mix((c[hi] - c[lo]) * q[lo] + tv.mix(shape + np.uint64(1)))
 
 
-def _new(*keys: np.ndarray) -> np.ndarray:
-    out = np.ones(len(keys[0]), bool)
-    if len(out) > 1:
-        out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return out
-
-
-def _by_row(kind: int, row: np.ndarray, what: np.ndarray) -> pa.RecordBatch:
-    """One result row per document row; what: places (kind 0) or requests (kind 1)."""
-    o = np.argsort(row, kind="stable")
-    row, what = row[o], what[o]
-    at = np.flatnonzero(_new(row)) if len(row) else np.empty(0, np.int64)
-    blobs = [x.tobytes() for x in np.split(what, at[1:])] if len(at) else []
-    none = pa.nulls(len(at), pa.binary())
-    cols = [pa.array(row[at]), pa.array(np.full(len(at), kind, np.int32)), *((pa.array(blobs, pa.binary()), none) if kind == 0 else (none, pa.array(blobs, pa.binary())))]
-    return pa.RecordBatch.from_arrays(cols, schema=_OUT_ARROW)
+def _by_row(buckets: int, row: np.ndarray, what: np.ndarray, asked: bool) -> pa.RecordBatch:
+    """Places of whole contexts, or requests, packed by document row."""
+    bucket, blobs = by_bucket((row.view(np.uint64) % np.uint64(buckets)).astype(np.int32), row, what)
+    none = [pa.nulls(len(bucket), pa.binary())] * 2
+    cols = [pa.array(x, pa.binary()) for x in blobs]
+    return pa.RecordBatch.from_arrays([pa.array(bucket), *(none + cols if asked else cols + none)], schema=_OUT_ARROW)
 
 
 def _anchors(buckets: int):
@@ -125,50 +118,62 @@ def _anchors(buckets: int):
                 row, place = rows[s:e][text], place.astype(np.int32)
                 o = np.lexsort((context, gram))
                 gram, context, row, place = gram[o], context[o], row[o], place[o]
-                new = _new(gram, context)
+                new = new_run(gram, context)
                 group = np.cumsum(new) - 1
                 many = (np.bincount(group) > 1)[group] if len(group) else np.empty(0, bool)
-                settled = _by_row(0, row[many], place[many])
-                spread = (settled.column("row").to_numpy() % buckets).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(spread), *[pa.nulls(len(settled), pa.binary())] * 5, *settled.columns], schema=_SENT_ARROW)
-                bucket = (gram[new] >> np.uint64(33)) % np.uint64(buckets)
-                o = np.argsort(bucket, kind="stable")
-                bucket = bucket[o]
-                at = np.flatnonzero(_new(bucket)) if len(bucket) else np.empty(0, np.int64)
-                cols = [[x.tobytes() for x in np.split(v[new][o], at[1:])] if len(at) else [] for v in (gram, context, row, place, many)]
-                k = len(at)
-                none = [pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), *(pa.array(x, pa.binary()) for x in cols), *none], schema=_SENT_ARROW)
+                settled = _by_row(buckets, row[many], place[many], False)
+                n = len(settled)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), settled.column("bucket"), *[pa.nulls(n, pa.binary())] * len(_ENTRY), *settled.columns[1:]], schema=_SENT_ARROW)
+                bucket = ((gram[new] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+                bucket, blobs = by_bucket(bucket, *(x[new] for x in (gram, context, row, place, many)))
+                n = len(bucket)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), pa.array(bucket), *(pa.array(x, pa.binary()) for x in blobs), *[pa.nulls(n, pa.binary())] * len(_MET)], schema=_SENT_ARROW)
 
     return run
 
 
-def _meet(batches):
-    parts: list[list[bytes]] = [[] for _ in _SENT_COLS]
-    for b in batches:
-        for p, c in zip(parts, _SENT_COLS):
-            p += b.column(c).drop_null().to_pylist()
-        settled = b.select(["row", "kind", "whole", "asked"]).filter(b.column("row").is_valid())
-        if len(settled):
-            yield settled
-    gram, context, row, place, many = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, (np.uint64, np.uint64, np.int64, np.int32, bool)))
-    parts.clear()
-    if not len(gram):
-        return
-    o = np.lexsort((context, gram))
-    gram, context, row, place, many = gram[o], context[o], row[o], place[o], many[o]
-    new, first = _new(gram, context), _new(gram)
-    string = np.cumsum(new) - 1
-    found = np.bincount(string, weights=many * 2 + ~many) > 1
-    twice = found[string] & ~many
-    if twice.any():
-        yield _by_row(0, row[twice], place[twice])
-    strings = np.bincount(np.cumsum(first) - 1, weights=new)[np.cumsum(first) - 1]
-    ask = new & (strings > 1)
-    if ask.any():
-        what = np.zeros(int(ask.sum()), _ASKED)
-        what["place"], what["many"], what["gram"] = place[ask], found[string][ask], gram[ask]
-        yield _by_row(1, row[ask], what)
+def _meet(buckets: int):
+    def run(batches):
+        entries = []
+        for b in batches:
+            met = b.filter(b.column("met")).select(["bucket", *_MET])
+            if len(met):
+                yield met
+            entries.append(b.filter(pc.invert(b.column("met"))))
+        gram, context, row, place, many = joined(entries, _ENTRY, (np.uint64, np.uint64, np.int64, np.int32, bool))
+        entries.clear()
+        if not len(gram):
+            return
+        o = np.lexsort((context, gram))
+        gram, context, row, place, many = gram[o], context[o], row[o], place[o], many[o]
+        new, first = new_run(gram, context), new_run(gram)
+        string, group = np.cumsum(new) - 1, np.cumsum(first) - 1
+        found = (np.bincount(string, weights=1 + many) > 1)[string]
+        twice = found & ~many
+        if twice.any():
+            yield _by_row(buckets, row[twice], place[twice], False)
+        ask = new & (np.bincount(group, weights=new)[group] > 1)
+        if ask.any():
+            what = np.zeros(int(ask.sum()), _ASKED)
+            what["place"], what["many"], what["gram"] = place[ask], found[ask], gram[ask]
+            yield _by_row(buckets, row[ask], what, True)
+
+    return run
+
+
+def _gather(batches):
+    """Whole contexts and requests of each document row, in one row."""
+    row, whole, ask_row, asked = joined(batches, _MET, (np.int64, np.int32, np.int64, _ASKED))
+    out: dict[int, list] = {}
+    for k, (r, what) in enumerate(((row, whole), (ask_row, asked))):
+        o = np.argsort(r, kind="stable")
+        key, (blobs,) = runs(r[o], what[o])
+        for x, y in zip(key.tolist(), blobs):
+            out.setdefault(x, [None, None])[k] = y
+    rows = list(out)
+    for s in range(0, len(rows), 10_000):
+        k = rows[s : s + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array([out[x][i] for x in k], pa.binary()) for i in (0, 1))], names=["row", "whole", "asked"])
 
 
 def _contexts(batches):
@@ -177,7 +182,7 @@ def _contexts(batches):
         out: list[list] = [[] for _ in range(6)]
         for row, text, asked in zip(rows, utf8(b.column("text")), b.column("asked").to_pylist()):
             seen = set()
-            for place, many, gram in np.frombuffer(b"".join(asked), _ASKED).tolist():
+            for place, many, gram in np.frombuffer(asked, _ASKED).tolist():
                 if place in seen:
                     continue
                 seen.add(place)
@@ -307,20 +312,22 @@ def _repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = width(spark)
     rows = docs.select("text", row_key().alias("row"))
-    met = materialize(rows.mapInArrow(_anchors(n), _SENT).repartition(n, "bucket").mapInArrow(_meet, _OUT), "op3-met")
-    asked = met.where("kind = 1").groupBy("row").agg(F.collect_list("asked").alias("asked"))
+    met = rows.mapInArrow(_anchors(n), _SENT).repartition(n, "bucket").mapInArrow(_meet(n), _OUT)
+    met = materialize(met.repartition(n, "bucket").mapInArrow(_gather, "row long, whole binary, asked binary"), "op3-met")
+    asked = met.where("asked is not null").select("row", "asked")
     found = rows.join(asked, "row").select("row", "text", "asked").mapInArrow(_contexts, "gram long, row long, place int, left int, many boolean, context binary")
-    parts = materialize(found.repartition(n, "gram").mapInArrow(_order(scratch_path(spark, "op3-columns")), "row long, place int, bits binary"), "op3-parts")
-    parts = parts.select("row", F.lit(None).cast("binary").alias("whole"), F.struct("place", "bits").alias("part"))
-    whole = met.where("kind = 0").select("row", "whole", F.lit(None).cast("struct<place:int,bits:binary>").alias("part"))
-    return materialize(whole.unionByName(parts).groupBy("row").agg(F.collect_list("whole").alias("whole"), F.collect_list("part").alias("parts")), "op3-repeats")
+    order = _order(scratch_path(spark, "op3-columns"))
+    parts = materialize(found.repartition(n, "gram").mapInArrow(order, "row long, place int, bits binary"), "op3-parts")
+    parts = parts.groupBy("row").agg(F.collect_list(F.struct("place", "bits")).alias("parts"))
+    whole = met.where("whole is not null").select("row", "whole")
+    return materialize(whole.join(parts, "row", "full"), "op3-repeats")
 
 
-def removed_bytes(size: int, whole: list[bytes], parts: list[dict]) -> np.ndarray:
+def removed_bytes(size: int, whole: bytes | None, parts: list[dict]) -> np.ndarray:
     """Which bytes of a text lie under repeated windows."""
     starts = []
     if whole:
-        p = np.frombuffer(b"".join(whole), np.int32).astype(np.int64)
+        p = np.frombuffer(whole, np.int32).astype(np.int64)
         lo, hi = np.maximum(p - SPAN, 0), np.minimum(p + LENGTH, size)
         edge = np.bincount(lo, minlength=size + 1) - np.bincount(hi, minlength=size + 1)
         covered = np.cumsum(edge[:size]) > 0
@@ -339,7 +346,7 @@ def _apply(with_text: bool):
         for b in batches:
             out: list[list] = [[] for _ in range(4)]
             for text, whole, parts in zip(utf8(b.column("text")), b.column("whole").to_pylist(), b.column("parts").to_pylist()):
-                gone = removed_bytes(len(text), whole or [], parts or []) if whole or parts else np.zeros(len(text), bool)
+                gone = removed_bytes(len(text), whole, parts or []) if whole or parts else np.zeros(len(text), bool)
                 rest = np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text
                 spans = int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=np.int8(0)) == 1))
                 for col, v in zip(out, (len(text), len(text) - len(rest), spans, rest.decode("utf-8", "replace") if with_text else hashlib.sha256(rest).hexdigest())):
