@@ -33,36 +33,25 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import chunks, int64, materialize, row_key, utf8, width
+from .packed import by_bucket, joined, new_run, runs
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 
-_SENT = "bucket int, keys binary, keys2 binary, docs binary, rows binary, places binary, many binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("keys", "keys2", "docs", "rows", "places", "many")] + [("known_doc", pa.int64()), ("known_row", pa.int64()), ("known", pa.binary())])
-_SENT += ", known_doc long, known_row long, known binary"
-_FOUND = "known_doc long, known_row long, known binary"
-_FOUND_ARROW = pa.schema([("known_doc", pa.int64()), ("known_row", pa.int64()), ("known", pa.binary())])
+_ENTRY = ("keys", "keys2", "docs", "rows", "places", "many")
+_KNOWN = ("docs", "rows", "places")
+_SENT = "known boolean, bucket int, " + ", ".join(f"{c} binary" for c in _ENTRY)
+_SENT_ARROW = pa.schema([("known", pa.bool_()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in _ENTRY])
+_FOUND = "bucket int, docs binary, rows binary, places binary"
+_FOUND_ARROW = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("rows", pa.binary()), ("places", pa.binary())])
+_GATHERED = "known_doc long, known_row long, places binary"
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """True where a sorted row starts a new key."""
-    new = np.ones(len(keys[0]), bool)
-    if len(new):
-        same = np.ones(len(new) - 1, bool)
-        for k in keys:
-            same &= k[1:] == k[:-1]
-        new[1:] = ~same
-    return new
-
-
-def _by_row(doc: np.ndarray, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Places as one row per (doc, row), each a run of int32."""
-    o = np.lexsort((place, row, doc))
-    doc, row, place = doc[o], row[o], place[o].astype(np.int32)
-    at = np.flatnonzero(_runs(doc, row))
-    blobs = [x.tobytes() for x in np.split(place, at[1:])] if len(at) else []
-    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(row[at]), pa.array(blobs, pa.binary())], schema=_FOUND_ARROW)
+def _found(buckets: int, doc: np.ndarray, row: np.ndarray, place: np.ndarray) -> list[pa.Array]:
+    """Places packed by document row."""
+    bucket, blobs = by_bucket((row.view(np.uint64) % np.uint64(buckets)).astype(np.int32), doc, row, place.astype(np.int32))
+    return [pa.array(bucket), *(pa.array(x, pa.binary()) for x in blobs)]
 
 
 def _settle(doc, row, place, k1, k2, buckets: int, by_smaller: bool):
@@ -72,67 +61,72 @@ def _settle(doc, row, place, k1, k2, buckets: int, by_smaller: bool):
     chunk has its key in two documents."""
     o = np.lexsort((place, row, doc, k2, k1)) if by_smaller else np.lexsort((row, k1))
     doc, row, place, k1, k2 = doc[o], row[o], place[o], k1[o], k2[o]
-    new = _runs(k1, k2)
+    new = new_run(k1, k2)
     group = np.cumsum(new) - 1
     if by_smaller:
-        least = doc[new][group] if len(doc) else doc
-        known = doc > least
+        known = doc > doc[new][group]
         send, many = ~known, np.zeros(len(doc), bool)
     else:
         changes = np.zeros(len(doc), np.int64)
         changes[1:] = (row[1:] != row[:-1]) & ~new[1:]
-        multi = np.bincount(group, weights=changes, minlength=group[-1] + 1 if len(group) else 0) > 0
-        known = multi[group] if len(group) else np.zeros(0, bool)
+        known = (np.bincount(group, weights=changes) > 0)[group] if len(group) else np.zeros(0, bool)
         send, many = ~known | new, known
-    b = (k1[send] >> np.uint64(33)) % np.uint64(buckets)
-    o = np.argsort(b, kind="stable")
-    cols = [x[send][o] for x in (k1, k2, doc, row, place.astype(np.int32), many)]
-    b = b[o]
-    at = np.flatnonzero(_runs(b))
-    parts = [[x.tobytes() for x in np.split(c, at[1:])] if len(at) else [] for c in cols]
-    sent = pa.RecordBatch.from_arrays(
-        [pa.array(b[at].astype(np.int32))] + [pa.array(p if by_smaller or c in (0, 3, 4, 5) else [None] * len(p), pa.binary()) for c, p in enumerate(parts)] + [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())],
-        schema=_SENT_ARROW,
-    )
-    settled = _by_row(doc[known], row[known], place[known])
-    spread = pa.array((settled.column("known_row").to_numpy() % buckets).astype(np.int32))
-    none = [pa.nulls(len(settled), pa.binary())] * 6
-    return sent, pa.RecordBatch.from_arrays([spread, *none, *settled.columns], schema=_SENT_ARROW)
-
-
-def _meet(by_smaller: bool):
+    bucket, blobs = by_bucket(((k1[send] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32), *(x[send] for x in (k1, k2, doc, row, place.astype(np.int32), many)))
+    none = pa.nulls(len(bucket), pa.binary())
+    cols = [none if not by_smaller and c in ("keys2", "docs") else pa.array(x, pa.binary()) for c, x in zip(_ENTRY, blobs)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(bucket), bool)), pa.array(bucket), *cols], schema=_SENT_ARROW)
+    bucket, *cols = _found(buckets, doc[known], row[known], place[known])
+    none = pa.nulls(len(bucket), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(bucket), bool)), bucket, none, none, *cols, none], schema=_SENT_ARROW)
+
+
+def _meet(buckets: int, by_smaller: bool):
     """Entries of whole buckets -> places to keep (repeated, or repeated from a smaller document)."""
 
     def run(batches):
-        parts: list[list[bytes]] = [[] for _ in range(6)]
+        entries = []
         for b in batches:
-            for k, c in enumerate(("keys", "keys2", "docs", "rows", "places", "many")):
-                parts[k] += b.column(c).drop_null().to_pylist()
-            settled = b.select(["known_doc", "known_row", "known"]).filter(pc.is_valid(b.column("known")))
-            if len(settled):
-                yield settled
-        if not parts[0]:
+            known = b.filter(b.column("known")).select(["bucket", *_KNOWN])
+            if len(known):
+                yield known
+            entries.append(b.filter(pc.invert(b.column("known"))))
+        k1, k2, doc, row, place, many = joined(entries, _ENTRY, (np.uint64, np.uint64, np.int64, np.int64, np.int32, bool))
+        entries.clear()
+        if not len(k1):
             return
-        types = (np.uint64, np.uint64, np.int64, np.int64, np.int32, bool)
-        k1, k2, doc, row, place, many = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, types))
-        parts.clear()
         if by_smaller:
             o = np.lexsort((doc, k2, k1))
-            new = _runs(k1[o], k2[o])
-            keep = doc[o] > doc[o][new][np.cumsum(new) - 1]
-            o = o[keep]
+            new = new_run(k1[o], k2[o])
+            o = o[doc[o] > doc[o][new][np.cumsum(new) - 1]]
         else:
             o = np.lexsort((row, k1))
             k, r = k1[o], row[o]
-            new = _runs(k)
+            new = new_run(k)
             group = np.cumsum(new) - 1
             other = many[o].astype(np.int64)
             other[1:] += (r[1:] != r[:-1]) & ~new[1:]
-            keep = (np.bincount(group, weights=other) > 0)[group] & ~many[o]
-            o = o[keep]
+            o = o[(np.bincount(group, weights=other) > 0)[group] & ~many[o]]
             doc = np.zeros(len(row), np.int64)
         if len(o):
-            yield _by_row(doc[o], row[o], place[o])
+            yield pa.RecordBatch.from_arrays(_found(buckets, doc[o], row[o], place[o]), schema=_FOUND_ARROW)
+
+    return run
+
+
+def _gather(by_doc: bool):
+    """All places of each document row, in one row."""
+
+    def run(batches):
+        doc, row, place = joined(batches, _KNOWN, (np.int64, np.int64, np.int32))
+        if not by_doc:
+            doc = np.zeros(len(row), np.int64)
+        o = np.lexsort((row, doc))
+        doc, row, place = doc[o], row[o], place[o]
+        at = np.flatnonzero(new_run(doc, row)) if len(row) else np.empty(0, np.int64)
+        _, (blobs,) = runs(np.cumsum(new_run(doc, row)), place) if len(row) else (None, ([],))
+        for s in range(0, len(at), 10_000):
+            k = at[s : s + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(row[k]), pa.array(blobs[s : s + 10_000], pa.binary())], names=["known_doc", "known_row", "places"])
 
     return run
 
@@ -140,13 +134,12 @@ def _meet(by_smaller: bool):
 def exchange(rows: DataFrame, emit, by_smaller: bool) -> DataFrame:
     """Bring the entries that emit makes of rows together by bucket; one row per document row with its kept places."""
     n = width(rows.sparkSession)
-    met = rows.mapInArrow(emit(n), _SENT).repartition(n, "bucket").mapInArrow(_meet(by_smaller), _FOUND)
-    keys = ["known_doc", "known_row"] if by_smaller else ["known_row"]
-    return met.groupBy(*keys).agg(F.collect_list("known").alias("places"))
+    met = rows.mapInArrow(emit(n), _SENT).repartition(n, "bucket").mapInArrow(_meet(n, by_smaller), _FOUND)
+    return met.repartition(n, "bucket").mapInArrow(_gather(by_smaller), _GATHERED)
 
 
 def _places(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(x), np.int32).astype(np.int64) if x else np.empty(0, np.int64) for x in column.to_pylist()]
+    return [np.frombuffer(x, np.int32).astype(np.int64) if x else np.empty(0, np.int64) for x in column.to_pylist()]
 
 
 def _anchors(buckets: int):
