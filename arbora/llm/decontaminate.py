@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import chunks, int64, materialize, utf8, width
+from .common import chunks, materialize, row_key, utf8, width
 
 WINDOW = 10
 GROUP_BYTES = 8 << 20
@@ -206,3 +206,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         F.col("words").isNotNull().alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs without those that hold a window of an item."""
+    index = build_index(docs.select(row_key().alias("doc_id"), "text"))
+    found = materialize(matches(index, items).where("size(words) > 0").select(F.col("doc_id").alias("row")).distinct(), "op9-found")
+    return docs.withColumn("row", row_key()).join(found, "row", "left_anti").select(*docs.columns)

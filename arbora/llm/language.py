@@ -184,3 +184,17 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document; trained on the rows that are not held out."""
     rows = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
     return predict(rows, train(rows.where("not held_out")))
+
+
+def accepted(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
+    """docs whose text has a letter and whose predicted language has a posterior of min_score or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    predict_batch = _predict(sent)
+
+    def run(batches):
+        for b in batches:
+            (out,) = predict_batch([b.select(["text"])])
+            keep = pc.and_(pc.not_equal(out.column("lang_pred"), UNKNOWN), pc.greater_equal(out.column("score"), min_score))
+            yield b.filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -180,8 +180,8 @@ def _by_prefix(left: DataFrame, docs: DataFrame) -> DataFrame:
     return a.join(b, "shingle").where(fits).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
+def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
+    """(row_key of the document first, if asked for,) doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), row_key().alias("row"), "text")
     signed = materialize(rows.mapInArrow(_sign, _SIGNED), "op8-signed")
@@ -218,11 +218,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comp = materialize(components(links.unionByName(more)), "op8-components")
 
     of_class = materialize(names.join(comp.withColumnRenamed("component", "c"), "node", "left").select("k1", "k2", F.coalesce("c", "node").alias("component")), "op8-of-class")
-    out = signed.select("id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
+    out = signed.select("id", "row", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     component = F.coalesce("component", "id")
     return out.select(
+        *(["row"] if with_row else []),
         F.nullif("id", F.lit(LAST)).alias("doc_id"),
         "n_shingles",
         F.nullif(component, F.lit(LAST)).alias("component_id"),
         (component == F.col("id")).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs, of each group of linked documents the one of smallest doc_id, and of equal rows one."""
+    kept = near_duplicates(docs, with_row=True).where("kept").select("row").distinct()
+    return docs.withColumn("row", row_key()).join(kept, "row").dropDuplicates(["row"]).select(*docs.columns)

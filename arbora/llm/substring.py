@@ -230,3 +230,16 @@ def substring_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of the same decisions."""
     rows = _marked(docs.select(F.col("doc_id").cast("long"), "text"))
     return rows.mapInArrow(_apply(False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with text and n_chars (if there) of what is left; documents that lose all their words go."""
+    extra = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    rows = _marked(docs.select(F.col("doc_id").cast("long"), "text", F.struct(*extra).alias("rest")) if extra else docs.select("doc_id", "text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("places").schema) + ", n_words long, n_removed long, kept_text string"
+    out = rows.mapInArrow(_apply(True), schema).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    columns = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"rest.`{c}`") for c in docs.columns if c not in ("doc_id", "text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(columns["n_chars"])
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
