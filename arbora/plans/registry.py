@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import queries as q
+
 
 def queries() -> dict:
-    return {}
+    return dict(q.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(q.SQL)
