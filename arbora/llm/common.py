@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on at a time; a longer text is a step of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 19
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

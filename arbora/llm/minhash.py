@@ -126,7 +126,7 @@ def _confirm(batches):
         ta, tb = utf8(b.column("text_a")), utf8(b.column("text_b"))
         va, vb = b.column("a").to_pylist(), b.column("b").to_pylist()
         keep = []
-        for s, e in chunks([len(x) + len(y) for x, y in zip(ta, tb)], 8 << 20):
+        for s, e in chunks([len(x) + len(y) for x, y in zip(ta, tb)], 3 << 20):
             place = {}
             for t in (*ta[s:e], *tb[s:e]):
                 place.setdefault(t, len(place))

@@ -43,7 +43,7 @@ def _pieces(path: str, size: int):
         for b in batches:
             texts, doc, row = pc.fill_null(b.column("text"), "").to_pylist(), b.column("doc_id").to_pylist(), b.column("row").to_pylist()
             out: list[list] = [[] for _ in range(6)]
-            for s, e in chunks([len(t) for t in texts], 1 << 20):
+            for s, e in chunks([len(t) for t in texts], 1 << 19):
                 for d, r, ids in zip(doc[s:e], row[s:e], enc.encode(texts[s:e])):
                     ids = np.append(ids, np.uint32(END)).astype("<u4")
                     n = len(ids)

@@ -31,7 +31,7 @@ def _encode(path: str):
         for b in batches:
             texts = pc.fill_null(b.column("text"), "").to_pylist()
             n = []
-            for s, e in chunks([len(t) for t in texts], 1 << 20):
+            for s, e in chunks([len(t) for t in texts], 1 << 19):
                 n += [len(x) for x in enc.encode(texts[s:e])]
             yield pa.RecordBatch.from_arrays([b.column("content_digest"), pa.array(n, pa.int64())], names=["content_digest", "n_tokens"])
 
