@@ -11,6 +11,7 @@ differently, go through the library whole.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import sys
 import unicodedata
@@ -21,6 +22,10 @@ from . import textvec as tv
 
 #: Pieces that a worker remembers.
 CACHE = 600_000
+#: Bytes of text that are encoded at a time.
+STEP_BYTES = 1 << 19
+#: Pieces that the library gets in one call: its results take about a kilobyte each until they are copied.
+_CALL = 4096
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSURE = 0, 1, 2, 3, 4
 _kinds: list[np.ndarray] = []
 _made: dict[str, "Encoder"] = {}
@@ -98,10 +103,13 @@ class Encoder:
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         if len(self.keys) + len(keys) > CACHE:
             self.clear()
-        new = [e.ids for e in self.tok.encode_batch(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        at = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(new))
-        self.ids = np.concatenate([self.ids, np.array([i for x in new for i in x], np.uint32)])
+        sizes, new = np.empty(len(pieces), np.int64), [self.ids]
+        for s in range(0, len(pieces), _CALL):
+            ids = [e.ids for e in self.tok.encode_batch(pieces[s : s + _CALL], add_special_tokens=False)]
+            sizes[s : s + _CALL] = [len(x) for x in ids]
+            new.append(np.fromiter((i for x in ids for i in x), np.uint32))
+        at = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(pieces))
+        self.ids = np.concatenate(new)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         keys_all, at_all = np.concatenate([self.keys, keys]), np.concatenate([self.at, at])
         o = np.argsort(keys_all)
@@ -157,8 +165,9 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One for each worker process and path."""
+    """One for each worker process and path. A Spark task has one core, so the library gets one thread."""
     if path not in _made:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _made[path] = Encoder(path)
     return _made[path]
 
