@@ -86,5 +86,17 @@ def chunks(sizes, limit: int = CHUNK_BYTES):
         yield start, len(sizes)
 
 
+def steps(column: pa.Array, limit: int = CHUNK_BYTES, as_bytes: bool = False):
+    """(from, to, texts) for runs of rows of at most limit bytes; null is empty.
+
+    Only one step's texts are Python objects at a time: a batch may hold thousands of long texts."""
+    column = pc.fill_null(column, "")
+    sizes = pc.binary_length(column).to_pylist()
+    if as_bytes:
+        column = column.cast(pa.large_binary())
+    for s, e in chunks(sizes, limit):
+        yield s, e, column.slice(s, e - s).to_pylist()
+
+
 def int64(column: pa.Array, null: int = 2**63 - 1) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), null).to_numpy(zero_copy_only=False)

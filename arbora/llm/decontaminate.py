@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import chunks, materialize, row_key, utf8, width
+from .common import materialize, row_key, steps, width
 
 WINDOW = 10
 GROUP_BYTES = 8 << 20
@@ -47,9 +47,9 @@ def _terms(words: tv.Words) -> np.ndarray:
 def _index(batches):
     task, block = TaskContext.get().partitionId(), 0
     for b in batches:
-        texts, doc = utf8(b.column("text")), b.column("doc_id").cast(pa.int64())
-        for s, e in chunks([len(t) for t in texts]):
-            w = tv.Words(texts[s:e], tv.ALNUM)
+        doc = b.column("doc_id").cast(pa.int64())
+        for s, e, texts in steps(b.column("text"), as_bytes=True):
+            w = tv.Words(texts, tv.ALNUM)
             key = (task << 32) + block
             block += 1
             term = _terms(w)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize
+from .common import steps
 
 FEATURE_BITS = 16
 ORDERS = (1, 2, 3)
@@ -33,6 +33,8 @@ ALPHA = 0.5
 #: Bound on the training sample, in rows.
 MAX_TRAIN = 60_000
 MAX_LANGUAGES = 1000
+#: Bytes of text of one numpy step; an n-gram takes some 60 bytes meanwhile.
+STEP_BYTES = 1 << 19
 UNKNOWN = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
@@ -85,9 +87,9 @@ def _count(languages: list[str]):
         total = np.zeros((len(languages), size), np.int64)
         rows = np.zeros(len(languages), np.int64)
         for b in batches:
-            texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
-            for s, e in chunks([len(t) for t in texts], 1 << 20):
-                g = Grams(texts[s:e])
+            langs = b.column("lang").to_pylist()
+            for s, e, texts in steps(b.column("text"), STEP_BYTES):
+                g = Grams(texts)
                 lang = np.array([number[x] for x in langs[s:e]])
                 rows += np.bincount(lang, minlength=len(languages))
                 for n, f in g.features:
@@ -149,14 +151,14 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
 def _predict(model):
     def run(batches):
         for b in batches:
-            m, texts = model.value, pc.fill_null(b.column("text"), "").to_pylist()
+            m = model.value
             lang, score = [], []
-            for s, e in chunks([len(t) for t in texts], 1 << 20):
+            for s, e, texts in steps(b.column("text"), STEP_BYTES):
                 if not m.languages:
                     lang += [UNKNOWN] * (e - s)
                     score += [0.0] * (e - s)
                     continue
-                x, known = m.scores(texts[s:e])
+                x, known = m.scores(texts)
                 best = x.argmax(axis=1)
                 p = 1 / np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1)
                 lang += [m.languages[k] if ok else UNKNOWN for k, ok in zip(best, known)]

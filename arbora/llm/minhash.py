@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import chunks, materialize, row_key, utf8
+from .common import chunks, materialize, row_key, steps, utf8
 from .graph import components
 
 SHINGLE = 5
@@ -93,7 +93,7 @@ def pack(m: np.ndarray) -> np.ndarray:
 def _sign(batches):
     for b in batches:
         keys, sigs, bands, n = [], [], [], []
-        for x in shingle_sets(utf8(b.column("text"))):
+        for x in (x for _, _, texts in steps(b.column("text"), as_bytes=True) for x in shingle_sets(texts)):
             n.append(len(x))
             d = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
             keys.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))

@@ -24,12 +24,11 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, row_key, width
-from .tokens import encoder
+from .common import materialize, row_key, steps, width
+from .tokens import STEP_BYTES, encoder
 
 SIZE, END = 2048, 0
 SLACK, FAN, PASS_ON = 8, 8, 4096
@@ -41,10 +40,10 @@ def _pieces(path: str, size: int):
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            texts, doc, row = pc.fill_null(b.column("text"), "").to_pylist(), b.column("doc_id").to_pylist(), b.column("row").to_pylist()
+            doc, row = b.column("doc_id").to_pylist(), b.column("row").to_pylist()
             out: list[list] = [[] for _ in range(6)]
-            for s, e in chunks([len(t) for t in texts], 1 << 19):
-                for d, r, ids in zip(doc[s:e], row[s:e], enc.encode(texts[s:e])):
+            for s, e, texts in steps(b.column("text"), STEP_BYTES):
+                for d, r, ids in zip(doc[s:e], row[s:e], enc.encode(texts)):
                     ids = np.append(ids, np.uint32(END)).astype("<u4")
                     n = len(ids)
                     cuts = [0, *range(n % size or size, n + 1, size)]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import chunks, int64, materialize, row_key, utf8, width
+from .common import int64, materialize, row_key, steps, width
 from .packed import by_bucket, joined, new_run, runs
 
 WINDOW = 13
@@ -145,9 +145,9 @@ def _places(column: pa.Array) -> list[np.ndarray]:
 def _anchors(buckets: int):
     def run(batches):
         for b in batches:
-            texts, doc, row = utf8(b.column("text")), int64(b.column("doc_id")), int64(b.column("row"))
-            for s, e in chunks([len(t) for t in texts]):
-                w = tv.Words(texts[s:e], tv.NON_SPACE)
+            doc, row = int64(b.column("doc_id")), int64(b.column("row"))
+            for s, e, texts in steps(b.column("text"), as_bytes=True):
+                w = tv.Words(texts, tv.NON_SPACE)
                 at, left = w.index(), w.left()
                 ok = (left >= ANCHOR) & np.isin(at % PERIOD, COVER) & (w.count[w.doc] >= WINDOW)
                 keys = tv.window_hashes(w.hashes(tv.TABLES[0]), ANCHOR, 1)[ok]
@@ -160,10 +160,10 @@ def _anchors(buckets: int):
 def _windows(buckets: int):
     def run(batches):
         for b in batches:
-            texts, doc, row = utf8(b.column("text")), int64(b.column("doc_id")), int64(b.column("row"))
+            doc, row = int64(b.column("doc_id")), int64(b.column("row"))
             places = _places(b.column("places"))
-            for s, e in chunks([len(t) for t in texts]):
-                w = tv.Words(texts[s:e], tv.NON_SPACE)
+            for s, e, texts in steps(b.column("text"), as_bytes=True):
+                w = tv.Words(texts, tv.NON_SPACE)
                 anchors = np.concatenate([p + f for p, f in zip(places[s:e], w.first)])
                 # a window holds the anchor if it starts at most WINDOW - ANCHOR words before it
                 near = np.zeros(len(w.starts) + 1, np.int64)
@@ -189,11 +189,11 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
 def _apply(with_text: bool):
     def run(batches):
         for b in batches:
-            texts, places = utf8(b.column("text")), _places(b.column("places"))
+            places = _places(b.column("places"))
             n_words, n_removed, digest, kept = [], [], [], []
-            for s, e in chunks([len(t) for t in texts]):
-                w = tv.Words(texts[s:e], tv.NON_SPACE)
-                for k, (text, p) in enumerate(zip(texts[s:e], places[s:e])):
+            for s, e, texts in steps(b.column("text"), as_bytes=True):
+                w = tv.Words(texts, tv.NON_SPACE)
+                for k, (text, p) in enumerate(zip(texts, places[s:e])):
                     words = text.split()
                     if len(words) != w.count[k]:
                         raise AssertionError("two readings of the words of a text differ")

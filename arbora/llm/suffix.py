@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import chunks, int64, materialize, row_key, scratch_path, utf8, width
+from .common import int64, materialize, row_key, scratch_path, steps, utf8, width
 from .packed import by_bucket, joined, new_run, runs
 
 LENGTH = 200
@@ -112,9 +112,9 @@ def _by_row(buckets: int, row: np.ndarray, what: np.ndarray, asked: bool) -> pa.
 def _anchors(buckets: int):
     def run(batches):
         for b in batches:
-            texts, rows = utf8(b.column("text")), int64(b.column("row"))
-            for s, e in chunks([len(t) for t in texts], 1 << 20):
-                text, place, gram, context = contexts_of(texts[s:e])
+            rows = int64(b.column("row"))
+            for s, e, texts in steps(b.column("text"), 1 << 20, as_bytes=True):
+                text, place, gram, context = contexts_of(texts)
                 row, place = rows[s:e][text], place.astype(np.int32)
                 o = np.lexsort((context, gram))
                 gram, context, row, place = gram[o], context[o], row[o], place[o]

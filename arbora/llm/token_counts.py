@@ -13,13 +13,12 @@ text has no bytes and no tokens. Ids may repeat or be null; further columns play
 from __future__ import annotations
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import chunks, freed_shuffles, materialize, row_key, scratch_path
-from .tokens import encoder, version
+from .common import freed_shuffles, materialize, row_key, scratch_path, steps
+from .tokens import STEP_BYTES, encoder, version
 
 LIMIT = 1024
 _CACHE = "content_digest binary, tokenizer_version string, n_tokens long"
@@ -29,10 +28,9 @@ def _encode(path: str):
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            texts = pc.fill_null(b.column("text"), "").to_pylist()
             n = []
-            for s, e in chunks([len(t) for t in texts], 1 << 19):
-                n += [len(x) for x in enc.encode(texts[s:e])]
+            for _, _, texts in steps(b.column("text"), STEP_BYTES):
+                n += [len(x) for x in enc.encode(texts)]
             yield pa.RecordBatch.from_arrays([b.column("content_digest"), pa.array(n, pa.int64())], names=["content_digest", "n_tokens"])
 
     return run
