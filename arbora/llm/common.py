@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on at a time; a longer text is a step of its own.
 CHUNK_BYTES = 3 << 19
+#: Rows at most of one Arrow batch: at some kilobytes a text, Spark's default of 10,000 is tens of MB, held several times.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,7 +41,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a re-read of the table, not a rerun of the job."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    with freed_shuffles(spark):
+    with freed_shuffles(spark), small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,6 +60,18 @@ def freed_shuffles(spark: SparkSession):
         spark.conf.set(_FREE, old) if old else spark.conf.unset(_FREE)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Within, Arrow batches of the queries that run hold BATCH_ROWS rows at most."""
+    old = spark.conf.get(_BATCH)
+    if not 0 < int(old) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, old)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for explicit exchanges: what the session sets for shuffles."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps
+from .common import BATCH_ROWS, small_batches, steps
 
 FEATURE_BITS = 16
 ORDERS = (1, 2, 3)
@@ -140,11 +140,12 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
             rows = rows.where(F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
         number = {x: i for i, x in enumerate(languages)}
         part = rows.mapInArrow(_count(languages), "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-        for lang, feature, k in part.toLocalIterator():
-            if feature < 0:
-                docs[number[lang]] = k
-            else:
-                counts[number[lang], feature] = k
+        with small_batches(labelled.sparkSession):
+            for lang, feature, k in part.toLocalIterator():
+                if feature < 0:
+                    docs[number[lang]] = k
+                else:
+                    counts[number[lang], feature] = k
     return Model(languages, counts, docs)
 
 
@@ -195,8 +196,9 @@ def accepted(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            (out,) = predict_batch([b.select(["text"])])
-            keep = pc.and_(pc.not_equal(out.column("lang_pred"), UNKNOWN), pc.greater_equal(out.column("score"), min_score))
-            yield b.filter(keep)
+            parts = [b.slice(s, BATCH_ROWS) for s in range(0, len(b), BATCH_ROWS)]
+            for part, out in zip(parts, predict_batch(p.select(["text"]) for p in parts)):
+                keep = pc.and_(pc.not_equal(out.column("lang_pred"), UNKNOWN), pc.greater_equal(out.column("score"), min_score))
+                yield part.filter(keep)
 
     return docs.mapInArrow(run, docs.schema)

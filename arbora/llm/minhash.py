@@ -33,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,15 +124,17 @@ def matches(a: Column, b: Column) -> Column:
 
 def _confirm(batches):
     for b in batches:
-        ta, tb = utf8(b.column("text_a")), utf8(b.column("text_b"))
+        pair = [b.column(c) for c in ("text_a", "text_b")]
         va, vb = b.column("a").to_pylist(), b.column("b").to_pylist()
         keep = []
-        for s, e in chunks([len(x) + len(y) for x, y in zip(ta, tb)], 3 << 20):
+        sizes = sum(pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in pair)
+        for s, e in chunks(sizes.tolist(), 3 << 19):
+            ta, tb = (utf8(t.slice(s, e - s)) for t in pair)
             place = {}
-            for t in (*ta[s:e], *tb[s:e]):
+            for t in (*ta, *tb):
                 place.setdefault(t, len(place))
             sets = shingle_sets(list(place))
-            for x, y in zip(ta[s:e], tb[s:e]):
+            for x, y in zip(ta, tb):
                 p, q = sets[place[x]], sets[place[y]]
                 both = len(p) + len(q) - len(np.union1d(p, q)) if len(p) and len(q) else 0
                 keep.append(both > 0 and 100 * both >= 75 * (len(p) + len(q) - both))
@@ -154,11 +157,13 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
 
 def _shingles(batches):
     for b in batches:
-        sets = shingle_sets(utf8(b.column("text")))
-        n = np.fromiter(map(len, sets), np.int64, len(sets))
-        node, comp = (np.repeat(b.column(c).to_numpy(), n) for c in ("node", "component"))
-        every = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(comp), pa.array(np.repeat(n, n)), pa.array(every)], names=["node", "component", "n", "shingle"])
+        nodes, comps = (b.column(c).to_numpy() for c in ("node", "component"))
+        for s, e, texts in steps(b.column("text"), as_bytes=True):
+            sets = shingle_sets(texts)
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            node, comp = np.repeat(nodes[s:e], n), np.repeat(comps[s:e], n)
+            every = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(comp), pa.array(np.repeat(n, n)), pa.array(every)], names=["node", "component", "n", "shingle"])
 
 
 def _by_prefix(left: DataFrame, docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import freed_shuffles, materialize, row_key, scratch_path, steps
+from .common import freed_shuffles, materialize, row_key, scratch_path, small_batches, steps
 from .tokens import STEP_BYTES, encoder, version
 
 LIMIT = 1024
@@ -59,7 +59,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     missing = rows.groupBy("content_digest").agg(F.min("row").alias("row")).join(stored, "content_digest", "left_anti")
     texts = docs.select(row_key().alias("row"), text.alias("text")).join(missing, "row")
     fresh = texts.select("content_digest", "text").mapInArrow(_encode(tokenizer), "content_digest binary, n_tokens long")
-    with freed_shuffles(spark):
+    with freed_shuffles(spark), small_batches(spark):
         fresh.select("content_digest", F.lit(made_by).alias("tokenizer_version"), "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer_version") == made_by).select("content_digest", "n_tokens")
     out = rows.join(counts, "content_digest")
