@@ -78,8 +78,7 @@ def merge_lexicon(spark, sf_dir) -> DataFrame:
 
 @query("SELECT role || ' p-' || pos || ' h-' || head AS value, count(*) AS n FROM tok GROUP BY ALL")
 def write_events(spark, sf_dir) -> DataFrame:
-    f = tokens(spark, sf_dir).select(F.col("role").alias("label"), F.array(F.concat(F.lit("p-"), "pos"), F.concat(F.lit("h-"), F.col("head").cast("string"))).alias("features"))
-    return features.write_events(f).groupBy("value").agg(_n())
+    return features.write_events(features.maxent_arc_features(_cands(spark, sf_dir))).groupBy("value").agg(_n())
 
 
 # ---- scalars
@@ -253,8 +252,12 @@ def ordered_candidates(spark, sf_dir) -> DataFrame:
     return features.ordered_candidates(tokens(spark, sf_dir)).groupBy("label", (F.col("i") - F.col("j")).alias("apart")).agg(_n())
 
 
+def _cands(spark, sf_dir) -> DataFrame:
+    return features.arc_candidates(tokens(spark, sf_dir))
+
+
 def _gold(spark, sf_dir) -> DataFrame:
-    return features.arc_candidates(tokens(spark, sf_dir)).where("label = 'Yes'")
+    return _cands(spark, sf_dir).where("label = 'Yes'")
 
 
 @query("""AND s AS (SELECT sent_id, ['<root-POS>'] || list(pos ORDER BY tok_id) AS tags FROM tok GROUP BY sent_id),
@@ -270,7 +273,7 @@ HT = "ga AS (SELECT c.sent_id, c.tok_id, c.head, c.role, c.pos, coalesce(h.pos,
 
 @query(f"AND {HT} SELECT f AS feature, count(*) AS n FROM (SELECT unnest(['4-' || pos, '44-' || hp || '/' || pos]) AS f FROM ga) GROUP BY f")
 def maxent_arc_features(spark, sf_dir) -> DataFrame:
-    f = features.maxent_arc_features(_gold(spark, sf_dir), {4, 44})
+    f = features.maxent_arc_features(_cands(spark, sf_dir))
     return f.select(F.explode("features").alias("feature")).groupBy("feature").agg(_n())
 
 
@@ -278,7 +281,7 @@ LIN = f"{HT}, lf AS (SELECT sent_id, tok_id, head, unnest(['3:' || pos, '21:' ||
 
 
 def _linear(spark, sf_dir) -> DataFrame:
-    return features.linear_arc_features(_gold(spark, sf_dir), {3, 21})
+    return features.linear_arc_features(_cands(spark, sf_dir))
 
 
 @query(f"AND {LIN} SELECT f AS feature, count(*) AS n FROM lf GROUP BY f")
@@ -288,7 +291,7 @@ def linear_arc_features(spark, sf_dir) -> DataFrame:
 
 @query(f"AND {HT} SELECT role, '9-' || hp || '/' || pos AS feature, count(*) AS n FROM ga WHERE head > 0 GROUP BY ALL")
 def label_features(spark, sf_dir) -> DataFrame:
-    f = features.label_features(tokens(spark, sf_dir), {9})
+    f = features.label_features(tokens(spark, sf_dir))
     return f.select("role", F.explode("features").alias("feature")).groupBy("role", "feature").agg(_n())
 
 
