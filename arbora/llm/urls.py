@@ -8,9 +8,11 @@ by level (MAX_DEPTH levels; what lies deeper shares its ancestor's template):
 
 1. generalise  a segment that fewer than MIN_SUPPORT urls, or fewer than MIN_SHARE percent of its
                parent's urls, have is variable and becomes `*`.
-2. merge       of the other branches of a parent, those whose share of blocked labels does not differ
-               from all of them together by Z standard deviations (or that have no labels) become one
-               branch `~`. Each is tested against the pool, not against each other.
+2. merge       of the other branches of a parent, those with labels whose share of blocked ones does not
+               differ from all of them together by Z standard deviations become one branch `~=`. Each is
+               tested against the pool, not against each other. The variance is that of the pool with A
+               more labels, half of them blocked, so that it is not 0 where the pool has one verdict.
+               Branches without labels say nothing about likeness: they become a branch `~` of their own.
 3. reject      a template whose smoothed purity (blocked + A * prior) / (labelled + A) is REJECT or
                more, where prior is the blocked share of all labelled urls.
 
@@ -82,9 +84,10 @@ def templates(paths: DataFrame) -> DataFrame:
         pool = by.where("literal").groupBy("host", "template").agg(F.sum("labelled").alias("L"), F.sum("blocked").alias("B"))
         by = by.join(pool, ["host", "template"], "left")
         L, B, lab, blk = (F.col(c).cast("double") for c in ("L", "B", "labelled", "blocked"))
+        share = (B + A / 2) / (L + A)
         away = (blk * L - lab * B) * (blk * L - lab * B)
-        similar = away <= Z2 * lab * B * (L - B)
-        key = F.when(~F.col("literal"), F.lit("*")).when(similar, F.lit("~")).otherwise(F.col("seg"))
+        similar = away <= Z2 * share * (1 - share) * lab * L * L
+        key = F.when(~F.col("literal"), F.lit("*")).when(F.col("labelled") == 0, F.lit("~")).when(similar, F.lit("~=")).otherwise(F.col("seg"))
         by = materialize(by.select("host", "template", "seg", F.concat("template", F.lit("/"), key).alias("next")), f"op5-level{d}")
         rows = rows.join(by, ["host", "template", "seg"], "left").withColumn("template", F.coalesce("next", "template")).drop("next", "seg")
     return rows.drop("segments")
