@@ -4,7 +4,8 @@ Host and path are cut from the url (see `parts`). A rule is host + path; it fits
 subdomains where the url's path starts with the rule's path; the longest rule wins.
 
 Urls that a rule decides are the labelled ones. For each host a tree of path segments is built level
-by level (MAX_DEPTH levels; what lies deeper shares its ancestor's template):
+by level, until no url has a segment left (urls of a parent with fewer than MIN_SUPPORT get `*` for all
+that is left, which is what the levels would give):
 
 1. generalise  a segment that fewer than MIN_SUPPORT urls, or fewer than MIN_SHARE percent of its
                parent's urls, have is variable and becomes `*`.
@@ -26,11 +27,14 @@ fits nothing. Equal rules: block wins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Levels of the SQL only.
 MAX_DEPTH = 4
 MIN_SUPPORT, MIN_SHARE = 5, 1
 Z2 = 4
@@ -76,9 +80,15 @@ def ruled(pages: DataFrame, rules: DataFrame) -> DataFrame:
 def templates(paths: DataFrame) -> DataFrame:
     """paths: host, path, n, labelled, blocked (distinct host and path) -> the same with template."""
     rows = paths.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
-    for d in range(MAX_DEPTH):
+    ended, d = [], 0
+    while True:
+        rows = materialize(rows, f"op5-rows{d}")
+        ended.append(rows.where(F.size("segments") <= d))
+        rows = rows.where(F.size("segments") > d)
+        if rows.isEmpty():
+            break
         rows = rows.withColumn("seg", F.get("segments", F.lit(d)))
-        by = rows.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+        by = rows.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
         total = by.groupBy("host", "template").agg(F.sum("n").alias("all_n"))
         by = by.join(total, ["host", "template"]).withColumn("literal", (F.col("n") >= MIN_SUPPORT) & (F.col("n") * 100 >= F.col("all_n") * MIN_SHARE))
         pool = by.where("literal").groupBy("host", "template").agg(F.sum("labelled").alias("L"), F.sum("blocked").alias("B"))
@@ -88,9 +98,13 @@ def templates(paths: DataFrame) -> DataFrame:
         away = (blk * L - lab * B) * (blk * L - lab * B)
         similar = away <= Z2 * share * (1 - share) * lab * L * L
         key = F.when(~F.col("literal"), F.lit("*")).when(F.col("labelled") == 0, F.lit("~")).when(similar, F.lit("~=")).otherwise(F.col("seg"))
-        by = materialize(by.select("host", "template", "seg", F.concat("template", F.lit("/"), key).alias("next")), f"op5-level{d}")
-        rows = rows.join(by, ["host", "template", "seg"], "left").withColumn("template", F.coalesce("next", "template")).drop("next", "seg")
-    return rows.drop("segments")
+        by = materialize(by.select("host", "template", "seg", F.concat("template", F.lit("/"), key).alias("next"), (F.col("all_n") < MIN_SUPPORT).alias("few")), f"op5-level{d}")
+        rows = rows.join(by, ["host", "template", "seg"])
+        left = F.concat("template", F.repeat(F.lit("/*"), F.size("segments") - d))
+        none = F.array().cast("array<string>")
+        rows = rows.select(*paths.columns, F.when(F.col("few"), none).otherwise(F.col("segments")).alias("segments"), F.when(F.col("few"), left).otherwise(F.col("next")).alias("template"))
+        d += 1
+    return reduce(DataFrame.unionByName, ended).drop("segments")
 
 
 def judged(paths: DataFrame) -> DataFrame:

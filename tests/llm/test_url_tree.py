@@ -18,3 +18,40 @@ def test_unlabelled_pages_of_a_blocked_host_are_allowed(spark):
     rows = [(100 * i + k, f"https://blog.x.com/{s}/{k}.html") for i, s in enumerate(("de", "en")) for k in range(17)] + [(1000 + k, f"https://y.com/fr/{k}") for k in range(20)]
     out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), urls.rule_table(spark, urls.RULES)).collect()
     assert {(r.path[:3], r.verdict) for r in out} == {("/de", "block"), ("/en", "allow"), ("/fr", "allow")}
+
+
+def brute(rows):
+    """path -> template of one host's rows, by recursion."""
+    out = {}
+
+    def split(rows, template, d):
+        out.update((r[1], template) for r, segs in rows if len(segs) == d)
+        by = defaultdict(list)
+        for r, segs in rows:
+            if len(segs) > d:
+                by[segs[d]].append((r, segs))
+        total = {s: [sum(r[k] for r, _ in x) for k in (2, 3, 4)] for s, x in by.items()}
+        all_n = sum(n for n, _, _ in total.values())
+        literal = {s for s, (n, _, _) in total.items() if n >= urls.MIN_SUPPORT and n * 100 >= all_n * urls.MIN_SHARE}
+        L, B = (sum(total[s][k] for s in literal) for k in (1, 2))
+        share = (B + urls.A / 2) / (L + urls.A)
+        branches = defaultdict(list)
+        for s, x in by.items():
+            _, lab, blk = total[s]
+            like = lab and (blk / lab - B / max(L, 1)) ** 2 <= urls.Z2 * share * (1 - share) / lab + 1e-12
+            branches["*" if s not in literal else "~" if not lab else "~=" if like else s] += x
+        for key, x in branches.items():
+            split(x, f"{template}/{key}", d + 1)
+
+    split([(r, [s for s in r[1].split("/") if s]) for r in rows], "", 0)
+    return out
+
+
+def test_deep_paths_equal_brute_force(spark):
+    deep = "/a/b/c/d"
+    rows = [("h.com", f"{deep}/{s}/p/q/{k % 3}/{k}", 1 + k % 2, lab, lab * (s == "bad")) for s in ("bad", "good", "new") for k in range(12) for lab in [int(s != "new")]]
+    rows += [("h.com", f"/a/x{'/y' * k}", 1, k % 2, 0) for k in range(9)] + [("h.com", "", 2, 0, 0), ("h.com", "/trap" * 40, 1, 0, 0)]
+    df = spark.createDataFrame(rows, PATHS)
+    got = {r.path: (r.template, r.rejected) for r in urls.judged(df).collect()}
+    assert {p: t for p, (t, _) in got.items()} == brute(rows)
+    assert {p.split("/")[5] for p, (_, bad) in got.items() if bad} == {"bad"}
