@@ -574,6 +574,7 @@ def decode_trees(spark, sf_dir) -> DataFrame:
 
 # ---- segmentation
 
+#: Of the SQL only.
 MAX_LEN = 9
 
 
@@ -583,7 +584,7 @@ def _texts(spark, sf_dir) -> DataFrame:
 
 
 def _words(spark, sf_dir) -> DataFrame:
-    return tokens(spark, sf_dir).select("word").distinct().where(F.char_length("word").between(3, MAX_LEN))
+    return tokens(spark, sf_dir).select("word").distinct()
 
 
 def _lattice(spark, sf_dir) -> DataFrame:
@@ -607,7 +608,7 @@ lat AS (SELECT *, tok_id % 5 <> 1 AS is_word FROM la)"""
 c AS (SELECT doc_id, s, n, substr(text, s + 1, n) AS word FROM (SELECT doc_id, text, unnest(range(0, length(text))) AS s FROM tx), range(3, {MAX_LEN + 1}) r(n) WHERE s + n <= length(text))
 SELECT doc_id, count(*) AS n, sum(s)::BIGINT AS starts FROM c JOIN wd USING (word) GROUP BY doc_id""")
 def dictionary_lattice(spark, sf_dir) -> DataFrame:
-    return segment.dictionary_lattice(_texts(spark, sf_dir), _words(spark, sf_dir), MAX_LEN).groupBy("doc_id").agg(_n(), F.sum("s").alias("starts"))
+    return segment.dictionary_lattice(_texts(spark, sf_dir), _words(spark, sf_dir)).groupBy("doc_id").agg(_n(), F.sum("s").alias("starts"))
 
 
 @query(f"AND {LAT}, e AS (SELECT DISTINCT doc_id, s, t FROM lat) SELECT a.doc_id, count(*) AS n FROM e a JOIN e b ON b.doc_id = a.doc_id AND b.s = a.t JOIN e c ON c.doc_id = a.doc_id AND c.s = b.t GROUP BY a.doc_id")

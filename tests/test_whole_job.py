@@ -83,3 +83,13 @@ def test_label_features_of_all_templates(spark, sf, sents):
     assert always <= seen and seen == set(range(1, 47))
     for k in always:
         assert sum(n for (_, f), n in got.items() if f.startswith(f"{k}-")) == len(under), k
+
+
+def test_dictionary_lattice_of_all_words(spark, sf, sents):
+    words = {r.word for rows in sents.values() for r in rows[1:]}
+    want = {}
+    for k, rows in sents.items():
+        text = "".join(r.word for r in rows[1:])
+        found = [(i, j) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in words]
+        want[k] = (len(found), sum(i for i, _ in found))
+    assert {r.doc_id: (r.n, r.starts) for r in queries.dictionary_lattice(spark, sf).collect()} == want
