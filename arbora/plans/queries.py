@@ -527,10 +527,17 @@ def attach_keys(spark, sf_dir) -> DataFrame:
     return _keys(spark, sf_dir).select("id", F.array_join("demand", " ").alias("demand"))
 
 
+def _kinds(spark, sf_dir) -> DataFrame:
+    """One token for each (word, pos) with uses: how many there are. Rules of a token depend on nothing else."""
+    t = tokens(spark, sf_dir).groupBy("word", "pos").agg(F.min(F.struct("sent_id", "tok_id")).alias("at"), _n("uses"))
+    return t.select("at.*", "word", "pos", "uses")
+
+
 @query()
 def rules_for_tokens(spark, sf_dir) -> DataFrame:
-    r = _rules(spark, sf_dir).where("n > 1")
-    return scoring.rules_for_tokens(tokens(spark, sf_dir), r).groupBy("type", "head_key", "rule").agg(_n())
+    kinds = _kinds(spark, sf_dir)
+    r = scoring.rules_for_tokens(kinds, _rules(spark, sf_dir)).join(kinds, ["sent_id", "tok_id"])
+    return r.groupBy("type", "head_key", "rule").agg(F.sum("uses").alias("n"))
 
 
 @query()

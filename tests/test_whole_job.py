@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from arbora.functions import tags
-from arbora.operators import features
+from arbora.operators import features, grammar
 from arbora.plans import fixtures, queries
 
 TEXTS = ["the big cat sees a dog on extraordinary roads and 12 birds sing loudly today", "we go home"]
@@ -93,3 +93,20 @@ def test_dictionary_lattice_of_all_words(spark, sf, sents):
         found = [(i, j) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in words]
         want[k] = (len(found), sum(i for i, _ in found))
     assert {r.doc_id: (r.n, r.starts) for r in queries.dictionary_lattice(spark, sf).collect()} == want
+
+
+def test_rules_of_one_sentence_count(spark, sf, sents):
+    n, rules = Counter(), {}
+    for r in grammar.rule_events(fixtures.tokens(spark, sf)).select("type", "head_key", "rule", "sent_id").distinct().collect():
+        n[r.type, r.head_key, r.rule] += 1
+        rules.setdefault(r.head_key, set()).add((r.type, r.rule))
+    assert 1 in n.values()
+    want = Counter()
+    for rows in sents.values():
+        for t in rows[1:]:
+            key = f"{t.word}/{t.pos}"
+            want.update((k, key, rule) for k, rule in rules.get(key, ()))
+            if key not in rules and t.pos not in tags.NO_GENERIC_RULES:
+                for k in {k for k, _ in rules.get(t.pos, ())}:
+                    want[k, t.pos, max((n[k, t.pos, rule], rule) for x, rule in rules[t.pos] if x == k)[1]] += 1
+    assert counts(queries.rules_for_tokens(spark, sf)) == want
