@@ -18,10 +18,14 @@ def score_arcs(arcs: DataFrame, vectors: DataFrame, weights: DataFrame) -> DataF
     return arcs.select(*ARC).join(s, ARC, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def arc_log_prob(vectors: DataFrame, weights: DataFrame) -> DataFrame:
-    """ln P(Yes) of each arc from weights by outcome (fid, outcome, w), -999 where P is 0."""
+def arc_log_prob(vectors: DataFrame, weights: DataFrame, arcs: DataFrame | None = None) -> DataFrame:
+    """ln P(Yes) of each arc from weights by outcome (fid, outcome, w), -999 where P is 0.
+
+    With arcs, those without a weighted feature are in it too: their sums are 0."""
     by = lambda o: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col("w"))), F.lit(0.0)).alias(o)
     s = vectors.join(weights, "fid").groupBy(*ARC).agg(by("Yes"), by("No"))
+    if arcs is not None:
+        s = arcs.select(*ARC).join(s, ARC, "left").fillna(0.0, ["Yes", "No"])
     p = 1 / (1 + F.exp(F.col("No") - F.col("Yes")))
     return s.select(*ARC, F.when(p > 0, F.ln(p)).otherwise(F.lit(FLOOR)).alias("log_prob"))
 
@@ -103,8 +107,8 @@ def _role_tag(unit: Column) -> Column:
     return F.struct(F.regexp_extract(inner, "@([^@]*)$", 1).alias("role"), F.regexp_extract(inner, "^(.*)@", 1).alias("tag"))
 
 
-def attach_keys(rules: DataFrame) -> DataFrame:
-    """rules: id, type, rule, word_order -> id, demand: distinct demand lists, each under its first id.
+def rule_demands(rules: DataFrame) -> DataFrame:
+    """rules (type, rule, word_order, any others) with demand, the list of what the rule asks for in that order.
 
     A demand is role:>-c-tag-side for a complement, role:<-a-tag-side for the head of an adjunct."""
     r = rules.withColumn("parts", F.split("rule", " --> ")).withColumn("orders", F.split("word_order", " --> "))
@@ -116,7 +120,12 @@ def attach_keys(rules: DataFrame) -> DataFrame:
     up = F.regexp_extract(F.element_at("parts", 1), r"\[([^\]]*)\]", 1)
     adjunct = F.concat(_role_tag(F.try_element_at("parts", F.lit(2)))["role"], F.lit(":<-a-"), up, F.when(F.element_at("orders", 1).cast("int") > 0, "-R").otherwise("-L"))
     keys = F.when(F.col("type") == 1, comp).when(F.col("type") == 2, F.array(adjunct)).otherwise(F.concat(F.array(adjunct), comp))
-    return r.select("id", keys.alias("demand")).groupBy("demand").agg(F.min("id").alias("id")).select("id", "demand")
+    return r.select(*rules.columns, keys.alias("demand"))
+
+
+def attach_keys(rules: DataFrame) -> DataFrame:
+    """rules: id, type, rule, word_order -> id, demand: distinct demand lists, each under its first id."""
+    return rule_demands(rules).groupBy("demand").agg(F.min("id").alias("id")).select("id", "demand")
 
 
 def rules_for_tokens(tokens: DataFrame, rules: DataFrame) -> DataFrame:

@@ -411,7 +411,7 @@ SCORED = f"{LIN}, sc AS (SELECT sent_id, least(head, tok_id) AS i, greatest(head
 
 def _scores(spark, sf_dir) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    s = scoring.score_arcs(_gold(spark, sf_dir), v, _weights(v))
+    s = scoring.score_arcs(_cands(spark, sf_dir), v, _weights(v))
     right = F.col("dir") == "R"
     return s.withColumn("head", F.when(right, F.col("i")).otherwise(F.col("j"))).withColumn("tok_id", F.when(right, F.col("j")).otherwise(F.col("i")))
 
@@ -426,9 +426,10 @@ def arc_log_prob(spark, sf_dir) -> DataFrame:
     v = _vectors(spark, sf_dir)
     f = v.select("fid").distinct()
     w = f.select("fid", F.lit("Yes").alias("outcome"), (F.col("fid") % 7 - 3).cast("double").alias("w")).unionByName(f.select("fid", F.lit("No").alias("outcome"), (F.col("fid") % 5 - 2).cast("double").alias("w")))
-    p = scoring.arc_log_prob(v, w)
+    arcs = _cands(spark, sf_dir).select(*scoring.ARC)
+    p = scoring.arc_log_prob(v, w, arcs)
     sums = v.groupBy("sent_id", "i", "j", "dir").agg(F.sum((F.col("fid") % 7 - 3).cast("double")).alias("y"), F.sum((F.col("fid") % 5 - 2).cast("double")).alias("o"))
-    return p.join(sums, ["sent_id", "i", "j", "dir"]).groupBy("y", "o", F.round("log_prob", 9).alias("log_prob")).agg(_n())
+    return p.join(sums, ["sent_id", "i", "j", "dir"], "left").fillna(0.0, ["y", "o"]).groupBy("y", "o", F.round("log_prob", 9).alias("log_prob")).agg(_n())
 
 
 @query(f"AND {SCORED} SELECT sent_id, sum(CASE WHEN t.pred_head = sc.head THEN 9999 ELSE score END)::DOUBLE AS x FROM sc JOIN tok t USING (sent_id, tok_id) GROUP BY sent_id")
@@ -542,11 +543,15 @@ def rules_for_tokens(spark, sf_dir) -> DataFrame:
 
 @query()
 def license_arcs(spark, sf_dir) -> DataFrame:
-    arcs = trees.dependency_arcs(tokens(spark, sf_dir)).select("sent_id", "head", "tok_id", "head_pos", "pos", F.lit(0.0).alias("score"))
-    # demands of each token: one for its tag's complements and one for the heads of its tag
-    side = F.when(F.col("tok_id") > F.col("head"), "-R").otherwise("-L")
-    want = arcs.where(F.char_length("pos") == 3).select("sent_id", F.col("head").alias("tok_id"), F.concat(F.lit("dobj:>-c-"), "pos", side).alias("demand"))
-    return scoring.license_arcs(arcs, want, grammar.root_tags(tokens(spark, sf_dir))).groupBy(F.array_join("roles", ",").alias("roles"), "badness").agg(_n())
+    h, c = (F.when(F.col("dir") == d, F.col("j")).otherwise(F.col("i")) for d in "LR")
+    arcs = _cands(spark, sf_dir).select("sent_id", "tags", h.alias("head"), c.alias("tok_id")).where("tok_id > 0")
+    arcs = arcs.select("sent_id", "head", "tok_id", F.get("tags", "head").alias("head_pos"), F.get("tags", "tok_id").alias("pos"), F.lit(0.0).alias("score"))
+    # demands of each token: those of its rules in all their word orders
+    kinds = _kinds(spark, sf_dir)
+    asked = scoring.rule_demands(_events(spark, sf_dir).select("type", "rule", "word_order").distinct()).select("type", "rule", F.explode("demand").alias("demand")).distinct()
+    own = scoring.rules_for_tokens(kinds, _rules(spark, sf_dir)).join(asked, ["type", "rule"]).join(kinds, ["sent_id", "tok_id"]).select("word", "pos", "demand").distinct()
+    want = tokens(spark, sf_dir).join(own, ["word", "pos"]).select("sent_id", "tok_id", "demand")
+    return scoring.license_arcs(arcs, want, grammar.root_tags(tokens(spark, sf_dir))).groupBy((F.col("head") == 0).alias("root"), F.array_join("roles", ",").alias("roles"), "badness", F.round("score", 9).alias("score")).agg(_n())
 
 
 @query("""AND a AS (SELECT sent_id, head, tok_id, role, row_number() OVER (PARTITION BY sent_id, head, role ORDER BY tok_id) AS k FROM tok),

@@ -1,11 +1,12 @@
 """Queries over the whole derived treebank, against brute force in Python on a small table."""
 
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 
 import pytest
 
 from arbora.functions import tags
-from arbora.operators import features, grammar
+from arbora.operators import features, grammar, scoring
 from arbora.plans import fixtures, queries
 
 TEXTS = ["the big cat sees a dog on extraordinary roads and 12 birds sing loudly today", "we go home"]
@@ -110,3 +111,59 @@ def test_rules_of_one_sentence_count(spark, sf, sents):
                 for k in {k for k, _ in rules.get(t.pos, ())}:
                     want[k, t.pos, max((n[k, t.pos, rule], rule) for x, rule in rules[t.pos] if x == k)[1]] += 1
     assert counts(queries.rules_for_tokens(spark, sf)) == want
+
+
+def scored(spark, sf, sents):
+    """sent_id, head, child and the sums of both outcomes' weights for every candidate."""
+    ids = {r.feature: r.fid for r in queries.feature_dictionary(spark, sf).collect()}
+    arcs = [(k, *((j, i) if way == "L" else (i, j))) for k, rows in sents.items() for i in range(len(rows)) for j in range(i + 1, len(rows)) for way in "LR"]
+    for arc, (_, p, b) in zip(arcs, candidates(sents), strict=True):
+        known = [ids[f] for f in linear(p, b) if f in ids]
+        yield *arc, sum(x % 7 - 3 for x in known), sum(x % 5 - 2 for x in known)
+
+
+@pytest.mark.parametrize("name", ["score_arcs", "force_arcs", "arc_log_prob"])
+def test_scores_of_all_candidates(spark, sf, sents, name):
+    x, forced, probs = defaultdict(lambda: [0, 0.0]), defaultdict(float), Counter()
+    for k, h, c, y, o in scored(spark, sf, sents):
+        x[k][0] += 1
+        x[k][1] += y * c
+        forced[k] += 9999 if c and sents[k][c].pred_head == h else y
+        probs[float(y), float(o), round(math.log(1 / (1 + math.exp(o - y))), 9)] += 1
+    assert any(r.pred_head != r.head for rows in sents.values() for r in rows[1:])
+    rows = getattr(queries, name)(spark, sf)
+    if name == "arc_log_prob":
+        assert counts(rows) == probs
+    else:
+        assert {r.sent_id: [r.n, r.x] if name == "score_arcs" else r.x for r in rows.collect()} == dict(x if name == "score_arcs" else forced)
+
+
+def test_licenses_of_all_candidates(spark, sf, sents):
+    n, rules, orders = Counter(), defaultdict(set), defaultdict(set)
+    events = grammar.rule_events(fixtures.tokens(spark, sf))
+    for r in scoring.rule_demands(events.select("type", "rule", "word_order").distinct()).collect():
+        orders[r.type, r.rule].update(r.demand)
+    for r in events.select("type", "head_key", "rule", "sent_id").distinct().collect():
+        n[r.type, r.head_key, r.rule] += 1
+        rules[r.head_key].add((r.type, r.rule))
+    kinds = {d.split(":")[1][:2] for x in orders.values() for d in x}
+    assert kinds == {">-", "<-"}
+
+    def demands(t):
+        own = rules.get(f"{t.word}/{t.pos}")
+        if own is None:
+            own = set() if t.pos in tags.NO_GENERIC_RULES else {max((n[k, t.pos, r], k, r) for k, r in rules[t.pos] if k == kind)[1:] for kind in {k for k, _ in rules.get(t.pos, ())}}
+        return {tuple(d.split(":", 1)) for rule in own for d in orders[rule]}
+
+    roots = {r.pos for rows in sents.values() for r in rows[1:] if r.head == 0}
+    want = Counter()
+    for rows in sents.values():
+        for c, t in enumerate(rows[1:], 1):
+            for h in range(len(rows)):
+                if h != c:
+                    head_pos, right = rows[h].pos if h else "<root-POS>", c > h
+                    roles = {r for r, key in demands(rows[h]) if key == f">-c-{t.pos}-{'R' if right else 'L'}"} if h else set()
+                    roles |= {r for r, key in demands(t) if key == f"<-a-{head_pos}-{'L' if right else 'R'}"}
+                    score = round(math.log(0.1) if (t.pos not in roots if h == 0 else not roles) else 0.0, 9)
+                    want[h == 0, ",".join(sorted(roles)), int(h != 0 and not roles), score] += 1
+    assert {b for b in want if b[0]} and counts(queries.license_arcs(spark, sf)) == want
