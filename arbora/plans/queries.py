@@ -670,9 +670,22 @@ def merge_unknown_syllables(spark, sf_dir) -> DataFrame:
 
 @query(f"AND {LEX}, {LAT}, nodes AS (SELECT DISTINCT doc_id, s, t, lat.word, lex.pos FROM lat JOIN lex ON lat.word = lex.word AND NOT regexp_matches(lat.word, '^[0-9.,]+$')) SELECT pos, count(*) AS n FROM nodes GROUP BY pos")
 def tag_lattice(spark, sf_dir) -> DataFrame:
-    lexicon = _lexicon(spark, sf_dir)
-    known = _lattice(spark, sf_dir).join(lexicon.select("word"), "word", "left_semi").where("not word rlike '^[0-9.,]+$'").select("doc_id", "s", "t", "word").distinct()
-    return segment.tag_lattice(known, lexicon).groupBy("pos").agg(_n())
+    return _nodes(spark, sf_dir).groupBy("pos").agg(_n())
+
+
+def _nodes(spark, sf_dir) -> DataFrame:
+    whole = _lattice(spark, sf_dir).select("doc_id", "s", "t", "word").distinct()
+    return segment.tag_lattice(whole, _lexicon(spark, sf_dir))
+
+
+@query()
+def adjacent(spark, sf_dir) -> DataFrame:
+    return segment.adjacent(_nodes(spark, sf_dir)).groupBy("pos", "pos2").agg(_n())
+
+
+@query()
+def reachable(spark, sf_dir) -> DataFrame:
+    return segment.reachable(_nodes(spark, sf_dir)).groupBy("pos", "pos2").agg(_n())
 
 
 # ---- evaluation
