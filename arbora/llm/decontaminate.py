@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import materialize, row_key, steps, width
+from .common import materialize, row_key, steps, trimmed, width
 
 WINDOW = 10
 GROUP_BYTES = 8 << 20
@@ -71,7 +71,7 @@ def _index(batches):
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of docs (doc_id, text)."""
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_index, _INDEX), "op9-index")
+    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(_index), _INDEX), "op9-index")
 
 
 class Query:
@@ -111,7 +111,8 @@ def _search(query, slop: int):
     def run(table: pa.Table) -> pa.Table:
         q = query.value
         is_doc = table.column("term").is_null().to_numpy()
-        docs = table.filter(pa.array(is_doc)).sort_by("first")
+        # documents without words share their place with the next one, which must come last of them
+        docs = table.filter(pa.array(is_doc)).sort_by([("first", "ascending"), ("n_words", "ascending")])
         first, n_words = docs.column("first").to_numpy(), docs.column("n_words").to_numpy()
         posts = table.filter(pa.array(~is_doc))
         number = np.searchsorted(q.vocabulary, posts.column("term").to_numpy())

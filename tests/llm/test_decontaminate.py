@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from arbora.llm import decontaminate
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
@@ -62,3 +64,18 @@ def test_proximity(spark):
     items = spark.createDataFrame([(7, item)], ITEMS)
     assert {r.doc_id for r in decontaminate.matches(index, items).collect()} == {1}
     assert {r.doc_id for r in decontaminate.matches(index, items, slop=1).collect()} == {1, 2}
+
+
+def test_documents_without_words_hide_no_hit(spark):
+    """Rows of a block come in any order: a text after empty ones is found whichever row is first."""
+    item = " ".join(f"t{i}" for i in range(12))
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    rows = [(1, ""), (2, f"x {item} y"), (3, None), (4, "..."), (5, item)]
+    for order in (rows, rows[::-1], [rows[1], rows[0], rows[4], rows[3], rows[2]]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        index = decontaminate.build_index(docs)
+        shuffled = index.orderBy(F.desc("n_words"), F.desc("doc_id"))
+        found = decontaminate.matches(shuffled, items).where("size(words) > 0")
+        assert sorted((r.doc_id, len(r.words)) for r in found.collect()) == [(2, 12), (5, 12)]
+        got = {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, items).collect()}
+        assert got == {1: 0, 2: 12, 3: 0, 4: 0, 5: 12}
