@@ -3,17 +3,22 @@ r"""WARC: a deterministic sharded writer and a reader.
 Write, in four steps:
 
 1. decide   payloads of at least MIN_REVISIT bytes are grouped by SHA-256; the record of the smallest
-            page_id is the response, the others are revisits of it. Only digests and ids move.
-2. sort     records are range-sorted by page_id into shards of about SHARD_BYTES of payload. Shard
-            bounds come from a histogram of page_id that is refined where it is dense, so the same
-            records give the same shards whatever the cluster does.
+            page_id is the response, the others are revisits of it. Only digests and ids move, a row for each
+            distinct (page_id, digest, url), so copies are counted before they are shuffled.
+2. sort     those rows are range-sorted by page_id and a hash of digest and url; a running sum of bytes in
+            each range, and one total a range, give every record its place among the bytes of all records, and so
+            its shard of about SHARD_BYTES (more where there would be over MAX_SHARDS). The ranges only
+            share out the work: the same records give the same shards whatever the cluster does. Pages
+            find their shard in the sorted list of first records, which goes to the tasks (24 bytes a shard).
+            Each shard is a partition. Equal rows that fill more than a shard are dealt over their
+            shards by a hash of the row's place, as nothing else tells them apart.
 3. write    a task writes its shards in order, a gzip member a record, with WARC and HTTP headers made
-            anew (lengths, digests, record ids from page ids, one date), and starts a new file when
+            anew (lengths, digests, record ids, one date), and starts a new file when
             the compressed size reaches FILE_BYTES. Files get temporary names with a token of
             the attempt, and a task returns a manifest row for each file (name, size, records, digest).
 4. commit   the manifest is stored by Spark's own commit, so of several attempts at a shard exactly one
             is named in it. Then each named file is renamed to its final name; a rename that was
-            done before is passed over, so the step can be run again. The file `_MANIFEST` is written last.
+            done before is passed over, so the step can be run again. The table `_MANIFEST` is written last.
             Temporary files of lost attempts are removed.
 
 Read: a task per file reads members one by one, checks block and payload digests, and returns records.
@@ -22,7 +27,8 @@ Files go through pyarrow's file systems (file, hdfs, s3, gs) at the caller's fol
 
 Null html is empty. A null url becomes `urn:x-page:<id>`; control characters and blanks in urls are percent-encoded.
 A null page_id is written as `null` and sorts last. Rows that repeat a page_id are all written: of those with
-equal payload the first is the response and the others revisit it. Further columns play no part.
+equal payload the first is the response and the others revisit it. Record ids hold the page_id, a hash of
+digest and url, and for further equal rows a number, so they are unique. Further columns play no part.
 """
 
 from __future__ import annotations
@@ -32,15 +38,21 @@ import re
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import int64, materialize, remove, scratch_path, small_batches, trimmed, width
 
 MIN_REVISIT = 100
 SHARD_BYTES, FILE_BYTES = 64 << 20, 16 << 20
+#: Shards at most; larger tables get larger shards. Bounds the list of first records.
+MAX_SHARDS = 100_000
+#: Bytes that a record's headers are counted as.
+HEADERS = 512
 DATE = "2024-01-01T00:00:00Z"
 LAST = 2**63 - 1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,17 +61,18 @@ _RECORD = "page_id long, url string, payload_bytes long, payload_digest string,
 _READ = 1 << 20
 
 
-def _urn(page_id: int) -> str:
-    return "urn:x-page:" + ("null" if page_id == LAST else str(page_id))
+def _urn(page_id: int, tie: int = 0, number: str = "") -> str:
+    """The id of a record: page_id, hash of digest and url, and a number where that is not enough."""
+    return f"urn:x-page:{'null' if page_id == LAST else page_id}:{tie % (1 << 64):016x}{number}"
 
 
 def _page(urn: str) -> int | None:
-    x = urn.strip("<>").rpartition(":")[2]
+    x = urn.strip("<>").split(":")[2]
     return None if x == "null" else int(x)
 
 
 def _uri(url: str | None, page_id: int) -> str:
-    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else _urn(page_id)
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:x-page:{'null' if page_id == LAST else page_id}"
 
 
 def _member(lines: list[tuple[str, str]], block: bytes) -> bytes:
@@ -72,12 +85,12 @@ def _sha(x: bytes) -> str:
     return hashlib.sha256(x).hexdigest()
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One compressed record: a response, or a revisit of the response of page refers_to."""
+def record(urn: str, uri: str, payload: bytes, digest: str, refers_to: str | None = None) -> bytes:
+    """One compressed record: a response, or a revisit of the response with id refers_to."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    kind, more = ("response", []) if refers_to is None else ("revisit", [("WARC-Refers-To", f"<{_urn(refers_to)}>"), ("WARC-Profile", _PROFILE)])
+    kind, more = ("response", []) if refers_to is None else ("revisit", [("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Profile", _PROFILE)])
     block = http + payload if refers_to is None else http
-    lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<{_urn(page_id)}>"), ("WARC-Date", DATE), ("WARC-Target-URI", _uri(url, page_id)), *more]
+    lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<{urn}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri), *more]
     lines += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{_sha(block)}"), ("Content-Type", "application/http;msgtype=response")]
     return _member(lines, block)
 
@@ -108,20 +121,28 @@ class _File:
 
 
 def _write(folder: str, file_bytes: int):
+    """Rows sorted by shard, key, tie; where `mark` is set, a row that says how the rows of (key, tie) after it are written."""
+
     def run(batches):
         token, file, done = uuid.uuid4().hex, None, []
-        last = None  # (page_id, digest) of the record before
+        at, mark, copies = None, None, 0
         for b in batches:
-            for page_id, url, html, digest, refers_to, shard in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "shard"))):
+            for key, tie, url, html, digest, refers_to, refers_tie, mark_at, shard in zip(*(b.column(c).to_pylist() for c in ("key", "tie", "url", "html", "digest", "refers_to", "refers_tie", "mark", "shard"))):
+                if (shard, key, tie) != at:
+                    at, mark, copies = (shard, key, tie), None, 0
+                if mark_at is not None:
+                    mark = (mark_at, refers_to, refers_tie)
+                    continue
                 if file and (file.shard != shard or file.bytes >= file_bytes):
                     done.append(file.close())
                     file = _File(folder, shard, file.part + 1 if file.shard == shard else 0, token)
                 file = file or _File(folder, shard, 0, token)
-                payload = (html or "").encode()
-                if refers_to is None and last == (page_id, digest) and len(payload) >= MIN_REVISIT:
-                    refers_to = page_id
-                last = (page_id, digest)
-                file.write(record(page_id, url, payload, digest, refers_to))
+                nth, to, to_tie = mark or (0, None, 0)
+                first = not nth and not copies
+                own = _urn(key, tie, "" if first else f":{nth}.{copies}")
+                copies += 1
+                revisit = to is not None and not (first and (to, to_tie) == (key, tie))
+                file.write(record(own, _uri(url, key), (html or "").encode(), digest, _urn(to, to_tie) if revisit else None))
         if file:
             done.append(file.close())
         if done:
@@ -130,34 +151,62 @@ def _write(folder: str, file_bytes: int):
     return run
 
 
-def shard_bounds(sizes: DataFrame, shard_bytes: int, cells: int = 1024) -> list[int]:
-    """First page_id of every shard after the first, from sums of bytes over ranges of page_id.
-
-    sizes: page_id, bytes. Ranges heavier than a quarter of a shard are cut into `cells` again until they
-    are light or hold one id. At most 64 of them are refined in a pass over the ids."""
-    lo, hi = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    if lo is None:
-        return []
-    todo, done = [(lo, hi)], []
-    while todo:
-        now, todo = todo[:64], todo[64:]
-        # Each range [a, b] in steps of its own width
-        step = [max(1, -(-(b - a + 1) // cells)) for a, b in now]
-        cell = F.coalesce(*(F.when(F.col("page_id").between(a, b), F.struct(F.lit(k).alias("k"), F.floor((F.col("page_id") - F.lit(a)) / F.lit(w)).alias("c"))) for k, ((a, b), w) in enumerate(zip(now, step))))
-        for x, n in sizes.withColumn("cell", cell).where("cell is not null").groupBy("cell").agg(F.sum("bytes")).collect():
-            a = now[x.k][0] + int(x.c) * step[x.k]
-            b = min(a + step[x.k] - 1, now[x.k][1])
-            if n > shard_bytes // 4 and b > a:
-                todo.append((a, b))
-            else:
-                done.append((a, n))
-    bounds, total = [], 0
-    for a, n in sorted(done):
-        if total and total + n > shard_bytes:
-            bounds.append(a)
-            total = 0
-        total += n
-    return bounds
+def _running(batches):
+    """Adds to sorted rows the partition's number and the bytes before each row in it."""
+    part, before = TaskContext.get().partitionId(), 0
+    for b in batches:
+        size = b.column("bytes").to_numpy()
+        end = before + np.cumsum(size)
+        out = b.append_column("part", pa.array(np.full(len(b), part, np.int32)))
+        yield out.append_column("before", pa.array(end - size))
+        before = int(end[-1]) if len(end) else before
+
+
+class Bounds:
+    """First (key, tie) of every shard in order, and those (key, tie) of many copies that fill several shards."""
+
+    def __init__(self, first: list[tuple[int, int, int]], wide: list[tuple[int, int, int, int]]):
+        self.keys, self.ties, self.shards = (np.array([x[i] for x in sorted(first)], np.int64) for i in range(3))
+        self.wide = {(k, t): (a, b - a + 1) for k, t, a, b in wide}
+
+    def of(self, key: np.ndarray, tie: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        at = hi - 1
+        # where shards start within one key, the tie decides
+        inside = np.flatnonzero(hi > lo)
+        for k in np.unique(key[inside]):
+            own = inside[key[inside] == k]
+            a, b = lo[own[0]], hi[own[0]]
+            at[own] = a - 1 + np.searchsorted(self.ties[a:b], tie[own], "right")
+        out = self.shards[at]
+        for (k, t), (first, n) in self.wide.items():
+            own = (key == k) & (tie == t)
+            out[own] = first + salt[own] % n
+        return out
+
+
+def placed(keys: DataFrame, shard_bytes: int) -> tuple[DataFrame, Bounds]:
+    """keys: key, tie (distinct together), bytes, copies, any others -> the same with first and last shard; and Bounds.
+
+    To the driver come one total for each range partition and one row for each shard."""
+    n = width(keys.sparkSession)
+    ordered = keys.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie")
+    schema = ", ".join(f"`{c}` {t}" for c, t in keys.dtypes) + ", part int, before long"
+    ordered = materialize(ordered.mapInArrow(trimmed(_running), schema), "op4-sorted")
+    totals = sorted((r.part, r.total) for r in ordered.groupBy("part").agg(F.sum("bytes").alias("total")).collect())
+    offsets, total = [], 0
+    for part, x in totals:
+        offsets.append((part, total))
+        total += x
+    step = max(shard_bytes, -(-total // MAX_SHARDS))
+    offset = F.broadcast(keys.sparkSession.createDataFrame(offsets, "part int, offset long"))  # a row for each range partition
+    start = F.expr(f"(offset + before) div {step}")
+    last = F.when(F.col("copies") > 1, F.expr(f"(offset + before + bytes - 1) div {step}")).otherwise(start)
+    out = ordered.join(offset, "part").withColumns({"first": start, "last": last}).drop("part", "before", "offset")
+    starts = out.groupBy("first").agg(F.min(F.struct("key", "tie")).alias("m")).select("m.key", "m.tie", "first").collect()
+    wide = out.where("last > first").select("key", "tie", "first", "last").collect()
+    out._arbora_path = ordered._arbora_path
+    return out, Bounds([tuple(r) for r in starts], [tuple(r) for r in wide])
 
 
 def _fs(folder: str):
@@ -181,38 +230,45 @@ def _commit(folder: str):
 def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) to folder (a new one); returns the committed manifest."""
     spark = pages.sparkSession
+    small_batches(spark)
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(LAST)).alias("page_id"), "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("size"))
-    ids = materialize(rows.select("page_id", "digest", "size"), "op4-ids")
-    least = ids.where(f"size >= {MIN_REVISIT}").groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
-    revisit = materialize(ids.join(least, "digest").where("page_id > least").select("page_id", "digest", F.col("least").alias("refers_to")).distinct(), "op4-revisits")
-    bounds = shard_bounds(ids.select("page_id", (F.col("size") + 512).alias("bytes")), shard_bytes)
-    edges = F.array(*[F.lit(x) for x in bounds]).cast("array<bigint>")
-    # place in the sorted bounds, from above
-    shard = F.size(F.filter(edges, lambda x: x <= F.col("page_id"))) if len(bounds) < 32 else _bisect(bounds)
-    sent = rows.withColumn("shard", shard.cast("int")).join(revisit, ["page_id", "digest"], "left")
-    sent = sent.select("page_id", "url", "html", "digest", "refers_to", "shard")
-    n = len(bounds) + 1
+    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(LAST)).alias("key"), "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
+    rows = rows.withColumn("tie", F.xxhash64("digest", "url"))
+    size = F.octet_length("html").cast("long")
+    keys = rows.groupBy("key", "tie", "digest").agg(F.sum(size + HEADERS).alias("bytes"), F.max(size).alias("size"), F.count("*").alias("copies"))
+    keys, bounds = placed(keys, shard_bytes)
+    big = keys.where(f"size >= {MIN_REVISIT}")
+    least = big.groupBy("digest").agg(F.min(F.struct("key", "tie")).alias("m"), F.sum("copies").alias("all_copies")).where("all_copies > 1").select("digest", "m")
+    to = big.join(least, "digest").select("key", "tie", "first", "last", F.col("m.key").alias("refers_to"), F.col("m.tie").alias("refers_tie"))
+    # equal rows over several shards need to know in which they are, even if they are small
+    wide = keys.where(f"last > first and size < {MIN_REVISIT}").select("key", "tie", "first", "last", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("long").alias("refers_tie"))
+    marks = to.unionByName(wide).select("*", F.posexplode(F.sequence("first", "last")).alias("mark", "shard"))
+    none = lambda t: F.lit(None).cast(t)
+    marks = marks.select(F.col("shard").cast("int").alias("shard"), "key", "tie", "mark", "refers_to", "refers_tie", none("string").alias("url"), none("string").alias("html"), none("string").alias("digest"))
+    sent = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def shard_of(key: pa.Array, tie: pa.Array, salt: pa.Array) -> pa.Array:
+        return pa.array(sent.value.of(int64(key), int64(tie), int64(salt)).astype(np.int32))
+
+    salt = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(2**62 - 1))
+    records = rows.withColumn("salt", salt).select(shard_of("key", "tie", "salt").alias("shard"), "key", "tie", none("int").alias("mark"), none("long").alias("refers_to"), none("long").alias("refers_tie"), "url", "html", "digest")
     fs, root = _fs(folder)
     fs.create_dir(root, recursive=True)
-    ordered = sent.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
-    manifest = materialize(ordered.mapInArrow(_write(folder, file_bytes), _MANIFEST), "op4-manifest")
+    n = int(bounds.shards.max(initial=0)) + 1
+    # a mark comes before the rows it is about
+    ordered = records.unionByName(marks).repartitionById(n, "shard").sortWithinPartitions("shard", "key", "tie", F.asc_nulls_last("mark"))
+    manifest = materialize(ordered.mapInArrow(trimmed(_write(folder, file_bytes)), _MANIFEST), "op4-manifest")
+    remove(keys)
     committed = materialize(manifest.repartition(min(n, 256)).mapInArrow(_commit(folder), _MANIFEST), "op4-committed")
     for f in fs.get_file_info(pafs.FileSelector(root)):
         if f.base_name.startswith(".part-"):
             fs.delete_file(f.path)
-    committed.coalesce(1).sortWithinPartitions("shard", "part").write.json(f"{folder}/_MANIFEST")
+    committed.orderBy("shard", "part").write.json(f"{folder}/_MANIFEST")
+    remove(manifest, committed)
     return spark.read.schema(_MANIFEST).json(f"{folder}/_MANIFEST")
 
 
-def _bisect(bounds: list[int], base: int = 0):
-    """Nested conditions of logarithmic depth: number of bounds that are not above page_id."""
-    if not bounds:
-        return F.lit(base)
-    m = len(bounds) // 2
-    return F.when(F.col("page_id") < bounds[m], _bisect(bounds[:m], base)).otherwise(_bisect(bounds[m + 1 :], base + m + 1))
-
-
 def _members(stream):
     """Decompressed gzip members of a stream, one at a time."""
     z, out, rest = zlib.decompressobj(31), [], b""
@@ -275,7 +331,7 @@ def read(spark, folder: str) -> DataFrame:
     """Records of the archives that the folder's manifest names, without payloads, each checked."""
     manifest = spark.read.schema(_MANIFEST).json(f"{folder}/_MANIFEST")
     files = manifest.agg(F.count("*")).first()[0]
-    return manifest.select("name", "records").repartition(max(1, min(files, 4096))).mapInArrow(_read(folder), _RECORD)
+    return manifest.select("name", "records").repartition(max(1, min(files, 4096))).mapInArrow(trimmed(_read(folder)), _RECORD)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:

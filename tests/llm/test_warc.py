@@ -1,7 +1,9 @@
 import glob
 import gzip
 import hashlib
+import re
 
+import numpy as np
 import pytest
 
 from arbora.llm import warc
@@ -58,11 +60,61 @@ def test_empty(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
 
+def shards_of(spark, rows, shard_bytes):
+    """Shard of each row (key, tie, bytes, copies) of placed(), held against a running sum in Python."""
+    df = spark.createDataFrame(rows, "key long, tie long, bytes long, copies long").repartition(5)
+    keys, bounds = warc.placed(df, shard_bytes)
+    got = {(r.key, r.tie): (r.first, r.last) for r in keys.collect()}
+    total = 0
+    for key, tie, n, copies in sorted(rows):
+        first = total // shard_bytes
+        assert got[key, tie] == (first, (total + n - 1) // shard_bytes if copies > 1 else first)
+        total += n
+        at = bounds.of(np.full(64, key), np.full(64, tie), np.arange(64)).tolist()
+        assert set(at) == set(range(got[key, tie][0], got[key, tie][1] + 1))
+    return got
+
+
 def test_shards_of_dense_ids(spark):
-    ids = [(k, 100) for k in range(1000)] + [(10**15, 100), (None, 100)]
-    sizes = spark.createDataFrame([(warc.LAST if i is None else i, n) for i, n in ids], "page_id long, bytes long")
-    bounds = warc.shard_bounds(sizes, 10_000, cells=16)
-    assert bounds == sorted(set(bounds)) and len(bounds) >= 9
-    edges = [-1, *bounds, warc.LAST + 1]
-    for a, b in zip(edges, edges[1:]):
-        assert sum(n for i, n in ids if a <= (warc.LAST if i is None else i) < b) <= 12_500
+    got = shards_of(spark, [(k, 5, 100, 1) for k in range(1000)] + [(10**15, 1, 100, 1), (warc.LAST, 1, 100, 1)], 10_000)
+    assert max(last for _, last in got.values()) == 10
+
+
+def test_shards_of_negative_repeated_and_null_ids(spark):
+    rows = [(-(2**63), 0, 900, 1), (-5, 3, 100, 1), (-5, -7, 40_000, 50), (7, 1, 20_000, 1)]
+    got = shards_of(spark, rows + [(warc.LAST, t * 1000 - 10**6, 300, 1) for t in range(500)], 10_000)
+    assert got[-5, -7] == (0, 4) and max(last for _, last in got.values()) > 18
+
+
+def test_negative_null_and_long(spark):
+    long = "é<b>" * 300_000
+    rows = [(-5, "a", BIG), (None, "b", BIG), (None, "b", "s"), (-(2**63), "c", long), (2**63 - 2, "d", long), (0, None, None)]
+    got = sorted((tuple(r) for r in warc.round_trip(pages(spark, rows)).collect()), key=str)
+    least = {BIG: -5, long: -(2**63)}
+    want = [(i, len((h or "").encode()), digest(h), *(("revisit", least[h]) if h in least and i != least[h] else ("response", None))) for i, _, h in rows]
+    assert got == sorted(want, key=str)
+
+
+def test_equal_rows_over_many_shards(spark, tmp_path):
+    rows = [(3, "u", BIG)] * 400 + [(None, "v", "small")] * 300 + [(9, "w", BIG)] * 5
+    folder = f"{tmp_path}/w"
+    m = warc.write(pages(spark, rows).repartition(7), f"file://{folder}", shard_bytes=20_000).collect()
+    assert len({x.shard for x in m}) > 10
+    ids = []
+    for x in m:
+        with gzip.open(f"{folder}/{x.name}") as f:
+            heads = [h for h in f.read().decode().split("WARC/1.1\r\n") if h and "warcinfo" not in h]
+        ids += [re.search("WARC-Record-ID: (.*)\r\n", h)[1] for h in heads]
+    assert len(ids) == len(set(ids)) == 705
+    back = warc.read(spark, f"file://{folder}")
+    assert sorted((tuple(r) for r in back.groupBy("page_id", "record_type", "refers_to").count().collect()), key=str) == sorted([(3, "response", None, 1), (3, "revisit", 3, 399), (9, "revisit", 3, 5), (None, "response", None, 300)], key=str)
+    at = back.where("page_id = 3 and record_type = 'response'").first()
+    assert at.payload_bytes == len(BIG)
+    to = {re.search("WARC-Refers-To: (.*)\r\n", h)[1] for x in m for h in gzip.open(f"{folder}/{x.name}").read().decode().split("WARC/1.1\r\n") if "WARC-Refers-To" in h}
+    assert len(to) == 1 and to < set(ids)
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a", BIG, 7, "x", 1, 2), (2, "b", BIG, 8, "y", 3, 4)]
+    df = spark.createDataFrame(rows, SCHEMA + ", shard int, digest string, key long, tie long")
+    assert sorted((r.page_id, r.record_type) for r in warc.round_trip(df).collect()) == [(1, "response"), (2, "revisit")]
