@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -14,16 +17,21 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on at a time; a longer text is a step of its own.
 CHUNK_BYTES = 3 << 19
-#: Rows at most of one Arrow batch: at some kilobytes a text, Spark's default of 10,000 is tens of MB, held several times.
-BATCH_ROWS = 2000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bounds of one Arrow batch: at some kilobytes a text, Spark's defaults are tens of MB, held several times.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+_FREE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+# setting: Spark's default and ours
+_SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(BATCH_ROWS)), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(BATCH_BYTES))}
+_held: dict = {}
+_lock = threading.Lock()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one, in local mode (tests) only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         base = getattr(spark, "_arbora_scratch", None)
         if not base:
             base = f"file://{tempfile.mkdtemp(prefix='arbora-')}"
@@ -41,35 +49,78 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a re-read of the table, not a rerun of the job."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    with freed_shuffles(spark), small_batches(spark):
+    small_batches(spark)
+    with freed_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._arbora_path = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing will read again: their successors are written."""
+    for t in tables:
+        sc, path = t.sparkSession.sparkContext, getattr(t, "_arbora_path", None)
+        if path:
+            hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 @contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Hold settings of a session. Blocks of several threads share them: the last one to end puts the old values back."""
+    key = (id(spark), *values)
+    with _lock:
+        n, old = _held.get(key, (0, None))
+        if not n:
+            old = {k: spark.conf.get(k, None) for k in values}
+            for k, v in values.items():
+                spark.conf.set(k, v)
+        _held[key] = (n + 1, old)
+    try:
+        yield
+    finally:
+        with _lock:
+            n, old = _held.pop(key)
+            if n > 1:
+                _held[key] = (n - 1, old)
+            else:
+                for k, v in old.items():
+                    spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def freed_shuffles(spark: SparkSession):
     """Within, Spark removes the shuffle files of each query as soon as it has ended.
 
     For writes only, after which nothing asks for those files; else they stay until the driver
     happens to collect its garbage, and the disk holds all steps' files at once."""
-    old = spark.conf.get(_FREE, None)
-    spark.conf.set(_FREE, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_FREE, old) if old else spark.conf.unset(_FREE)
+    return _settings(spark, _FREE)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """Within, Arrow batches of the queries that run hold BATCH_ROWS rows at most."""
-    old = spark.conf.get(_BATCH)
-    if not 0 < int(old) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, BATCH_ROWS)
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, old)
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to BATCH_ROWS rows and some BATCH_BYTES, where they are still Spark's defaults.
+
+    The setting stays, as the caller runs an operator's last step."""
+    for k, (default, v) in _SMALL.items():
+        if spark.conf.get(k, default) == default:
+            spark.conf.set(k, v)
+
+
+def trimmed(run):
+    """A function for mapInArrow whose worker gives freed memory back to the system when a task ends.
+
+    Workers live on and serve later steps; what their allocators keep would count against the executor."""
+
+    @functools.wraps(run)
+    def with_trim(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return with_trim
 
 
 def width(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, small_batches, steps
+from .common import small_batches, steps, trimmed
 
 FEATURE_BITS = 16
 ORDERS = (1, 2, 3)
@@ -129,6 +129,7 @@ class Model:
 
 def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
     """Fit on the rows of labelled (text, lang) with both, a sample of at most about max_rows of them."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     seen = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(seen) > MAX_LANGUAGES:
@@ -139,13 +140,12 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
         if n > max_rows:
             rows = rows.where(F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
         number = {x: i for i, x in enumerate(languages)}
-        part = rows.mapInArrow(_count(languages), "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-        with small_batches(labelled.sparkSession):
-            for lang, feature, k in part.toLocalIterator():
-                if feature < 0:
-                    docs[number[lang]] = k
-                else:
-                    counts[number[lang], feature] = k
+        part = rows.mapInArrow(trimmed(_count(languages)), "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+        for lang, feature, k in part.toLocalIterator():
+            if feature < 0:
+                docs[number[lang]] = k
+            else:
+                counts[number[lang], feature] = k
     return Model(languages, counts, docs)
 
 
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     own = [c for c in ("doc_id", "held_out", "row") if c in docs.columns]
     schema = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in own)
-    return docs.select(*own, "text").mapInArrow(_predict(sent), f"{schema}, lang_pred string, score double")
+    return docs.select(*own, "text").mapInArrow(trimmed(_predict(sent)), f"{schema}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -190,15 +190,15 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
-    """docs whose text has a letter and whose predicted language has a posterior of min_score or more."""
+    """docs whose text has a letter and whose predicted language has a posterior of min_score or more.
+
+    Only texts go to Python and only verdicts come back; rows are filtered in the JVM."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     predict_batch = _predict(sent)
 
-    def run(batches):
-        for b in batches:
-            parts = [b.slice(s, BATCH_ROWS) for s in range(0, len(b), BATCH_ROWS)]
-            for part, out in zip(parts, predict_batch(p.select(["text"]) for p in parts)):
-                keep = pc.and_(pc.not_equal(out.column("lang_pred"), UNKNOWN), pc.greater_equal(out.column("score"), min_score))
-                yield part.filter(keep)
+    @F.arrow_udf("boolean")
+    def keep(text: pa.Array) -> pa.Array:
+        (out,) = predict_batch([pa.RecordBatch.from_arrays([text], names=["text"])])
+        return pc.and_(pc.not_equal(out.column("lang_pred"), UNKNOWN), pc.greater_equal(out.column("score"), min_score))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(keep("text"))

@@ -4,12 +4,12 @@ Each document is tokenized and ends with id END. One longer than SIZE is cut int
 of which the first may be shorter; a piece of SIZE tokens is a sequence of its own. The rest are
 items of 1 to SIZE - 1 tokens.
 
-Level 0 deals the items at random over partitions and packs each partition best-fit, longest items
-first. Bins with fewer than SLACK free tokens are final. The other bins are items of the next level,
-where FAN partitions meet in one, until one is left. A partition passes on at most PASS_ON bins, its
-emptiest; the others are final too, so no task ever gets more than FAN * PASS_ON items (level 0: the
-table's share of a partition). As items are dealt at random, each partition sees the mix of sizes of
-the whole table, and what it cannot fill, others can hardly fill either.
+Level 0 deals the items at random over partitions of some PER_TASK items and packs each partition
+best-fit, longest items first. Bins with fewer than SLACK free tokens are final. All other bins are
+items of the next level, dealt anew over as many partitions as their number asks for, until one
+partition holds them all, or a round merges less than one in LEAST of its items: as items are dealt at
+random, each partition sees the mix of sizes of the whole table, and what it cannot fill, others can
+hardly fill either. No bin is left out of a round, and no task gets much more than PER_TASK items.
 
 Only lengths move: ids are encoded once, in the first step.
 
@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, steps, width
+from .common import materialize, row_key, steps, trimmed
 from .tokens import STEP_BYTES, encoder
 
 SIZE, END = 2048, 0
-SLACK, FAN, PASS_ON = 8, 8, 4096
+SLACK = 8
+#: Items of one task, and the share of items (one in so many) that a round must merge for another to follow.
+PER_TASK, LEAST = 50_000, 100
 
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -59,7 +61,7 @@ def _pieces(path: str, size: int):
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32 of every piece of every document."""
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), "text")
-    return rows.mapInArrow(_pieces(tokenizer, size), _PIECES)
+    return rows.mapInArrow(trimmed(_pieces(tokenizer, size)), _PIECES)
 
 
 def best_fit(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,35 +88,32 @@ def best_fit(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndar
     return bins, offsets, np.array(fill, np.int64)
 
 
-def _level(level: int, size: int, slack: int, pass_on: int, last: bool):
+def _level(level: int, size: int, slack: int):
     """Packs one partition's items; a bin's id is made of level, partition and number."""
 
     def run(items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["length", "item"], ascending=[False, True], ignore_index=True)
         bins, offsets, fill = best_fit(items["length"].to_numpy(), size)
         base = (level << 58) + (int(items["part"].iloc[0]) << 28)
-        open_bins = np.flatnonzero(fill <= size - slack)
-        open_bins = open_bins[np.argsort(fill[open_bins], kind="stable")][: 0 if last else pass_on]
-        is_open = np.zeros(len(fill), bool)
-        is_open[open_bins] = True
-        return pd.DataFrame({"item": items["item"], "bin": base + bins, "at": offsets, "fill": fill[bins], "open": is_open[bins], "part": items["part"]})
+        return pd.DataFrame({"item": items["item"], "bin": base + bins, "at": offsets, "fill": fill[bins], "open": (fill <= size - slack)[bins]})
 
     return run
 
 
-def pack(items: DataFrame, parts: int, size: int = SIZE, slack: int = SLACK, fan: int = FAN, pass_on: int = PASS_ON) -> DataFrame:
-    """items: item (long, distinct), length (1..size) -> item, sequence_id, offset."""
-    schema = "item long, bin long, at long, fill long, open boolean, part long"
-    level, dealt, levels = 0, items.select("item", "length", F.pmod(F.xxhash64("item"), F.lit(parts)).alias("part")), []
+def pack(items: DataFrame, parts: int, size: int = SIZE, slack: int = SLACK, per_task: int = PER_TASK) -> DataFrame:
+    """items: item (long, distinct), length (1..size) -> item, sequence_id, offset. parts: partitions of the first round."""
+    schema = "item long, bin long, at long, fill long, open boolean"
+    levels: list[DataFrame] = []
+    items = items.select("item", "length")
     while True:
-        last = parts == 1
-        packed = materialize(dealt.groupBy("part").applyInPandas(_level(level, size, slack, pass_on, last), schema), f"op6-level{level}")
+        dealt = items.withColumn("part", F.pmod(F.xxhash64("item", F.lit(len(levels))), F.lit(parts)))
+        packed = materialize(dealt.groupBy("part").applyInPandas(_level(len(levels), size, slack), schema), f"op6-level{len(levels)}")
         levels.append(packed)
-        if last:
+        bins = packed.where("open").groupBy(F.col("bin").alias("item")).agg(F.first("fill").alias("length"))
+        n, n_bins, n_open = packed.agg(F.count("*"), F.count_if(F.col("at") == 0), F.count_if((F.col("at") == 0) & F.col("open"))).first()  # each bin has one item at 0
+        if parts == 1 or not n_open or len(levels) > 1 and (n - n_bins) * LEAST < n:
             break
-        parts = -(-parts // fan)
-        dealt = packed.where("open").groupBy(F.col("bin").alias("item")).agg(F.first("fill").alias("length"), F.expr(f"first(part) div {fan}").alias("part"))
-        level += 1
+        parts, items = -(-n_open // per_task), bins
     out = levels[0].select("item", "bin", F.col("at").alias("offset"), "open")
     for up in levels[1:]:
         up = up.select(F.col("item").alias("bin"), F.col("bin").alias("up"), F.col("at").alias("up_at"), F.col("open").alias("up_open"))
@@ -125,5 +124,5 @@ def pack(items: DataFrame, parts: int, size: int = SIZE, slack: int = SLACK, fan
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     cut = materialize(pieces(docs, tokenizer, size).withColumn("item", F.monotonically_increasing_id()), "op6-pieces")
-    placed = pack(cut.select("item", "length"), width(docs.sparkSession), size)
+    placed = pack(cut.select("item", "length"), max(1, -(-cut.count() // PER_TASK)), size)
     return cut.join(placed, "item").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import freed_shuffles, materialize, row_key, scratch_path, small_batches, steps
+from .common import freed_shuffles, materialize, row_key, scratch_path, small_batches, steps, trimmed
 from .tokens import STEP_BYTES, encoder, version
 
 LIMIT = 1024
@@ -50,6 +50,7 @@ def read_cache(spark, cache: str) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row. tokenizer: path of a tokenizers .json file."""
     spark = docs.sparkSession
+    small_batches(spark)
     cache = cache or scratch_path(spark, "token-cache")
     made_by = version(tokenizer)
     text = F.coalesce("text", F.lit(""))
@@ -58,8 +59,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     stored = read_cache(spark, cache).where(F.col("tokenizer_version") == made_by).select("content_digest", "n_tokens")
     missing = rows.groupBy("content_digest").agg(F.min("row").alias("row")).join(stored, "content_digest", "left_anti")
     texts = docs.select(row_key().alias("row"), text.alias("text")).join(missing, "row")
-    fresh = texts.select("content_digest", "text").mapInArrow(_encode(tokenizer), "content_digest binary, n_tokens long")
-    with freed_shuffles(spark), small_batches(spark):
+    fresh = texts.select("content_digest", "text").mapInArrow(trimmed(_encode(tokenizer)), "content_digest binary, n_tokens long")
+    with freed_shuffles(spark):
         fresh.select("content_digest", F.lit(made_by).alias("tokenizer_version"), "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer_version") == made_by).select("content_digest", "n_tokens")
     out = rows.join(counts, "content_digest")

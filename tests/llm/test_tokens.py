@@ -92,3 +92,27 @@ def test_levels_merge_underfull_bins(spark):
     got = placed.collect()
     assert len(got) == 64 and len({x.sequence_id for x in got}) == 22
     assert len({(x.sequence_id, x.offset) for x in got}) == 64
+
+
+def test_no_bin_is_left_out_of_a_round(spark):
+    """More underfull bins than one task takes: rounds go on over several partitions until nothing merges."""
+    r = random.Random(4)
+    lengths = [r.choice([110, 230, 330, 510, 620]) for _ in range(3000)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    got = packing.pack(items, parts=60, size=1000, slack=50, per_task=100).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.sequence_id, []).append((x.offset, lengths[x.item]))
+    assert len(got) == 3000 and all(sum(n for _, n in b) <= 1000 and sorted(o for o, _ in b) == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] for b in by.values())
+    _, _, whole = packing.best_fit(np.array(lengths), 1000)
+    assert len(by) <= len(whole) * 1.05  # partitions of 50 items fit worse than one of 3000
+    alone = packing.pack(items.where("length = 620"), parts=9, size=1000, slack=50, per_task=100)
+    assert alone.select("sequence_id").distinct().count() == lengths.count(620)
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b", 5, "x", 3), (2, None, 6, "y", 4), (1, "a b", 5, "x", 3)]
+    df = spark.createDataFrame(rows, SCHEMA + ", row int, content_digest string, item int")
+    assert sorted((r.doc_id, r.n_bytes) for r in token_counts.token_counts(df, PATH).collect()) == [(1, 3), (1, 3), (2, 0)]
+    out = packing.pack_documents(df, PATH).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == [(1, 3), (1, 3), (2, 1)]
