@@ -79,8 +79,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM base"""
 
 
+#: Levels that the SQL of the template tree is written out for: it is exact for tables whose paths have no more segments.
+URL_LEVELS = 12
+
+
 def _urls() -> str:
-    from .urls import MAX_DEPTH, MIN_SHARE, MIN_SUPPORT, REJECT, RULES, Z2, A
+    from .urls import MIN_SHARE, MIN_SUPPORT, REJECT, RULES, Z2, A
 
     rules = ", ".join(f"('{r}', '{v}')" for r, v in RULES)
     sql = rf"""
@@ -94,10 +98,10 @@ fit AS (
   SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM p JOIN parts
   ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r),
 ruled AS (SELECT p.*, rule, v FROM p LEFT JOIN fit USING (r)),
-t0 AS (
+t0 AS MATERIALIZED (
   SELECT host, path, count(*) AS n, count(rule) AS lab, count(*) FILTER (v = 'block') AS blk,
     list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, '' AS template FROM ruled GROUP BY host, path)"""
-    for d in range(MAX_DEPTH):
+    for d in range(URL_LEVELS):
         sql += rf""",
 s{d} AS (SELECT host, template, segs[{d + 1}] AS seg, sum(n) AS n, sum(lab) AS lab, sum(blk) AS blk FROM t{d} WHERE len(segs) > {d} GROUP BY ALL),
 l{d} AS (SELECT *, n >= {MIN_SUPPORT} AND n * 100 >= sum(n) OVER (PARTITION BY host, template) * {MIN_SHARE} AS literal FROM s{d}),
@@ -105,11 +109,12 @@ m{d} AS (
   SELECT *, sum(lab) FILTER (literal) OVER (PARTITION BY host, template) AS l, sum(blk) FILTER (literal) OVER (PARTITION BY host, template) AS b FROM l{d}),
 k{d} AS (
   SELECT host, template, seg, template || '/' || CASE WHEN NOT literal THEN '*'
-    WHEN (blk * l - lab * b)::DOUBLE * (blk * l - lab * b) <= {Z2}::DOUBLE * lab * b * (l - b) THEN '~' ELSE seg END AS next FROM m{d}),
-t{d + 1} AS (
+    WHEN lab = 0 THEN '~'
+    WHEN (blk * l - lab * b)::DOUBLE * (blk * l - lab * b) <= {Z2}::DOUBLE * ((b + {A / 2}::DOUBLE) / (l + {A})) * (1 - (b + {A / 2}::DOUBLE) / (l + {A})) * lab * l * l THEN '~=' ELSE seg END AS next FROM m{d}),
+t{d + 1} AS MATERIALIZED (
   SELECT t.host, t.path, t.n, t.lab, t.blk, t.segs, coalesce(k.next, t.template) AS template
   FROM t{d} t LEFT JOIN k{d} k ON k.host = t.host AND k.template = t.template AND k.seg = t.segs[{d + 1}])"""
-    t = f"t{MAX_DEPTH}"
+    t = f"t{URL_LEVELS}"
     return sql + rf""",
 prior AS (SELECT coalesce(sum(blk)::DOUBLE / nullif(sum(lab), 0), 0) AS prior FROM {t}),
 bad AS (SELECT host, template, (sum(blk) + {A} * any_value(prior)) / (sum(lab) + {A}) >= {REJECT} AS rejected FROM {t}, prior GROUP BY host, template)
