@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import chunks, materialize, row_key, steps, utf8
+from .common import chunks, materialize, row_key, steps, trimmed, utf8
 from .graph import components
 
 SHINGLE = 5
@@ -152,7 +152,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     texts = materialize(docs.select(row_key().alias("row"), "text").join(used, "row").dropDuplicates(["row"]), "op8-texts")
     p = p.join(texts.select(F.col("row").alias("row_b"), F.col("text").alias("text_b")), "row_b")
     p = p.join(texts.select(F.col("row").alias("row_a"), F.col("text").alias("text_a")), "row_a")
-    return materialize(p.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "u long, v long").distinct(), "op8-links")
+    return materialize(p.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_confirm), "u long, v long").distinct(), "op8-links")
 
 
 def _shingles(batches):
@@ -169,7 +169,7 @@ def _shingles(batches):
 def _by_prefix(left: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components among left (node, component, row) that share a prefix shingle."""
     texts = docs.select(row_key().alias("row"), "text").join(left, "row").dropDuplicates(["node", "row"])
-    every = materialize(texts.select("node", "component", "text").mapInArrow(_shingles, "node long, component long, n long, shingle long"), "op8-shingles")
+    every = materialize(texts.select("node", "component", "text").mapInArrow(trimmed(_shingles), "node long, component long, n long, shingle long"), "op8-shingles")
     common = every.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
     shared = every.join(common, "shingle")
     # those that no other class has come first in the order, but can't be shared
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     """(row_key of the document first, if asked for,) doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), row_key().alias("row"), "text")
-    signed = materialize(rows.mapInArrow(_sign, _SIGNED), "op8-signed")
+    signed = materialize(rows.mapInArrow(trimmed(_sign), _SIGNED), "op8-signed")
     names = signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"))
     names = materialize(names, "op8-names")
     classes = signed.join(names.withColumnRenamed("node", "id"), ["k1", "k2", "id"]).select(F.col("id").alias("node"), "row", "sig", "bands")

@@ -3,6 +3,39 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import width
+
+#: Packed bytes of one bucket, which is a partition and the unit that a task holds in memory.
+BUCKET_BYTES = 16 << 20
+#: Entries that a task gathers, over chunks of documents, before it packs them.
+FLUSH = 400_000
+
+
+def bucket_count(texts: DataFrame, share: float) -> int:
+    """Buckets for entries of `share` bytes for each byte of column text: as many as the session's shuffles have, or more by size."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(width(texts.sparkSession), int(size * share) // BUCKET_BYTES + 1)
+
+
+def by_number(rows: DataFrame, n: int) -> DataFrame:
+    """Rows dealt by column bucket, one bucket a partition."""
+    return rows.repartitionById(n, "bucket")
+
+
+def gathered(parts, emit):
+    """Arrays of several chunks joined until there are FLUSH entries, then emitted."""
+    held, n = [], 0
+    for arrays in parts:
+        held.append(arrays)
+        n += len(arrays[0])
+        if n >= FLUSH:
+            yield from emit(*(np.concatenate(x) for x in zip(*held)))
+            held, n = [], 0
+    if n:
+        yield from emit(*(np.concatenate(x) for x in zip(*held)))
 
 
 def new_run(*keys: np.ndarray) -> np.ndarray:

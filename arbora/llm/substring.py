@@ -14,7 +14,9 @@ share an anchor at the same distance (0 to 6) from their starts:
 
 Steps 1 and 2 send one packed row per (chunk of documents, bucket of hashes), not a row per hash.
 A chunk settles repeats among its own documents before it sends anything, so a passage that very
-many documents share costs one entry per chunk, and no task gets all places of a hot passage.
+many documents share costs one entry per chunk, and no task gets all places of a hot passage. The
+number of buckets follows the bytes of the texts, so that a bucket, which is what a task holds in
+memory, stays at some BUCKET_BYTES.
 
 Null text has no words. Rows of null doc_id come last in the order of documents. Rows that repeat
 a doc_id don't remove each other's words (neither id is smaller); rows that repeat id and text get
@@ -30,10 +32,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import textvec as tv
-from .common import int64, materialize, row_key, steps, width
-from .packed import by_bucket, joined, new_run, runs
+from .common import int64, materialize, remove, row_key, small_batches, steps, trimmed
+from .packed import bucket_count, by_bucket, by_number, gathered, joined, new_run, runs
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
@@ -133,9 +136,10 @@ def _gather(by_doc: bool):
 
 def exchange(rows: DataFrame, emit, by_smaller: bool) -> DataFrame:
     """Bring the entries that emit makes of rows together by bucket; one row per document row with its kept places."""
-    n = width(rows.sparkSession)
-    met = rows.mapInArrow(emit(n), _SENT).repartition(n, "bucket").mapInArrow(_meet(n, by_smaller), _FOUND)
-    return met.repartition(n, "bucket").mapInArrow(_gather(by_smaller), _GATHERED)
+    # an entry of 21 bytes (anchors) or 37 (windows) for some of the words
+    n = bucket_count(rows, 1.2)
+    met = by_number(rows.mapInArrow(trimmed(emit(n)), _SENT), n).mapInArrow(trimmed(_meet(n, by_smaller)), _FOUND)
+    return by_number(met, n).mapInArrow(trimmed(_gather(by_smaller)), _GATHERED)
 
 
 def _places(column: pa.Array) -> list[np.ndarray]:
@@ -143,7 +147,7 @@ def _places(column: pa.Array) -> list[np.ndarray]:
 
 
 def _anchors(buckets: int):
-    def run(batches):
+    def parts(batches):
         for b in batches:
             doc, row = int64(b.column("doc_id")), int64(b.column("row"))
             for s, e, texts in steps(b.column("text"), as_bytes=True):
@@ -152,13 +156,13 @@ def _anchors(buckets: int):
                 ok = (left >= ANCHOR) & np.isin(at % PERIOD, COVER) & (w.count[w.doc] >= WINDOW)
                 keys = tv.window_hashes(w.hashes(tv.TABLES[0]), ANCHOR, 1)[ok]
                 d = w.doc[ok]
-                yield from _settle(doc[s:e][d], row[s:e][d], at[ok], keys, np.zeros(len(keys), np.uint64), buckets, False)
+                yield doc[s:e][d], row[s:e][d], at[ok], keys, np.zeros(len(keys), np.uint64)
 
-    return run
+    return lambda batches: gathered(parts(batches), lambda *entries: _settle(*entries, buckets, False))
 
 
 def _windows(buckets: int):
-    def run(batches):
+    def parts(batches):
         for b in batches:
             doc, row = int64(b.column("doc_id")), int64(b.column("row"))
             places = _places(b.column("places"))
@@ -173,9 +177,9 @@ def _windows(buckets: int):
                 k1 = tv.window_hashes(w.hashes(tv.TABLES[0]), WINDOW, 2)[ok]
                 k2 = tv.window_hashes(w.hashes(tv.TABLES[1]), WINDOW, 3)[ok]
                 d = w.doc[ok]
-                yield from _settle(doc[s:e][d], row[s:e][d], w.index()[ok], k1, k2, buckets, True)
+                yield doc[s:e][d], row[s:e][d], w.index()[ok], k1, k2
 
-    return run
+    return lambda batches: gathered(parts(batches), lambda *entries: _settle(*entries, buckets, True))
 
 
 def duplicate_windows(docs: DataFrame) -> DataFrame:
@@ -183,38 +187,52 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", row_key().alias("row"))
     anchors = materialize(exchange(rows, _anchors, by_smaller=False), "op10-anchors")
     some = rows.join(anchors, rows["row"] == anchors["known_row"]).select("doc_id", "text", "row", "places")
-    return materialize(exchange(some, _windows, by_smaller=True), "op10-marked")
+    marked = materialize(exchange(some, _windows, by_smaller=True), "op10-marked")
+    remove(anchors)
+    return marked
+
+
+def _left(texts: list[bytes], places: list[np.ndarray]):
+    """For each text its number of words, and those that are left of them."""
+    w = tv.Words(texts, tv.NON_SPACE)
+    for k, (text, p) in enumerate(zip(texts, places)):
+        words = text.split()
+        if len(words) != w.count[k]:
+            raise AssertionError("two readings of the words of a text differ")
+        gone = tv.covered(p, WINDOW, len(words)) if len(p) else np.zeros(len(words), bool)
+        yield len(words), [x for x, g in zip(words, gone) if not g] if len(p) else words
 
 
 def _apply(with_text: bool):
     def run(batches):
         for b in batches:
             places = _places(b.column("places"))
-            n_words, n_removed, digest, kept = [], [], [], []
+            n_words, n_removed, kept = [], [], []
             for s, e, texts in steps(b.column("text"), as_bytes=True):
-                w = tv.Words(texts, tv.NON_SPACE)
-                for k, (text, p) in enumerate(zip(texts, places[s:e])):
-                    words = text.split()
-                    if len(words) != w.count[k]:
-                        raise AssertionError("two readings of the words of a text differ")
-                    n_words.append(len(words))
-                    if len(p):
-                        gone = tv.covered(p, WINDOW, len(words))
-                        words = [x for x, g in zip(words, gone) if not g]
-                    n_removed.append(n_words[-1] - len(words))
+                for n, words in _left(texts, places[s:e]):
+                    n_words.append(n)
+                    n_removed.append(n - len(words))
                     rest = b" ".join(words)
-                    if with_text:
-                        kept.append(rest.decode("utf-8", "replace"))
-                    else:
-                        digest.append(hashlib.sha256(rest).hexdigest())
-            own = b.drop_columns(["places"] + ([] if with_text else ["text"]))
-            out = own.columns + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(kept if with_text else digest, pa.string())], names=[*own.schema.names, "n_words", "n_removed", "kept_text" if with_text else "kept_sha256"])
+                    kept.append(rest.decode("utf-8", "replace") if with_text else hashlib.sha256(rest).hexdigest())
+            own = b.drop_columns(["places", "text"])
+            out = own.columns + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names=[*own.schema.names, "n_words", "n_removed", "kept_text" if with_text else "kept_sha256"])
 
     return run
 
 
+@F.arrow_udf(StringType())
+def _cut(text: pa.Array, places: pa.Array) -> pa.Array:
+    """What is left of texts with places; null without."""
+    kept = []
+    for s, e, texts in steps(text, as_bytes=True):
+        kept += [b" ".join(words).decode("utf-8", "replace") for _, words in _left(texts, _places(places.slice(s, e - s)))]
+    return pc.if_else(pc.is_null(places), None, pa.array(kept, pa.string()))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
+    """docs with places (null without any)."""
+    small_batches(docs.sparkSession)
     marked = duplicate_windows(docs)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     return docs.withColumn("row", row_key()).join(marked, (key == marked["known_doc"]) & (F.col("row") == marked["known_row"]), "left").drop("known_doc", "known_row", "row")
@@ -222,24 +240,24 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: what is left of each document, words joined by a space."""
-    rows = _marked(docs.select("doc_id", "text"))
-    return rows.mapInArrow(_apply(True), "doc_id long, text string, n_words long, n_removed long, kept_text string").drop("text")
+    rows = _marked(docs.select(F.col("doc_id").cast("long"), "text"))
+    return rows.mapInArrow(trimmed(_apply(True)), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of the same decisions."""
     rows = _marked(docs.select(F.col("doc_id").cast("long"), "text"))
-    return rows.mapInArrow(_apply(False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(trimmed(_apply(False)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with text and n_chars (if there) of what is left; documents that lose all their words go."""
-    extra = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    rows = _marked(docs.select(F.col("doc_id").cast("long"), "text", F.struct(*extra).alias("rest")) if extra else docs.select("doc_id", "text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("places").schema) + ", n_words long, n_removed long, kept_text string"
-    out = rows.mapInArrow(_apply(True), schema).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    columns = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"rest.`{c}`") for c in docs.columns if c not in ("doc_id", "text")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(columns["n_chars"])
-    return out.select(*(columns[c].alias(c) for c in docs.columns))
+    """docs with text and n_chars (if there) of what is left; documents that lose all their words go.
+
+    Only texts that lose words go to Python, and only what is left of them comes back."""
+    rows = _marked(docs.select("doc_id", "text", F.struct(*docs.columns).alias("own")))
+    asked = F.when(F.col("places").isNotNull(), F.col("text"))
+    rows = rows.select("own", _cut(asked, F.col("places")).alias("left")).where("left is null or left <> ''")
+    new = {c: F.col(f"own.`{c}`") for c in docs.columns} | {"text": F.coalesce("left", "own.text")}
+    if "n_chars" in new:
+        new["n_chars"] = F.coalesce(F.char_length("left").cast("long"), new["n_chars"])
+    return rows.select(*(new[c].alias(c) for c in docs.columns))
