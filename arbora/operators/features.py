@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +43,17 @@ def _joined(template: str) -> Column:
     return F.concat(*out) if len(out) > 1 else out[0].cast("string")
 
 
+_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
+
+def small_methods(spark: SparkSession) -> None:
+    """Let Spark leave whole-stage code where a method gets over 8000 bytes, which HotSpot never compiles.
+
+    Hundreds of templates side by side make such methods. Only where the session has Spark's default; the setting stays."""
+    if spark.conf.get(_METHOD, "65535") == "65535":
+        spark.conf.set(_METHOD, "8000")
+
+
 def numbered(templates: list[str], first: int, separator: str, only: set[int] | None = None) -> Column:
     """Array of `number separator parts` for the templates without a null part; numbers count all templates."""
     made = [F.concat(F.lit(f"{k}{separator}"), _joined(t)) for k, t in enumerate(templates, first) if only is None or k in only]
@@ -104,6 +115,7 @@ def arc_parts(cands: DataFrame) -> DataFrame:
 
 def maxent_arc_features(cands: DataFrame, only: set[int] | None = None) -> DataFrame:
     """cands with features: the 184 numbered templates `k-a/b/c`, or only some of them."""
+    small_methods(cands.sparkSession)
     return arc_parts(cands).select("sent_id", "i", "j", "dir", "label", numbered(MAXENT, 1, "-", only).alias("features"))
 
 
@@ -113,6 +125,7 @@ def _between(start: Column, end: Column):
 
 def linear_arc_features(cands: DataFrame, only: set[int] | None = None) -> DataFrame:
     """cands with features: the 88 templates `k:a/b/c`, or only some; those of tags between once for each tag."""
+    small_methods(cands.sparkSession)
     n, many = len(LINEAR), []
     for k, (kind, more) in enumerate(LINEAR_BETWEEN, n):
         if only is not None and k not in only:
@@ -127,6 +140,7 @@ def label_features(tokens: DataFrame, only: set[int] | None = None) -> DataFrame
     """sent_id, tok_id, role, features: the 46 templates of each token under another token, or only some.
 
     is_last is always No, and coarse tags of siblings are always None: model files know them so."""
+    small_methods(tokens.sparkSession)
     yes = lambda c: F.when(c, "Yes").otherwise("No")
     t = sibling_context(tokens)
     heads = tokens.select("sent_id", F.col("tok_id").alias("head"), F.col("word").alias("hw"), F.col("pos").alias("ht"), F.col("role").alias("hr"))
@@ -149,22 +163,40 @@ def write_events(features: DataFrame, label: str = "label") -> DataFrame:
     return features.select(F.concat_ws(" ", F.col(label), F.array_join("features", " ")).alias("value"))
 
 
-def feature_dictionary(features: DataFrame) -> DataFrame:
-    """feature, fid: distinct features of Yes candidates, numbered from 0 in text order.
+def numbered_rows(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with name: 0, 1, ... in the order of column, whose values are distinct.
 
-    Ids are dense without a single-partition window: a range sort, then each partition's count as offset."""
+    No window over the whole table: a range sort into a fixed number of partitions, which adaptive
+    execution therefore leaves as they are for both readers, and the rows of the partitions before as an offset."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = rows.repartitionByRange(n, column).sortWithinPartitions(column).withColumn("_id", F.monotonically_increasing_id())
+    cut = cut.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    # a row for each partition
+    sizes = cut.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offset = F.broadcast(sizes.select("_part", before.alias("_before")))
+    return cut.join(offset, "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).select(*rows.columns, name)
+
+
+def feature_dictionary(features: DataFrame) -> DataFrame:
+    """feature, fid: distinct features of Yes candidates, numbered from 0 in text order."""
     distinct = features.where("label = 'Yes'").select(F.explode("features").alias("feature")).distinct()
-    sorted_ = distinct.repartitionByRange("feature").sortWithinPartitions("feature").withColumn("part", F.spark_partition_id())
-    rows = sorted_.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("feature")) - 1)
-    # counts of range partitions: one row each
-    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
-    offset = sizes.withColumn("offset", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "offset")
-    return rows.join(offset, "part").select("feature", (F.col("offset") + F.col("at")).cast("long").alias("fid"))
+    return numbered_rows(distinct, "feature", "fid")
+
+
+def _digest(feature: str) -> list[Column]:
+    """A feature's identity in 128 bits, so that joins move 16 bytes instead of the text."""
+    return [F.xxhash64(feature).alias("h1"), F.xxhash64(F.lit(1), feature).alias("h2")]
 
 
 def vectorise(features: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """sent_id, i, j, dir, fid: known features only, repeats kept."""
-    return features.select("sent_id", "i", "j", "dir", F.explode("features").alias("feature")).join(dictionary, "feature").select("sent_id", "i", "j", "dir", "fid")
+    """sent_id, i, j, dir, fid and further columns of dictionary: known features only, repeats kept.
+
+    Features meet the dictionary by a 128-bit digest. The dictionary is the smaller side, hashed within each partition."""
+    more = [c for c in dictionary.columns if c != "feature"]
+    d = dictionary.select(*_digest("feature"), *more).hint("shuffle_hash")
+    f = features.select("sent_id", "i", "j", "dir", F.explode("features").alias("feature"))
+    return f.select("sent_id", "i", "j", "dir", *_digest("feature")).join(d, ["h1", "h2"]).drop("h1", "h2")
 
 
 def lexicon_features(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -178,9 +210,5 @@ def lexicon_features(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def train_test_split(sentences: DataFrame, k: int = 10) -> DataFrame:
     """sentences with part: every k-th sentence by sent_id is test."""
-    ids = sentences.select("sent_id").distinct().repartitionByRange("sent_id").withColumn("part_id", F.spark_partition_id())
-    rows = ids.withColumn("at", F.row_number().over(W.partitionBy("part_id").orderBy("sent_id")))
-    sizes = rows.groupBy("part_id").agg(F.count("*").alias("size"))
-    offset = sizes.withColumn("offset", F.coalesce(F.sum("size").over(W.orderBy("part_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part_id", "offset")
-    rank = rows.join(offset, "part_id").select("sent_id", (F.col("offset") + F.col("at")).alias("rank"))
-    return sentences.join(rank, "sent_id").withColumn("part", F.when(F.col("rank") % k == 0, "test").otherwise("train"))
+    rank = numbered_rows(sentences.select("sent_id").distinct(), "sent_id", "rank")
+    return sentences.join(rank, "sent_id").withColumn("part", F.when((F.col("rank") + 1) % k == 0, "test").otherwise("train")).drop("rank")

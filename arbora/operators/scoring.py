@@ -12,22 +12,30 @@ ARC = ["sent_id", "i", "j", "dir"]
 FORCED, FLOOR = 9999.0, -999.0
 
 
-def score_arcs(arcs: DataFrame, vectors: DataFrame, weights: DataFrame) -> DataFrame:
-    """arcs with score: sum of the weights of their features; 0 without any."""
-    s = vectors.join(weights, "fid").groupBy(*ARC).agg(F.sum("w").alias("score"))
+def score_arcs(arcs: DataFrame, vectors: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """arcs with score: sum of the weights of their features; 0 without any.
+
+    Without weights (fid, w), vectors have a column w: vectorise() takes it from a dictionary that the
+    weights were joined to, which spares the vectors a shuffle."""
+    v = vectors if weights is None else vectors.join(weights, "fid")
+    s = v.groupBy(*ARC).agg(F.sum("w").alias("score"))
     return arcs.select(*ARC).join(s, ARC, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def arc_log_prob(vectors: DataFrame, weights: DataFrame, arcs: DataFrame | None = None) -> DataFrame:
+def arc_log_prob(vectors: DataFrame, weights: DataFrame | None = None, arcs: DataFrame | None = None, sums: bool = False) -> DataFrame:
     """ln P(Yes) of each arc from weights by outcome (fid, outcome, w), -999 where P is 0.
 
-    With arcs, those without a weighted feature are in it too: their sums are 0."""
-    by = lambda o: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col("w"))), F.lit(0.0)).alias(o)
-    s = vectors.join(weights, "fid").groupBy(*ARC).agg(by("Yes"), by("No"))
+    Without weights, vectors have columns Yes and No, as in score_arcs(). With arcs, those without a
+    weighted feature are in it too: their sums are 0. With sums, columns Yes and No come along."""
+    if weights is None:
+        s = vectors.groupBy(*ARC).agg(F.sum("Yes").alias("Yes"), F.sum("No").alias("No"))
+    else:
+        by = lambda o: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col("w"))), F.lit(0.0)).alias(o)
+        s = vectors.join(weights, "fid").groupBy(*ARC).agg(by("Yes"), by("No"))
     if arcs is not None:
         s = arcs.select(*ARC).join(s, ARC, "left").fillna(0.0, ["Yes", "No"])
     p = 1 / (1 + F.exp(F.col("No") - F.col("Yes")))
-    return s.select(*ARC, F.when(p > 0, F.ln(p)).otherwise(F.lit(FLOOR)).alias("log_prob"))
+    return s.select(*ARC, *(["Yes", "No"] if sums else []), F.when(p > 0, F.ln(p)).otherwise(F.lit(FLOOR)).alias("log_prob"))
 
 
 def force_arcs(scores: DataFrame, fixed: DataFrame) -> DataFrame:

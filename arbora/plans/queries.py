@@ -76,11 +76,6 @@ def merge_lexicon(spark, sf_dir) -> DataFrame:
     return grammar.merge_lexicon(treebank.parse_lexicon(lines)).select("word", F.array_join("tags", ",").alias("tags"))
 
 
-@query("SELECT role || ' p-' || pos || ' h-' || head AS value, count(*) AS n FROM tok GROUP BY ALL")
-def write_events(spark, sf_dir) -> DataFrame:
-    return features.write_events(features.maxent_arc_features(_cands(spark, sf_dir))).groupBy("value").agg(_n())
-
-
 # ---- scalars
 
 
@@ -112,20 +107,44 @@ def arc_geometry(spark, sf_dir) -> DataFrame:
     return tokens(spark, sf_dir).where("head > 0").groupBy(scalars.arc_distance(h, c).alias("dist"), scalars.arc_direction(h, c).alias("dir")).agg(_n())
 
 
-@query("SELECT c, count(*) AS n FROM (SELECT unnest(string_split(word, '')) AS c FROM tok) GROUP BY c")
+#: Stand-ins that turn the Latin words of `documents` into Thai ones with all classes of characters. Capitals, q, x, z and 5 to 9
+#: stay, so that some words have both scripts.
+LATIN, THAI = "abcdefghijklmnoprstuvwy01234", "\u0e31\u0e1a\u0e08\u0e14\u0e40\u0e1f\u0e01\u0e2b\u0e34\u0e0b\u0e02\u0e25\u0e21\u0e19\u0e32\u0e1b\u0e23\u0e2a\u0e15\u0e38\u0e27\u0e1d\u0e22\u0e50\u0e51\u0e52\u0e53\u0e54"
+THAI_TOK = f"th AS (SELECT * REPLACE (translate(word, '{LATIN}', '{THAI}') AS word) FROM tok)"
+
+
+def _thai(spark, sf_dir) -> DataFrame:
+    return tokens(spark, sf_dir).withColumn("word", F.translate("word", LATIN, THAI))
+
+
+def _classes() -> str:
+    """SQL for a word's characters as their class numbers; the stand-ins leave no Latin 1 to 4."""
+    out = "word"
+    for k, chars in scalars.CHARACTER_CLASSES.items():
+        out = f"regexp_replace({out}, '[{chars}]', '{k}', 'g')"
+    return out
+
+
+_LONG = lambda n: _in(x for x in scalars.CLUSTERS if len(x) == n)
+
+
+@query(f"""AND {THAI_TOK}, wc AS (SELECT word, {_classes()} AS k, count(*) AS n FROM th GROUP BY ALL),
+cu AS (SELECT word, k, n, 1 AS p, 0 AS size FROM wc UNION ALL SELECT word, k, n, p + size, CASE WHEN substr(k, p + size, 3) IN {_LONG(3)} AND p + size + 3 <= length(k) THEN 3
+  WHEN substr(k, p + size, 2) IN {_LONG(2)} AND p + size + 2 <= length(k) THEN 2 ELSE 1 END FROM cu WHERE p + size <= length(k))
+SELECT substr(word, p, size) AS c, sum(n)::BIGINT AS n FROM cu WHERE size > 0 GROUP BY c""", recursive=True)
 def char_clusters(spark, sf_dir) -> DataFrame:
-    return tokens(spark, sf_dir).select(F.explode(scalars.char_clusters(F.col("word"))).alias("c")).groupBy("c").agg(_n())
+    return _thai(spark, sf_dir).select(F.explode(scalars.char_clusters(F.col("word"))).alias("c")).groupBy("c").agg(_n())
 
 
-@query(r"SELECT len(regexp_extract_all(word, '([\x{0E01}-\x{0E5B}]+|[^\x{0E01}-\x{0E5B}]+)'))::INTEGER AS runs, count(*) AS n FROM tok GROUP BY ALL")
+@query(rf"AND {THAI_TOK} SELECT len(regexp_extract_all(word, '([\x{{0E01}}-\x{{0E5B}}]+|[^\x{{0E01}}-\x{{0E5B}}]+)'))::INTEGER AS runs, count(*) AS n FROM th GROUP BY ALL")
 def split_scripts(spark, sf_dir) -> DataFrame:
-    return tokens(spark, sf_dir).groupBy(F.size(scalars.split_scripts(F.col("word"))).alias("runs")).agg(_n())
+    return _thai(spark, sf_dir).groupBy(F.size(scalars.split_scripts(F.col("word"))).alias("runs")).agg(_n())
 
 
-@query(r"SELECT regexp_matches(word, '^[!-~]$') AS symbol, regexp_matches(word, '^([0-9]|[0-9,.]{2,})$') AS number, regexp_matches(word, '^[^!-~ \t\n\r]*$') AS thai, count(*) AS n FROM tok GROUP BY ALL")
+@query(rf"AND {THAI_TOK} SELECT regexp_matches(word, '^[!-~]$') AS symbol, regexp_matches(word, '^([0-9\x{{0E50}}-\x{{0E59}}]|[0-9\x{{0E50}}-\x{{0E59}},.]{{2,}})$') AS number, regexp_matches(word, '^[^!-~\x{{0E50}}-\x{{0E59}} \t\n\x0B\f\r]*$') AS thai, count(*) AS n FROM th GROUP BY ALL")
 def char_class(spark, sf_dir) -> DataFrame:
     w = F.col("word")
-    return tokens(spark, sf_dir).groupBy(scalars.is_symbol(w).alias("symbol"), scalars.is_number(w).alias("number"), scalars.is_thai_word(w).alias("thai")).agg(_n())
+    return _thai(spark, sf_dir).groupBy(scalars.is_symbol(w).alias("symbol"), scalars.is_number(w).alias("number"), scalars.is_thai_word(w).alias("thai")).agg(_n())
 
 
 @query(f"AND p AS (SELECT DISTINCT pos FROM tok UNION SELECT 'pref1') SELECT a.pos, b.pos AS other FROM p a JOIN p b ON a.pos = b.pos OR (a.pos IN {_in(tags.PREFIXES)} AND b.pos IN ('ncn', 'npn')) OR (b.pos IN {_in(tags.PREFIXES)} AND a.pos IN ('ncn', 'npn'))")
@@ -196,7 +215,7 @@ def children(spark, sf_dir) -> DataFrame:
     return trees.children(tokens(spark, sf_dir)).select("sent_id", "head", F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children"))
 
 
-SIB = """sib AS (SELECT t.*, lag(pos) OVER w AS left_pos, lead(pos) OVER w AS right_pos,
+SIB = """sib AS (SELECT t.*, lag(pos) OVER w AS left_pos, lead(pos) OVER w AS right_pos, lag(word) OVER w AS left_word, lead(word) OVER w AS right_word,
   (SELECT count(*) FROM tok c WHERE c.sent_id = t.sent_id AND c.head = t.tok_id)::BIGINT AS n_children,
   tok_id < head AND tok_id = min(tok_id) FILTER (tok_id < head) OVER g AS left_most, tok_id > head AND tok_id = max(tok_id) FILTER (tok_id > head) OVER g AS right_most,
   tok_id < head AND tok_id = max(tok_id) FILTER (tok_id < head) OVER g AS nearest_left, tok_id > head AND tok_id = min(tok_id) FILTER (tok_id > head) OVER g AS nearest_right,
@@ -268,51 +287,102 @@ def between_tags(spark, sf_dir) -> DataFrame:
     return g.groupBy(F.array_join(features.between_tags(F.col("tags"), F.col("i"), F.col("j")), "+").alias("between_tags")).agg(_n())
 
 
-HT = "ga AS (SELECT c.sent_id, c.tok_id, c.head, c.role, c.pos, coalesce(h.pos, '<root-POS>') AS hp FROM tok c LEFT JOIN tok h ON h.sent_id = c.sent_id AND h.tok_id = c.head)"
+#: A checksum over texts that both engines have: one missing, doubled, swapped or differently written feature changes it.
+def _sums(text: str) -> list:
+    digest = F.conv(F.substring(F.md5(F.col(text).cast("binary")), 1, 8), 16, 10).cast("long")
+    return [_n(), F.sum(F.char_length(text)).alias("chars"), F.sum(digest).alias("digest")]
+
+
+SUMS = lambda x: f"count(*) AS n, sum(length({x}))::BIGINT AS chars, sum(('0x' || substr(md5({x}), 1, 8))::BIGINT)::BIGINT AS digest"
+_EDGE = "('-S-', '-E-', '-M-')"
+_DECODED = lambda c: _case(c, {v: k for k, v in tags.PUNCTUATION.items()}, c)
+#: Every candidate with the parts of its templates.
+PARTS = f"""se AS (SELECT sent_id, ['<root>'] || list(word ORDER BY tok_id) AS w, ['<root-POS>'] || list(pos ORDER BY tok_id) AS t, [-1] || list(head ORDER BY tok_id) AS h FROM tok GROUP BY sent_id),
+c0 AS (SELECT *, unnest(range(i + 1, len(w))) AS j FROM (SELECT *, unnest(range(0, len(w) - 1)) AS i FROM se)),
+c1 AS (SELECT sent_id, i, j, {_DECODED('w[i + 1]')} AS iw, {_DECODED('w[j + 1]')} AS jw, t[i + 1] AS it, t[j + 1] AS jt, CASE WHEN i = 0 THEN '-S-' ELSE t[i] END AS itp, CASE WHEN j = len(w) - 1 THEN '-E-' ELSE t[j + 2] END AS jtn,
+  CASE WHEN j = i + 1 THEN '-M-' ELSE t[i + 2] END AS itn, CASE WHEN j = i + 1 THEN '-M-' ELSE t[j] END AS jtp, least(j - i - 1, 5)::VARCHAR AS dist, list_sort(list_distinct(t[i + 2:j])) AS bt, h[i + 1] AS hi, h[j + 1] AS hj FROM c0),
+c2 AS (SELECT *, {', '.join(f'CASE WHEN {x} IN {_EDGE} THEN {x} ELSE {SIMPLE(x)} END AS "{x[0]}s{x[2:]}"' for x in ('it', 'jt', 'itp', 'jtn', 'itn', 'jtp'))},
+  list_sort(list_distinct(list_transform(bt, lambda x: {SIMPLE('x')}))) AS bs FROM c1),
+c3 AS (SELECT *, CASE WHEN (dir = 'L' AND hi = j) OR (dir = 'R' AND hj = i) THEN 'Yes' ELSE 'No' END AS label, CASE WHEN len(bt) > 0 THEN array_to_string(bt, '+') END AS bett, CASE WHEN len(bs) > 0 THEN array_to_string(bs, '+') END AS bets,
+  {', '.join(f"""CASE WHEN dir = 'R' THEN "{x}{k}" ELSE "{y}{k}" END AS {a}{k}""" for k in 'wts' for a, x, y in (('h', 'i', 'j'), ('c', 'j', 'i')))} FROM c2, (VALUES ('L'), ('R')) v(dir))"""
 
 
-@query(f"AND {HT} SELECT f AS feature, count(*) AS n FROM (SELECT unnest(['4-' || pos, '44-' || hp || '/' || pos]) AS f FROM ga) GROUP BY f")
+def _filled(templates: list[str], first: int, separator: str) -> str:
+    """SQL list of `number separator parts`, null where a part is."""
+    return "[" + ", ".join(f"'{k}{separator}' || " + " || '/' || ".join(f'"{x}"' for x in t.split()) for k, t in enumerate(templates, first)) + "]"
+
+
+def _linear_sql() -> str:
+    many = [f"list_transform(b{k}, lambda x: '{n}:' || \"i{k}\" || '/' || x || '/' || \"j{k}\"{chr(32) + '|| chr(47) || dir || chr(47) || dist' if more else ''})" for n, (k, more) in enumerate(features.LINEAR_BETWEEN, len(features.LINEAR))]
+    return f"{_filled(features.LINEAR, 0, ':')} || " + " || ".join(many)
+
+
+#: All features of a candidate as one text.
+ALL_F = lambda features: f"array_to_string(list_filter({features}, lambda x: x IS NOT NULL), ' ')"
+LIN = f"{PARTS}, lf AS (SELECT sent_id, i, j, dir, label, unnest({_linear_sql()}) AS f FROM c3)"
+DICT = f"{LIN}, fd AS MATERIALIZED (SELECT f, (row_number() OVER (ORDER BY f) - 1)::BIGINT AS fid FROM (SELECT DISTINCT f FROM lf WHERE label = 'Yes' AND f IS NOT NULL))"
+
+
+def _digests(f: DataFrame) -> DataFrame:
+    """Checksums of all features of all candidates, by label, direction and number of features."""
+    f = f.select("label", "dir", F.size("features").alias("n_features"), F.array_join("features", " ").alias("value"))
+    return f.groupBy("label", "dir", "n_features").agg(*_sums("value"))
+
+
+@query(f"AND {PARTS}, ev AS (SELECT label, dir, {ALL_F(_filled(features.MAXENT, 1, '-'))} AS v FROM c3) SELECT label, dir, len(string_split(v, ' '))::INTEGER AS n_features, {SUMS('v')} FROM ev GROUP BY ALL")
 def maxent_arc_features(spark, sf_dir) -> DataFrame:
-    f = features.maxent_arc_features(_cands(spark, sf_dir))
-    return f.select(F.explode("features").alias("feature")).groupBy("feature").agg(_n())
+    return _digests(features.maxent_arc_features(_cands(spark, sf_dir)))
 
 
-LIN = f"{HT}, lf AS (SELECT sent_id, tok_id, head, unnest(['3:' || pos, '21:' || hp || '/' || pos]) AS f FROM ga), fd AS (SELECT f, (row_number() OVER (ORDER BY f) - 1)::BIGINT AS fid FROM (SELECT DISTINCT f FROM lf))"
+@query(f"AND {PARTS}, ev AS (SELECT label || ' ' || {ALL_F(_filled(features.MAXENT, 1, '-'))} AS v FROM c3) SELECT split_part(v, ' ', 1) AS label, {SUMS('v')} FROM ev GROUP BY ALL")
+def write_events(spark, sf_dir) -> DataFrame:
+    v = features.write_events(features.maxent_arc_features(_cands(spark, sf_dir)))
+    return v.groupBy(F.substring_index("value", " ", 1).alias("label")).agg(*_sums("value"))
 
 
 def _linear(spark, sf_dir) -> DataFrame:
     return features.linear_arc_features(_cands(spark, sf_dir))
 
 
-@query(f"AND {LIN} SELECT f AS feature, count(*) AS n FROM lf GROUP BY f")
+@query(f"AND {PARTS}, ev AS (SELECT label, dir, {ALL_F(_linear_sql())} AS v FROM c3) SELECT label, dir, len(string_split(v, ' '))::INTEGER AS n_features, {SUMS('v')} FROM ev GROUP BY ALL")
 def linear_arc_features(spark, sf_dir) -> DataFrame:
-    return _linear(spark, sf_dir).select(F.explode("features").alias("feature")).groupBy("feature").agg(_n())
+    return _digests(_linear(spark, sf_dir))
 
 
-@query(f"AND {HT} SELECT role, '9-' || hp || '/' || pos AS feature, count(*) AS n FROM ga WHERE head > 0 GROUP BY ALL")
+_YES = lambda c: f"CASE WHEN {c} THEN 'Yes' ELSE 'No' END"
+LABELLED = lambda sib: f"""{sib}, lb AS (SELECT s.role, h.word AS hw, h.pos AS ht, {SIMPLE('h.pos')} AS hs, h.role AS hr, s.word AS cw, s.pos AS ct, {SIMPLE('s.pos')} AS cs, {_YES('s.tok_id = 1')} AS first, 'No' AS last,
+  CASE WHEN s.head > s.tok_id THEN 'L' ELSE 'R' END AS dir, nullif({KIND('s.role')}, 'unknown') AS args, {_YES("EXISTS (SELECT 1 FROM tok c WHERE c.sent_id = s.sent_id AND c.head = s.tok_id AND c.pos = 'prel')")} AS prel,
+  coalesce(left_word, 'None') AS lw, coalesce(left_pos, 'None') AS lt, coalesce(right_word, 'None') AS rw, coalesce(right_pos, 'None') AS rt, 'None' AS ls, 'None' AS rs, {_YES('between_siblings')} AS same, n_children::VARCHAR AS mods,
+  {', '.join(f'{_YES(c)} AS {a}' for c, a in (('right_most', 'rm'), ('left_most', 'lm'), ('nearest_right', 'fr'), ('nearest_left', 'fl')))}
+  FROM sib s JOIN tok h ON h.sent_id = s.sent_id AND h.tok_id = s.head)"""
+
+
+@query(f"AND {LABELLED(SIB)}, f AS (SELECT role, unnest({_filled(features.LABEL, 1, '-')}) AS f FROM lb) SELECT role, split_part(f, '-', 1)::INTEGER AS template, {SUMS('f')} FROM f WHERE f IS NOT NULL GROUP BY ALL")
 def label_features(spark, sf_dir) -> DataFrame:
-    f = features.label_features(tokens(spark, sf_dir))
-    return f.select("role", F.explode("features").alias("feature")).groupBy("role", "feature").agg(_n())
+    f = features.label_features(tokens(spark, sf_dir)).select("role", F.explode("features").alias("feature"))
+    return f.groupBy("role", F.substring_index("feature", "-", 1).cast("int").alias("template")).agg(*_sums("feature"))
 
 
-@query(f"AND {LIN} SELECT f AS feature, fid FROM fd")
-def feature_dictionary(spark, sf_dir) -> DataFrame:
-    return features.feature_dictionary(_linear(spark, sf_dir))
+def _dictionary(spark, sf_dir) -> DataFrame:
+    return features.feature_dictionary(features.linear_arc_features(_gold(spark, sf_dir)))
 
 
-def _vectors(spark, sf_dir) -> DataFrame:
-    f = _linear(spark, sf_dir)
-    return features.vectorise(f, features.feature_dictionary(f))
+@query(f"AND {DICT} SELECT split_part(f, ':', 1)::INTEGER AS template, sum(fid)::BIGINT AS ids, min(fid) AS first_id, max(fid) AS last_id, {SUMS('f')} FROM fd GROUP BY ALL")
+def feature_dictionary(spark, sf_dir) -> DataFrame:
+    d = _dictionary(spark, sf_dir)
+    return d.groupBy(F.substring_index("feature", ":", 1).cast("int").alias("template")).agg(F.sum("fid").alias("ids"), F.min("fid").alias("first_id"), F.max("fid").alias("last_id"), *_sums("feature"))
 
 
-@query(f"AND {LIN} SELECT fid, count(*) AS n FROM lf JOIN fd USING (f) GROUP BY fid")
+@query(f"AND {DICT} SELECT fid % 1000 AS fid_mod, dir, count(*) AS n, sum(fid)::BIGINT AS ids, sum(fid * (i + 13 * j) % 1009)::BIGINT AS places FROM lf JOIN fd USING (f) GROUP BY ALL")
 def vectorise(spark, sf_dir) -> DataFrame:
-    return _vectors(spark, sf_dir).groupBy("fid").agg(_n())
+    v = features.vectorise(_linear(spark, sf_dir), _dictionary(spark, sf_dir))
+    places = F.col("fid") * (F.col("i") + 13 * F.col("j")) % 1009
+    return v.groupBy((F.col("fid") % 1000).alias("fid_mod"), "dir").agg(_n(), F.sum("fid").alias("ids"), F.sum(places).alias("places"))
 
 
-@query(f"AND {LEX} SELECT word, count(DISTINCT pos) FILTER (pos IN {_in(tags.TAGS)}) AS n_tags, count(DISTINCT {SIMPLE('pos')}) AS n_coarse FROM lex GROUP BY word")
+@query(f"AND {LEX}, w AS (SELECT DISTINCT word FROM tok) SELECT word, count(DISTINCT lex.pos) FILTER (lex.pos IN {_in(tags.TAGS)}) AS n_tags, count(DISTINCT {SIMPLE('lex.pos')}) AS n_coarse FROM w LEFT JOIN lex USING (word) GROUP BY word")
 def lexicon_features(spark, sf_dir) -> DataFrame:
-    t = tokens(spark, sf_dir).where(F.char_length("word") > 3)
+    t = tokens(spark, sf_dir)
     count = lambda c: F.size(F.filter(c, lambda x: x)).cast("long")
     f = features.lexicon_features(t, _lexicon(spark, sf_dir))
     return f.groupBy("word").agg(F.max(count("has_tag")).alias("n_tags"), F.max(count("has_coarse")).alias("n_coarse"))
@@ -361,7 +431,11 @@ def rule_evidence(spark, sf_dir) -> DataFrame:
     return grammar.rule_evidence(_events(spark, sf_dir)).groupBy("type", "word_order").agg(_n())
 
 
-@query()
+@query(f"""AND {EVENTS}, gk AS (SELECT sent_id, tok_id, min(type || ':' || g) AS rk FROM e0 GROUP BY ALL), cn AS (SELECT un.*, coalesce(rk, pos) AS key FROM un LEFT JOIN gk USING (sent_id, tok_id)),
+cx AS (SELECT c.kind, h.key || CASE WHEN c.tok_id > c.head THEN '+R' ELSE '+L' END AS context, c.key AS outcome FROM cn c JOIN cn h ON h.sent_id = c.sent_id AND h.tok_id = c.head WHERE c.kind <> 'unknown'
+  UNION ALL SELECT 'root', 'root', key FROM cn WHERE head = 0
+  UNION ALL SELECT 'adjunct', key || '+0+True', 'STOP' FROM cn WHERE NOT EXISTS (SELECT 1 FROM un a WHERE a.kind = 'adjunct' AND a.sent_id = cn.sent_id AND a.head = cn.tok_id))
+SELECT kind, context, outcome, count(*) AS n FROM cx GROUP BY ALL""")
 def context_counts(spark, sf_dir) -> DataFrame:
     return grammar.context_counts(tokens(spark, sf_dir))
 
@@ -402,37 +476,35 @@ def backoff_probability(spark, sf_dir) -> DataFrame:
 # ---- scoring
 
 
-def _weights(vectors: DataFrame) -> DataFrame:
-    return vectors.select("fid").distinct().withColumn("w", (F.col("fid") % 7 - 3).cast("double"))
+#: Weights of the two outcomes of feature fid.
+_W = {"Yes": "(fid % 7 - 3)", "No": "(fid % 5 - 2)"}
+SCORED = f"{DICT}, sc AS (SELECT sent_id, CASE WHEN dir = 'R' THEN i ELSE j END AS head, CASE WHEN dir = 'R' THEN j ELSE i END AS tok_id, coalesce(sum({_W['Yes']}), 0)::DOUBLE AS y, coalesce(sum({_W['No']}), 0)::DOUBLE AS o FROM lf LEFT JOIN fd USING (f) GROUP BY sent_id, i, j, dir)"
 
 
-SCORED = f"{LIN}, sc AS (SELECT sent_id, least(head, tok_id) AS i, greatest(head, tok_id) AS j, head, tok_id, sum(fid % 7 - 3)::DOUBLE AS score FROM lf JOIN fd USING (f) GROUP BY ALL)"
+def _weighted(spark, sf_dir) -> DataFrame:
+    """Vectors of all candidates with the weights of both outcomes."""
+    d = _dictionary(spark, sf_dir).select("feature", *(F.expr(x).cast("double").alias(o) for o, x in _W.items()))
+    return features.vectorise(_linear(spark, sf_dir), d)
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    s = scoring.score_arcs(_cands(spark, sf_dir), v, _weights(v))
+    s = scoring.score_arcs(_cands(spark, sf_dir), _weighted(spark, sf_dir).withColumnRenamed("Yes", "w"))
     right = F.col("dir") == "R"
     return s.withColumn("head", F.when(right, F.col("i")).otherwise(F.col("j"))).withColumn("tok_id", F.when(right, F.col("j")).otherwise(F.col("i")))
 
 
-@query(f"AND {SCORED} SELECT sent_id, count(*) AS n, sum(score * tok_id) AS x FROM sc GROUP BY sent_id")
+@query(f"AND {SCORED} SELECT sent_id, count(*) AS n, sum(y * tok_id) AS x FROM sc GROUP BY sent_id")
 def score_arcs(spark, sf_dir) -> DataFrame:
     return _scores(spark, sf_dir).groupBy("sent_id").agg(_n(), F.sum(F.col("score") * F.col("tok_id")).alias("x"))
 
 
-@query(f"AND {LIN}, lp AS (SELECT sent_id, tok_id, sum(fid % 7 - 3) AS y, sum(fid % 5 - 2) AS o FROM lf JOIN fd USING (f) GROUP BY ALL) SELECT y::DOUBLE AS y, o::DOUBLE AS o, count(*) AS n, round(ln(1 / (1 + exp(o::DOUBLE - y))), 9) AS log_prob FROM lp GROUP BY ALL")
+@query(f"AND {SCORED} SELECT y, o, count(*) AS n, round(ln(1 / (1 + exp(o - y))), 9) AS log_prob FROM sc GROUP BY ALL")
 def arc_log_prob(spark, sf_dir) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    f = v.select("fid").distinct()
-    w = f.select("fid", F.lit("Yes").alias("outcome"), (F.col("fid") % 7 - 3).cast("double").alias("w")).unionByName(f.select("fid", F.lit("No").alias("outcome"), (F.col("fid") % 5 - 2).cast("double").alias("w")))
-    arcs = _cands(spark, sf_dir).select(*scoring.ARC)
-    p = scoring.arc_log_prob(v, w, arcs)
-    sums = v.groupBy("sent_id", "i", "j", "dir").agg(F.sum((F.col("fid") % 7 - 3).cast("double")).alias("y"), F.sum((F.col("fid") % 5 - 2).cast("double")).alias("o"))
-    return p.join(sums, ["sent_id", "i", "j", "dir"], "left").fillna(0.0, ["y", "o"]).groupBy("y", "o", F.round("log_prob", 9).alias("log_prob")).agg(_n())
+    p = scoring.arc_log_prob(_weighted(spark, sf_dir), arcs=_cands(spark, sf_dir), sums=True)
+    return p.groupBy(F.col("Yes").alias("y"), F.col("No").alias("o"), F.round("log_prob", 9).alias("log_prob")).agg(_n())
 
 
-@query(f"AND {SCORED} SELECT sent_id, sum(CASE WHEN t.pred_head = sc.head THEN 9999 ELSE score END)::DOUBLE AS x FROM sc JOIN tok t USING (sent_id, tok_id) GROUP BY sent_id")
+@query(f"AND {SCORED} SELECT sent_id, sum(CASE WHEN t.pred_head = sc.head THEN 9999 ELSE y END)::DOUBLE AS x FROM sc LEFT JOIN tok t USING (sent_id, tok_id) GROUP BY sent_id")
 def force_arcs(spark, sf_dir) -> DataFrame:
     fixed = tokens(spark, sf_dir).select("sent_id", F.col("pred_head").alias("head"), "tok_id")
     return scoring.force_arcs(_scores(spark, sf_dir), fixed).groupBy("sent_id").agg(F.sum("score").alias("x"))
@@ -517,13 +589,19 @@ def top_rules(spark, sf_dir) -> DataFrame:
     return scoring.top_rules(_rules(spark, sf_dir), 3)
 
 
+#: What each event demands, from the tree itself, as a list in the rule's order.
+DEMANDS = f"""{EVENTS}, cd AS (SELECT nd.sent_id, nd.tok_id, list(c.role || ':>-c-' || c.pos || CASE WHEN rk.r < CASE WHEN nd.kind = 'adjunct' THEN ro.rh ELSE 0 END THEN '-L' ELSE '-R' END ORDER BY c.tok_id) AS d
+  FROM nd JOIN un c ON c.sent_id = nd.sent_id AND c.head = nd.tok_id AND c.kind = 'complement' JOIN rk ON rk.sent_id = nd.sent_id AND rk.tok_id = nd.tok_id AND rk.x = c.tok_id JOIN ro ON ro.sent_id = nd.sent_id AND ro.tok_id = nd.tok_id GROUP BY nd.sent_id, nd.tok_id),
+adj AS (SELECT sent_id, tok_id, [role || ':<-a-' || hpos || CASE WHEN head > tok_id THEN '-R' ELSE '-L' END] AS d FROM ad),
+dm AS (SELECT e0.*, CASE type WHEN 1 THEN cd.d WHEN 2 THEN adj.d ELSE adj.d || cd.d END AS d FROM e0 LEFT JOIN cd USING (sent_id, tok_id) LEFT JOIN adj USING (sent_id, tok_id))"""
+
+
 def _keys(spark, sf_dir) -> DataFrame:
-    e = _events(spark, sf_dir).where("instr(head_key, '/') = 0")
-    rules = e.groupBy("type", "rule", "word_order").agg(F.min(F.col("sent_id") * 100 + F.col("tok_id")).alias("id"))
+    rules = _events(spark, sf_dir).groupBy("type", "rule", "word_order").agg(F.min(F.col("sent_id") * 100 + F.col("tok_id")).alias("id"))
     return scoring.attach_keys(rules)
 
 
-@query()
+@query(f"AND {DEMANDS} SELECT min(sent_id * 100 + tok_id)::BIGINT AS id, array_to_string(d, ' ') AS demand FROM dm GROUP BY d")
 def attach_keys(spark, sf_dir) -> DataFrame:
     return _keys(spark, sf_dir).select("id", F.array_join("demand", " ").alias("demand"))
 
@@ -534,14 +612,29 @@ def _kinds(spark, sf_dir) -> DataFrame:
     return t.select("at.*", "word", "pos", "uses")
 
 
-@query()
+#: Rules of each kind of token (word, tag): its own, else the first of its tag.
+TOKEN_RULES = f"""rn AS (SELECT type, head_key, rule, count(DISTINCT sent_id) AS n FROM ev GROUP BY ALL), kd AS (SELECT word, pos, count(*) AS uses FROM tok GROUP BY ALL),
+r1 AS (SELECT type, head_key, rule FROM rn QUALIFY row_number() OVER (PARTITION BY type, head_key ORDER BY n DESC, rule DESC) = 1),
+tr AS (SELECT word, pos, uses, rn.type, head_key, rule FROM kd JOIN rn ON head_key = word || '/' || pos
+  UNION ALL SELECT word, pos, uses, r1.type, head_key, rule FROM kd JOIN r1 ON head_key = pos WHERE pos NOT IN {_in(tags.NO_GENERIC_RULES)} AND NOT EXISTS (SELECT 1 FROM rn WHERE rn.head_key = word || '/' || pos))"""
+
+
+@query(f"AND {EVENTS}, {TOKEN_RULES} SELECT type, head_key, rule, sum(uses)::BIGINT AS n FROM tr GROUP BY ALL")
 def rules_for_tokens(spark, sf_dir) -> DataFrame:
     kinds = _kinds(spark, sf_dir)
     r = scoring.rules_for_tokens(kinds, _rules(spark, sf_dir)).join(kinds, ["sent_id", "tok_id"])
     return r.groupBy("type", "head_key", "rule").agg(F.sum("uses").alias("n"))
 
 
-@query()
+@query(f"""AND {DEMANDS}, {TOKEN_RULES}, rd AS (SELECT DISTINCT type, rule, unnest(d) AS x FROM (SELECT type, s AS rule, d FROM dm UNION ALL SELECT type, g, d FROM dm)),
+od AS (SELECT DISTINCT word, pos, split_part(x, ':', 1) AS role, split_part(x, ':', 2) AS key FROM tr JOIN rd USING (type, rule)),
+ak AS (SELECT h.word AS hw, h.pos AS hp, c.word AS cw, c.pos AS cp, c.tok_id > h.tok_id AS r, count(*) AS n FROM tok c JOIN tok h ON h.sent_id = c.sent_id AND h.tok_id <> c.tok_id GROUP BY ALL
+  UNION ALL SELECT NULL, '<root-POS>', word, pos, true, count(*) FROM tok GROUP BY ALL),
+ri AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM ak),
+ol AS (SELECT id, role FROM ri JOIN od ON od.word = hw AND od.pos = hp AND key = '>-c-' || cp || CASE WHEN r THEN '-R' ELSE '-L' END UNION SELECT id, role FROM ri JOIN od ON od.word = cw AND od.pos = cp AND key = '<-a-' || hp || CASE WHEN r THEN '-L' ELSE '-R' END),
+rl AS (SELECT id, string_agg(role, ',' ORDER BY role) AS roles FROM ol GROUP BY id),
+lc AS (SELECT hw IS NULL AS root, coalesce(roles, '') AS roles, CASE WHEN hw IS NULL THEN cp NOT IN (SELECT pos FROM tok WHERE head = 0) ELSE roles IS NULL END AS bad, n FROM ri LEFT JOIN rl USING (id))
+SELECT root, roles, (bad AND NOT root)::INTEGER AS badness, CASE WHEN bad THEN round(ln(0.1::DOUBLE), 9) ELSE 0 END::DOUBLE AS score, sum(n)::BIGINT AS n FROM lc GROUP BY ALL""")
 def license_arcs(spark, sf_dir) -> DataFrame:
     h, c = (F.when(F.col("dir") == d, F.col("j")).otherwise(F.col("i")) for d in "LR")
     arcs = _cands(spark, sf_dir).select("sent_id", "tags", h.alias("head"), c.alias("tok_id")).where("tok_id > 0")
@@ -586,10 +679,6 @@ def decode_trees(spark, sf_dir) -> DataFrame:
 
 # ---- segmentation
 
-#: Of the SQL only.
-MAX_LEN = 9
-
-
 def _texts(spark, sf_dir) -> DataFrame:
     s = fixtures.sentences(spark, sf_dir)
     return s.select(F.col("sent_id").alias("doc_id"), F.array_join("words", "").alias("text"))
@@ -616,8 +705,8 @@ LAT = f"""{OFF}, {SPAN}, la AS (SELECT sent_id AS doc_id, s, e AS t, word, tok_i
 lat AS (SELECT *, tok_id % 5 <> 1 AS is_word FROM la)"""
 
 
-@query(f"""AND tx AS (SELECT sent_id AS doc_id, string_agg(word, '' ORDER BY tok_id) AS text FROM tok GROUP BY sent_id), wd AS (SELECT DISTINCT word FROM tok WHERE length(word) BETWEEN 3 AND {MAX_LEN}),
-c AS (SELECT doc_id, s, n, substr(text, s + 1, n) AS word FROM (SELECT doc_id, text, unnest(range(0, length(text))) AS s FROM tx), range(3, {MAX_LEN + 1}) r(n) WHERE s + n <= length(text))
+@query("""AND tx AS (SELECT sent_id AS doc_id, string_agg(word, '' ORDER BY tok_id) AS text FROM tok GROUP BY sent_id), wd AS (SELECT DISTINCT word FROM tok),
+c AS (SELECT doc_id, s, substr(text, s + 1, n) AS word FROM (SELECT *, unnest(range(1, least(length(text) - s, (SELECT max(length(word)) FROM wd)) + 1)) AS n FROM (SELECT doc_id, text, unnest(range(0, length(text))) AS s FROM tx)))
 SELECT doc_id, count(*) AS n, sum(s)::BIGINT AS starts FROM c JOIN wd USING (word) GROUP BY doc_id""")
 def dictionary_lattice(spark, sf_dir) -> DataFrame:
     return segment.dictionary_lattice(_texts(spark, sf_dir), _words(spark, sf_dir)).groupBy("doc_id").agg(_n(), F.sum("s").alias("starts"))
@@ -628,13 +717,24 @@ def lattice_paths(spark, sf_dir) -> DataFrame:
     return segment.lattice_paths(_lattice(spark, sf_dir), 3).groupBy("doc_id").agg(_n())
 
 
-@query()
+LENGTHS = "ln AS (SELECT sent_id AS doc_id, sum(length(word))::BIGINT AS n FROM tok GROUP BY sent_id)"
+_PRUNED = lambda e, out: f"""fw_{out} AS (SELECT doc_id, 0::BIGINT AS pt FROM ln UNION SELECT e.doc_id, e.t FROM fw_{out} JOIN {e} e ON e.doc_id = fw_{out}.doc_id AND e.s = pt),
+bw_{out} AS (SELECT doc_id, n AS pt FROM ln UNION SELECT e.doc_id, e.s FROM bw_{out} JOIN {e} e ON e.doc_id = bw_{out}.doc_id AND e.t = pt),
+{out} AS (SELECT e.* FROM {e} e JOIN fw_{out} f ON f.doc_id = e.doc_id AND f.pt = e.s JOIN bw_{out} b ON b.doc_id = e.doc_id AND b.pt = e.t)"""
+
+
+@query(f"AND {LAT}, {LENGTHS}, le AS (SELECT doc_id, s::BIGINT AS s, t::BIGINT AS t FROM lat WHERE tok_id <> 5), {_PRUNED('le', 'pr')} SELECT doc_id, count(*) AS n, sum(s)::BIGINT AS starts FROM pr GROUP BY doc_id", recursive=True)
 def prune_lattice(spark, sf_dir) -> DataFrame:
     e = _lattice(spark, sf_dir).where("tok_id <> 5")
     return segment.prune_lattice(e, _lengths(spark, sf_dir)).groupBy("doc_id").agg(_n(), F.sum("s").alias("starts"))
 
 
-@query()
+@query(f"""AND {LAT}, {LENGTHS}, e AS (SELECT DISTINCT doc_id, s::BIGINT AS s, t::BIGINT AS t, is_word FROM lat),
+top AS (SELECT doc_id, s, max(t) AS longest FROM e GROUP BY ALL HAVING bool_or(is_word) FILTER (t = (SELECT max(x.t) FROM e x WHERE x.doc_id = e.doc_id AND x.s = e.s))),
+bad AS (SELECT a.doc_id, a.s, a.t, a.is_word AS w1, b.t AS u, b.is_word AS w2 FROM e a JOIN top USING (doc_id, s) JOIN e b ON b.doc_id = a.doc_id AND b.s = a.t WHERE a.t < longest AND b.t <= longest AND NOT (a.is_word AND b.is_word)),
+gone AS (SELECT doc_id, s, t FROM bad WHERE NOT w1 UNION SELECT doc_id, t, u FROM bad WHERE NOT w2), rest AS (SELECT * FROM e ANTI JOIN gone USING (doc_id, s, t)),
+{_PRUNED('rest', 'pr')}
+SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM pr UNION ALL SELECT doc_id FROM e WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.doc_id = e.doc_id)) GROUP BY doc_id""", recursive=True)
 def drop_redundant_syllables(spark, sf_dir) -> DataFrame:
     return segment.drop_redundant_syllables(_lattice(spark, sf_dir), _lengths(spark, sf_dir)).groupBy("doc_id").agg(_n())
 
@@ -656,10 +756,13 @@ def expand_unknown(spark, sf_dir) -> DataFrame:
     return segment.expand_unknown(e, _texts(spark, sf_dir)).groupBy("doc_id").agg(_n())
 
 
-@query()
+@query(rf"""AND {THAI_TOK}, od AS (SELECT *, tok_id % 3 <> 0 AND regexp_matches(word, '^[^!-~\x{{0E50}}-\x{{0E59}} \t\n\x0B\f\r]*$') AS odd FROM th),
+nw AS (SELECT *, NOT (odd AND coalesce(lag(odd) OVER (PARTITION BY sent_id ORDER BY tok_id), false)) AS fresh FROM od)
+SELECT sent_id AS doc_id, count(*) FILTER (fresh) AS n, max(len)::INTEGER AS longest, sum(len * len)::BIGINT AS squares FROM (SELECT sent_id, run, bool_or(fresh) AS fresh, sum(length(word)) AS len FROM (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY sent_id ORDER BY tok_id) AS run FROM nw) GROUP BY ALL) GROUP BY sent_id""")
 def merge_unknown_words(spark, sf_dir) -> DataFrame:
-    o = trees.char_offsets(tokens(spark, sf_dir)).select(F.col("sent_id").alias("doc_id"), F.col("start").alias("s"), F.col("end").alias("t"), "word", (F.col("tok_id") % 3 == 0).alias("known"))
-    return segment.merge_unknown_words(o).groupBy("doc_id").agg(_n())
+    o = trees.char_offsets(_thai(spark, sf_dir)).select(F.col("sent_id").alias("doc_id"), F.col("start").alias("s"), F.col("end").alias("t"), "word", (F.col("tok_id") % 3 == 0).alias("known"))
+    n = F.char_length("word")
+    return segment.merge_unknown_words(o).groupBy("doc_id").agg(_n(), F.max(n).alias("longest"), F.sum(n * n).alias("squares"))
 
 
 @query()
@@ -668,7 +771,12 @@ def merge_unknown_syllables(spark, sf_dir) -> DataFrame:
     return segment.merge_unknown_syllables(e, "^[a-zé]{2,6}$").groupBy("doc_id").agg(_n())
 
 
-@query(f"AND {LEX}, {LAT}, nodes AS (SELECT DISTINCT doc_id, s, t, lat.word, lex.pos FROM lat JOIN lex ON lat.word = lex.word AND NOT regexp_matches(lat.word, '^[0-9.,]+$')) SELECT pos, count(*) AS n FROM nodes GROUP BY pos")
+NODES = rf"""{LEX}, {LAT}, dl AS (SELECT DISTINCT doc_id, s, t, word FROM lat),
+dr AS (SELECT *, CASE WHEN regexp_matches(word, '^[0-9]+\.$') THEN 'nlab' WHEN regexp_matches(word, '^[!-/:-@\[-`{{-~]$') THEN 'punc' WHEN regexp_matches(word, '^[0-9.,]+$') THEN 'nnum' END AS p FROM dl),
+nodes AS (SELECT doc_id, s, t, dr.word, coalesce(p, lex.pos, 'npn') AS pos FROM dr LEFT JOIN lex ON dr.word = lex.word AND p IS NULL)"""
+
+
+@query(f"AND {NODES} SELECT pos, count(*) AS n FROM nodes GROUP BY pos")
 def tag_lattice(spark, sf_dir) -> DataFrame:
     return _nodes(spark, sf_dir).groupBy("pos").agg(_n())
 
@@ -678,12 +786,13 @@ def _nodes(spark, sf_dir) -> DataFrame:
     return segment.tag_lattice(whole, _lexicon(spark, sf_dir))
 
 
-@query()
+@query(f"AND {NODES} SELECT a.pos, b.pos AS pos2, count(*) AS n FROM nodes a JOIN nodes b ON b.doc_id = a.doc_id AND b.s = a.t GROUP BY ALL")
 def adjacent(spark, sf_dir) -> DataFrame:
     return segment.adjacent(_nodes(spark, sf_dir)).groupBy("pos", "pos2").agg(_n())
 
 
-@query()
+@query(f"""AND {NODES}, rc AS (SELECT DISTINCT doc_id, t AS a, t AS b FROM dl UNION SELECT rc.doc_id, a, e.t FROM rc JOIN dl e ON e.doc_id = rc.doc_id AND e.s = b)
+SELECT x.pos, y.pos AS pos2, count(*) AS n FROM rc JOIN nodes x ON x.doc_id = rc.doc_id AND x.t = a JOIN nodes y ON y.doc_id = rc.doc_id AND y.s = b GROUP BY ALL""", recursive=True)
 def reachable(spark, sf_dir) -> DataFrame:
     return segment.reachable(_nodes(spark, sf_dir)).groupBy("pos", "pos2").agg(_n())
 
@@ -722,7 +831,17 @@ def evaluate(spark, sf_dir) -> DataFrame:
     return _rounded(evaluation.evaluate(*_graphs(spark, sf_dir)))
 
 
-@query()
+K_BEST = f"""{ARCS}, tk AS (SELECT t.*, k, CASE WHEN (sent_id * 7 + tok_id * 3 + k) % 5 = 0 THEN tok_id - 1 ELSE head END AS ch FROM u t, range(3) r(k)),
+ck AS (SELECT c.sent_id, k, coalesce(h.unit, 'ROOT ROOT') AS hu, c.unit AS cu FROM tk c LEFT JOIN u h ON h.sent_id = c.sent_id AND h.tok_id = ch), ga AS (SELECT DISTINCT sent_id, hu || ' <-- ' || cu AS arc FROM gold),
+ar AS (SELECT ck.sent_id, k, count(ga.arc) AS correct, count(*) AS test_arcs, max((hu = 'ROOT ROOT' AND ga.arc IS NOT NULL)::INTEGER)::BIGINT AS root FROM ck LEFT JOIN ga ON ga.sent_id = ck.sent_id AND ga.arc = hu || ' <-- ' || cu GROUP BY ALL),
+gu AS (SELECT DISTINCT sent_id, unnest([hu, cu]) AS x FROM gold), tu AS (SELECT DISTINCT sent_id, k, unnest([hu, cu]) AS x FROM ck),
+wt AS (SELECT tu.sent_id, k, count(*) - 1 AS test_words, count(gu.x) - 1 AS common_words FROM tu LEFT JOIN gu ON gu.sent_id = tu.sent_id AND gu.x = tu.x GROUP BY ALL),
+wg AS (SELECT sent_id, count(*) - 1 AS gold_words FROM gu GROUP BY ALL), ng AS (SELECT sent_id, count(*) AS gold_arcs FROM gold GROUP BY ALL),
+es AS (SELECT *, (correct = test_arcs)::BIGINT AS complete FROM ar JOIN wt USING (sent_id, k) JOIN wg USING (sent_id) JOIN ng USING (sent_id)),
+bs AS (SELECT * FROM es QUALIFY row_number() OVER (PARTITION BY sent_id ORDER BY correct DESC, complete DESC, root DESC, gold_words DESC, test_words DESC, common_words DESC, k) = 1)"""
+
+
+@query(f"AND {K_BEST} SELECT {_tot('count(*)')} FROM bs")
 def evaluate_k_best(spark, sf_dir) -> DataFrame:
     t = tokens(spark, sf_dir)
     cands = None
