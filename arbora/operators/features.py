@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,15 +36,38 @@ LABEL = [*_EDGE, *(x + " hr" for x in _ROLE), *(x + " hr args" for x in _ROLE),
 LABEL += ["lw lt rw rt", "lw ls rw rs", "lt rt", "ls rs", "same", "mods rm lm fr fl", "mods", "rm lm", "fr fl", "mods rm lm", "mods fr fl", "rm lm fr fl"]
 
 
-def _joined(template: str) -> Column:
+def _joined(parts: list[str]) -> Column:
     """a/b/c, or null if any part is null."""
-    parts = template.split()
     out = [F.col(parts[0])]
     for p in parts[1:]:
         out += [F.lit("/"), F.col(p)]
     return F.concat(*out) if len(out) > 1 else out[0].cast("string")
 
 
+#: Parts that templates end in, over and over with the same parts before.
+_TAILS = ["dist dir", "dir dist", "dist", "dir"]
+#: Parts that a row may lack; templates with one of them are left out for it.
+_OPTIONAL = {"bett", "bets", "args"}
+
+
+def with_features(rows: DataFrame, keep: list[str], templates: list[str], first: int, separator: str, only: set[int] | None = None, more: list[Column] = []) -> DataFrame:  # noqa: B006
+    """keep and features: an array of `number separator parts` for the templates without a null part, then the arrays of more.
+
+    Numbers count all templates. What several templates start with is joined once, and so are their tails."""
+    asked = []
+    for k, t in enumerate(templates, first):
+        if only is None or k in only:
+            tail = next((x for x in _TAILS if t.endswith(f" {x}")), "")
+            asked.append((k, t.removesuffix(tail).strip(), tail))
+    starts = {t: f"_s{n}" for n, t in enumerate(dict.fromkeys(t for _, t, _ in asked))}
+    tails = {t: f"_t{n}" for n, t in enumerate(dict.fromkeys(t for *_, t in asked if t))}
+    rows = rows.withColumns({c: _joined(t.split()) for t, c in starts.items()} | {c: F.concat(F.lit("/"), _joined(t.split())) for t, c in tails.items()})
+    made = [(F.concat(F.lit(f"{k}{separator}"), starts[t], *([tails[tail]] if tail else [])), not _OPTIONAL.isdisjoint(t.split())) for k, t, tail in asked]
+    runs = [(optional, F.array(*(c for c, _ in run))) for optional, run in itertools.groupby(made, lambda x: x[1])]
+    arrays = [F.array_compact(x) if optional else x for optional, x in runs] + more
+    return rows.select(*keep, (F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("features"))
+
+
 _METHOD = "spark.sql.codegen.hugeMethodLimit"
 
 
@@ -54,12 +79,6 @@ def small_methods(spark: SparkSession) -> None:
         spark.conf.set(_METHOD, "8000")
 
 
-def numbered(templates: list[str], first: int, separator: str, only: set[int] | None = None) -> Column:
-    """Array of `number separator parts` for the templates without a null part; numbers count all templates."""
-    made = [F.concat(F.lit(f"{k}{separator}"), _joined(t)) for k, t in enumerate(templates, first) if only is None or k in only]
-    return F.array_compact(F.array(*made))
-
-
 def with_root(tokens: DataFrame) -> DataFrame:
     """sent_id and arrays words, tags, heads with the artificial root at place 0."""
     rows = tokens.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("tok_id", "word", "pos", "head"))).alias("t"))
@@ -116,7 +135,7 @@ def arc_parts(cands: DataFrame) -> DataFrame:
 def maxent_arc_features(cands: DataFrame, only: set[int] | None = None) -> DataFrame:
     """cands with features: the 184 numbered templates `k-a/b/c`, or only some of them."""
     small_methods(cands.sparkSession)
-    return arc_parts(cands).select("sent_id", "i", "j", "dir", "label", numbered(MAXENT, 1, "-", only).alias("features"))
+    return with_features(arc_parts(cands), ["sent_id", "i", "j", "dir", "label"], MAXENT, 1, "-", only)
 
 
 def _between(start: Column, end: Column):
@@ -133,7 +152,7 @@ def linear_arc_features(cands: DataFrame, only: set[int] | None = None) -> DataF
         tail = F.concat(F.lit("/"), F.col("dir"), F.lit("/"), F.col("dist")) if more else F.lit("")
         start, end = F.concat(F.lit(f"{k}:"), F.col(f"i{kind}"), F.lit("/")), F.concat(F.lit("/"), F.col(f"j{kind}"), tail)
         many.append(F.transform("between" if kind == "t" else "between_s", _between(start, end)))
-    return arc_parts(cands).select("sent_id", "i", "j", "dir", "label", F.concat(numbered(LINEAR, 0, ":", only), *many).alias("features"))
+    return with_features(arc_parts(cands), ["sent_id", "i", "j", "dir", "label"], LINEAR, 0, ":", only, many)
 
 
 def label_features(tokens: DataFrame, only: set[int] | None = None) -> DataFrame:
@@ -155,7 +174,7 @@ def label_features(tokens: DataFrame, only: set[int] | None = None) -> DataFrame
         F.lit("None").alias("ls"), F.lit("None").alias("rs"), yes(F.col("between_siblings")).alias("same"), F.col("n_children").cast("string").alias("mods"),
         *(yes(F.col(c)).alias(a) for c, a in (("right_most", "rm"), ("left_most", "lm"), ("nearest_right", "fr"), ("nearest_left", "fl"))),
     )
-    return t.select("sent_id", "tok_id", "role", numbered(LABEL, 1, "-", only).alias("features"))
+    return with_features(t, ["sent_id", "tok_id", "role"], LABEL, 1, "-", only)
 
 
 def write_events(features: DataFrame, label: str = "label") -> DataFrame:

@@ -22,10 +22,18 @@ def _units(tokens: DataFrame) -> DataFrame:
     return t.withColumn("unit", F.concat(F.lit("["), F.col("base"), F.lit("@"), F.col("role"), F.lit("]")))
 
 
-def _complements(t: DataFrame) -> DataFrame:
-    """Complement children of each head, in position order: ids and units."""
-    c = t.where("kind = 'complement'").groupBy("sent_id", "head").agg(F.array_sort(F.collect_list(F.struct("tok_id", "unit"))).alias("c"))
-    return c.select("sent_id", F.col("head").alias("tok_id"), F.col("c.tok_id").alias("child_ids"), F.array_join("c.unit", ",").alias("child_units"))
+def _nodes(tokens: DataFrame) -> DataFrame:
+    """Units with the ids and units of their complement children in position order (null without any) and the tag of their head.
+
+    Children and heads are found inside the sentence's row, after one exchange by sent_id."""
+    own = ("tok_id", "word", "base", "role", "head", "kind", "unit")
+    u = _units(tokens).groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("u"))
+    children = lambda x: F.filter("u", lambda y: (y["head"] == x["tok_id"]) & (y["kind"] == "complement"))
+    up = lambda x: F.get(F.filter("u", lambda y: y["tok_id"] == x["head"]), F.lit(0))["base"]
+    node = F.transform("u", lambda x: F.struct(*(x[c].alias(c) for c in own), children(x).alias("c"), up(x).alias("head_base")))
+    n = u.select("sent_id", F.explode(node).alias("x")).select("sent_id", "x.*")
+    some = F.size("c") > 0
+    return n.withColumns({"child_ids": F.when(some, F.col("c.tok_id")), "child_units": F.when(some, F.array_join("c.unit", ","))}).drop("c")
 
 
 def rule_events(tokens: DataFrame) -> DataFrame:
@@ -33,26 +41,22 @@ def rule_events(tokens: DataFrame) -> DataFrame:
 
     Type 1: a complement node with complement children. Type 2: an adjunct child without, type 3: an
     adjunct child with complement children, both keyed by the child."""
-    t = _units(tokens)
-    nodes = t.join(_complements(t), ["sent_id", "tok_id"], "left")
-    heads = t.select("sent_id", F.col("tok_id").alias("head"), F.col("base").alias("head_base"))
-    shift = lambda ids, at: F.transform(ids, lambda x: x - at)
+    childless, adjunct = F.col("child_ids").isNull(), (F.col("kind") == "adjunct") & F.col("head_base").isNotNull()
+    kind = F.when((F.col("kind") == "complement") & ~childless, 1).when(adjunct & childless, 2).when(adjunct, 3)
+    t = _nodes(tokens).withColumn("type", kind).where("type is not null")
     text = lambda ranks: F.array_join(F.transform(ranks, lambda x: x.cast("string")), ",")
-    specific, generic = F.concat("word", F.lit("/"), "base"), F.col("base")
-    one = nodes.where("kind = 'complement' and child_ids is not null")
-    order1 = F.concat(F.lit("0 --> "), text(relative_order(shift(F.col("child_ids"), F.col("tok_id")))))
-    rule1 = lambda w: F.concat(w, F.lit("["), "base", F.lit("] --> "), "child_units")
-    events = one.select("sent_id", "tok_id", F.lit(1).alias("type"), order1.alias("word_order"), F.array(F.struct(specific.alias("k"), rule1(F.col("word")).alias("r")), F.struct(generic.alias("k"), rule1(F.lit("")).alias("r"))).alias("forms"))
-    adjunct = nodes.where("kind = 'adjunct'").join(heads, ["sent_id", "head"])
-    up = lambda w: F.concat(F.lit("["), F.col("head_base"), F.lit("] --> "), w, "unit")
-    two = adjunct.where("child_ids is null")
+    offsets = F.transform("child_ids", lambda x: x - F.col("tok_id"))
+    # type 3 ranks the head together with the grandchildren
+    t = t.withColumn("ranks", F.when(F.col("type") == 1, relative_order(offsets)).when(F.col("type") == 3, relative_order(F.concat(F.array(F.col("head") - F.col("tok_id")), offsets))))
     order2 = F.when(F.col("head") > F.col("tok_id"), "1 --> 0").otherwise("-1 --> 0")
-    events = events.unionByName(two.select("sent_id", "tok_id", F.lit(2).alias("type"), order2.alias("word_order"), F.array(F.struct(specific.alias("k"), up(F.col("word")).alias("r")), F.struct(generic.alias("k"), up(F.lit("")).alias("r"))).alias("forms")))
-    three = adjunct.where("child_ids is not null").withColumn("ranks", relative_order(F.concat(F.array(F.col("head") - F.col("tok_id")), shift(F.col("child_ids"), F.col("tok_id")))))
     order3 = F.concat(F.element_at("ranks", 1).cast("string"), F.lit(" --> 0 --> "), text(F.slice("ranks", 2, F.size("ranks"))))
-    down = lambda w: F.concat(up(w), F.lit(" --> "), "child_units")
-    events = events.unionByName(three.select("sent_id", "tok_id", F.lit(3).alias("type"), order3.alias("word_order"), F.array(F.struct(specific.alias("k"), down(F.col("word")).alias("r")), F.struct(generic.alias("k"), down(F.lit("")).alias("r"))).alias("forms")))
-    return events.select("sent_id", "tok_id", "type", "word_order", F.explode("forms").alias("f")).select("sent_id", "tok_id", "type", F.col("f.k").alias("head_key"), F.col("f.r").alias("rule"), "word_order")
+    order = F.when(F.col("type") == 1, F.concat(F.lit("0 --> "), text(F.col("ranks")))).when(F.col("type") == 2, order2).otherwise(order3)
+    one = lambda w: F.concat(w, F.lit("["), "base", F.lit("] --> "), "child_units")
+    up = lambda w: F.concat(F.lit("["), F.col("head_base"), F.lit("] --> "), w, "unit")
+    rule = lambda w: F.when(F.col("type") == 1, one(w)).when(F.col("type") == 2, up(w)).otherwise(F.concat(up(w), F.lit(" --> "), "child_units"))
+    forms = F.array(F.struct(F.concat("word", F.lit("/"), "base").alias("k"), rule(F.col("word")).alias("r")), F.struct(F.col("base").alias("k"), rule(F.lit("")).alias("r")))
+    e = t.select("sent_id", "tok_id", "type", order.alias("word_order"), F.explode(forms).alias("f"))
+    return e.select("sent_id", "tok_id", "type", F.col("f.k").alias("head_key"), F.col("f.r").alias("rule"), "word_order")
 
 
 def _share(counts: DataFrame, key: list[str]) -> DataFrame:
@@ -62,8 +66,10 @@ def _share(counts: DataFrame, key: list[str]) -> DataFrame:
 
 def rule_probabilities(events: DataFrame) -> DataFrame:
     """level rule: P(rule | type, head_key); level order: P(order | type, rule). Columns level, type, key, outcome, n, p."""
-    rules = _share(events.groupBy("type", "head_key", "rule").agg(F.count("*").alias("n")), ["type", "head_key"])
-    orders = _share(events.groupBy("type", "rule", "word_order").agg(F.count("*").alias("n")), ["type", "rule"])
+    # events are counted once; both levels are sums of those counts
+    counts = events.groupBy("type", "head_key", "rule", "word_order").agg(F.count("*").alias("n"))
+    rules = _share(counts.groupBy("type", "head_key", "rule").agg(F.sum("n").alias("n")), ["type", "head_key"])
+    orders = _share(counts.groupBy("type", "rule", "word_order").agg(F.sum("n").alias("n")), ["type", "rule"])
     a = rules.select(F.lit("rule").alias("level"), "type", F.col("head_key").alias("key"), F.col("rule").alias("outcome"), "n", "p")
     return a.unionByName(orders.select(F.lit("order").alias("level"), "type", F.col("rule").alias("key"), F.col("word_order").alias("outcome"), "n", "p"))
 

@@ -103,10 +103,14 @@ def assign_labels(tokens: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def top_rules(rules: DataFrame, k: int = 3, relaxed: bool = False) -> DataFrame:
-    """rules: type, head_key, rule, n (trees) -> the first k of each head by n, then text, both descending; type 1 keeps all."""
+    """rules: type, head_key, rule, n (trees) -> the first k of each head by n, then text, both descending, with rank.
+
+    Type 1 keeps all unless relaxed, with rank null: a tag's rules need no order then. The limit on the others
+    is one that Spark applies before it shuffles, so a hot tag brings k rules from each task."""
     g = rules.groupBy("type", "head_key", "rule").agg(F.sum("n").alias("n"))
-    r = g.withColumn("rank", F.row_number().over(W.partitionBy("type", "head_key").orderBy(F.desc("n"), F.desc("rule"))))
-    return r.where((F.col("rank") <= k) | ((F.col("type") == 1) & F.lit(not relaxed)))
+    order = W.partitionBy("type", "head_key").orderBy(F.desc("n"), F.desc("rule"))
+    ranked = (g if relaxed else g.where("type <> 1")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked if relaxed else ranked.unionByName(g.where("type = 1").withColumn("rank", F.lit(None).cast("int")))
 
 
 def _role_tag(unit: Column) -> Column:

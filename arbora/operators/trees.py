@@ -41,16 +41,16 @@ def dependency_arcs(tokens: DataFrame) -> DataFrame:
     return t.join(_heads(t, "word", "pos", "start", "end"), ["sent_id", "head"])
 
 
-def _unit(word: str, start: str, end: str, pos: str) -> Column:
-    return F.concat(word, F.lit(":"), start, F.lit(":"), end, F.lit(" "), pos)
-
-
 def arc_texts(tokens: DataFrame, head: str = "head") -> DataFrame:
-    """sent_id, tok_id, arc: `word:s:e tag <-- word:s:e tag`, ROOT ROOT for head 0."""
-    t = char_offsets(tokens.withColumn("head", F.col(head)))
-    j = t.join(_heads(t, "word", "pos", "start", "end"), ["sent_id", "head"], "left")
-    up = F.when(F.col("head") == 0, "ROOT ROOT").otherwise(_unit("head_word", "head_start", "head_end", "head_pos"))
-    return j.select("sent_id", "tok_id", up.alias("head_unit"), _unit("word", "start", "end", "pos").alias("child_unit")).withColumn("arc", F.concat("head_unit", F.lit(" <-- "), "child_unit"))
+    """sent_id, tok_id, arc: `word:s:e tag <-- word:s:e tag`, ROOT ROOT for head 0. Offsets and heads are found inside the sentence's row."""
+    g = tokens.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("tok_id", "word", "pos", F.col(head).alias("head")))).alias("t"))
+    ends = F.aggregate("t", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.char_length(x["word"])))
+    g = g.withColumn("e", ends)
+    unit = F.transform("t", lambda x, i: F.concat(x["word"], F.lit(":"), F.get("e", i), F.lit(":"), F.get("e", i + 1), F.lit(" "), x["pos"]))
+    g = g.withColumn("u", unit)
+    up = lambda x: F.when(x["head"] == 0, "ROOT ROOT").otherwise(F.get("u", F.array_position("t.tok_id", x["head"]).cast("int") - 1))
+    rows = g.select("sent_id", F.explode(F.transform("t", lambda x, i: F.struct(x["tok_id"].alias("tok_id"), up(x).alias("head_unit"), F.get("u", i).alias("child_unit")))).alias("x"))
+    return rows.select("sent_id", "x.*").withColumn("arc", F.concat("head_unit", F.lit(" <-- "), "child_unit"))
 
 
 def word_graph(tokens: DataFrame, head: str = "head") -> DataFrame:

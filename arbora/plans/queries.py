@@ -584,7 +584,7 @@ def _rules(spark, sf_dir) -> DataFrame:
     return e.groupBy("type", "head_key", "rule").agg(_n())
 
 
-@query(f"AND {RULES}, k AS (SELECT *, row_number() OVER (PARTITION BY type, head_key ORDER BY n DESC, rule DESC)::INTEGER AS rank FROM rn) SELECT * FROM k WHERE rank <= 3 OR type = 1")
+@query(f"AND {RULES}, k AS (SELECT *, row_number() OVER (PARTITION BY type, head_key ORDER BY n DESC, rule DESC)::INTEGER AS r FROM rn) SELECT type, head_key, rule, n, CASE WHEN type <> 1 THEN r END AS rank FROM k WHERE r <= 3 OR type = 1")
 def top_rules(spark, sf_dir) -> DataFrame:
     return scoring.top_rules(_rules(spark, sf_dir), 3)
 
