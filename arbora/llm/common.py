@@ -22,6 +22,8 @@ BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _FREE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 # setting: Spark's default and ours
 _SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(BATCH_ROWS)), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(BATCH_BYTES))}
+#: Bytes of a table that a join may broadcast.
+BROADCAST_BYTES = 1 << 20
 _held: dict = {}
 _lock = threading.Lock()
 
@@ -60,10 +62,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def remove(*tables: DataFrame) -> None:
     """Delete tables of materialize() that nothing will read again: their successors are written."""
     for t in tables:
-        sc, path = t.sparkSession.sparkContext, getattr(t, "_arbora_path", None)
-        if path:
-            hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+        if path := getattr(t, "_arbora_path", None):
+            remove_folder(t.sparkSession, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table with the hint that its measured size asks for: broadcast up to limit bytes of text and numbers, else merge.
+
+    Spark's own choice goes by compressed file sizes, which say little of the size in memory."""
+    size = table.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in table.columns), F.lit(0)))).first()[0]
+    return table.hint("broadcast" if (size or 0) <= limit else "merge")
 
 
 @contextlib.contextmanager

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, remove
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,18 +22,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node with an edge; component is the smallest node of its group.
+    """(node, component) of every node with an edge, a stored table; component is the smallest node of its group.
 
     edges: u, v (long, undirected; loops and repeats allowed). Edges stay distributed; only their
     count and a checksum reach the driver. Each round's edges are written to the scratch folder."""
     edges = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
     last = None
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        remove(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
             break
         last = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = materialize(both, "components")
+    remove(edges)
+    return out

@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import chunks, materialize, row_key, steps, trimmed, utf8
+from .common import chunks, materialize, remove, row_key, steps, trimmed, utf8
 from .graph import components
 
 SHINGLE = 5
@@ -147,12 +147,14 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     sig = classes.select("node", "row", "sig")
     p = pairs.join(sig.select(F.col("node").alias("a"), F.col("row").alias("row_a"), F.col("sig").alias("sig_a")), "a")
     p = p.join(sig.select(F.col("node").alias("b"), F.col("row").alias("row_b"), F.col("sig").alias("sig_b")), "b")
-    p = materialize(p.where(matches(F.col("sig_a"), F.col("sig_b")) >= LEAST_MATCHES).select("a", "b", "row_a", "row_b"), "op8-pairs")
+    estimated = [p := materialize(p.where(matches(F.col("sig_a"), F.col("sig_b")) >= LEAST_MATCHES).select("a", "b", "row_a", "row_b"), "op8-pairs")]
     used = p.select(F.col("row_a").alias("row")).unionByName(p.select(F.col("row_b").alias("row"))).distinct()
     texts = materialize(docs.select(row_key().alias("row"), "text").join(used, "row").dropDuplicates(["row"]), "op8-texts")
     p = p.join(texts.select(F.col("row").alias("row_b"), F.col("text").alias("text_b")), "row_b")
     p = p.join(texts.select(F.col("row").alias("row_a"), F.col("text").alias("text_a")), "row_a")
-    return materialize(p.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_confirm), "u long, v long").distinct(), "op8-links")
+    links = materialize(p.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_confirm), "u long, v long").distinct(), "op8-links")
+    remove(pairs, *estimated, texts)
+    return links
 
 
 def _shingles(batches):
@@ -167,7 +169,7 @@ def _shingles(batches):
 
 
 def _by_prefix(left: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components among left (node, component, row) that share a prefix shingle."""
+    """A stored table of pairs (a, b) of different components among left (node, component, row) that share a prefix shingle."""
     texts = docs.select(row_key().alias("row"), "text").join(left, "row").dropDuplicates(["node", "row"])
     every = materialize(texts.select("node", "component", "text").mapInArrow(trimmed(_shingles), "node long, component long, n long, shingle long"), "op8-shingles")
     common = every.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
@@ -176,13 +178,15 @@ def _by_prefix(left: DataFrame, docs: DataFrame) -> DataFrame:
     alone = F.col("n") - F.count("*").over(W.partitionBy("node"))
     place = F.row_number().over(W.partitionBy("node").orderBy("classes", "shingle"))
     prefix = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1
-    head = materialize(shared.select("node", "component", "n", "shingle", (place + alone).alias("place"), prefix.alias("prefix")).where("place <= prefix").drop("prefix"), "op8-prefixes")
+    heads = head = materialize(shared.select("node", "component", "n", "shingle", (place + alone).alias("place"), prefix.alias("prefix")).where("place <= prefix").drop("prefix"), "op8-prefixes")
     mixed = head.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
     head = head.join(mixed, "shingle")
     a, b = (head.select("shingle", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}"), (F.col("n") - F.col("place") + 1).alias(f"rest{k}")) for k in "ab")
     # from the first common shingle on, the sets can share no more than the smaller rest; 0.75 takes 3/7 of both sizes
     fits = (F.col("ca") < F.col("cb")) & (7 * F.least("resta", "restb") >= 3 * (F.col("na") + F.col("nb")))
-    return a.join(b, "shingle").where(fits).select("a", "b").distinct()
+    pairs = materialize(a.join(b, "shingle").where(fits).select("a", "b").distinct(), "op8-prefix-pairs")
+    remove(every, heads)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
@@ -194,12 +198,15 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     names = materialize(names, "op8-names")
     classes = signed.join(names.withColumnRenamed("node", "id"), ["k1", "k2", "id"]).select(F.col("id").alias("node"), "row", "sig", "bands")
     classes = materialize(classes.dropDuplicates(["node", "row"]), "op8-classes")
+    keys = materialize(signed.select("id", "row", "n_shingles", "k1", "k2"), "op8-keys")
+    remove(signed)
 
     in_bucket = classes.select(F.explode("bands").alias("bucket"), "node")
     shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y")
     members = materialize(in_bucket.join(shared.select("bucket", "size"), "bucket"), "op8-members")
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = materialize(members.select("bucket", "node").join(weight, "node").select("bucket", F.struct("weight", "node").alias("rank")), "op8-ranked")
+    unranked, members = members, materialize(members.select("bucket", "node").join(weight, "node").select("bucket", F.struct("weight", "node").alias("rank")), "op8-ranked")
+    remove(unranked)
 
     comp = links = spark.createDataFrame([], "u long, v long")
     comp = comp.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -210,20 +217,26 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
         star = members.join(last, "bucket").where("rank <> pivot").select(F.col("pivot.node").alias("a"), F.col("rank.node").alias("b")).distinct()
         star = star.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         star = star.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        links = materialize(links.unionByName(_confirmed(star, classes, docs)), "op8-links")
-        comp = materialize(components(links), "op8-components")
+        old = [links, comp, members, last]
+        new = _confirmed(star, classes, docs)
+        links = materialize(links.unionByName(new), "op8-links")
+        comp = components(links)
         placed = members.select("bucket", "rank", F.col("rank.node").alias("node")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
         members = materialize(placed.join(mixed, "bucket").select("bucket", "rank"), "op8-members")
         last = materialize(last.join(mixed, "bucket"), "op8-pivots")
+        remove(new, *old)
 
     left = members.select(F.col("rank.node").alias("node")).distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = _confirmed(_by_prefix(left.join(classes.select("node", "row"), "node"), docs), classes, docs)
     if not more.isEmpty():
-        comp = materialize(components(links.unionByName(more)), "op8-components")
+        old, comp = comp, components(links.unionByName(more))
+        remove(old)
+    remove(classes, members, last, links, more)
 
     of_class = materialize(names.join(comp.withColumnRenamed("component", "c"), "node", "left").select("k1", "k2", F.coalesce("c", "node").alias("component")), "op8-of-class")
-    out = signed.select("id", "row", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
+    remove(names, comp)
+    out = keys.join(of_class, ["k1", "k2"], "left")
     component = F.coalesce("component", "id")
     return out.select(
         *(["row"] if with_row else []),

@@ -134,10 +134,8 @@ def _gather(by_doc: bool):
     return run
 
 
-def exchange(rows: DataFrame, emit, by_smaller: bool) -> DataFrame:
-    """Bring the entries that emit makes of rows together by bucket; one row per document row with its kept places."""
-    # an entry of 21 bytes (anchors) or 37 (windows) for some of the words
-    n = bucket_count(rows, 1.2)
+def exchange(rows: DataFrame, n: int, emit, by_smaller: bool) -> DataFrame:
+    """Bring the entries that emit makes of rows together in n buckets; one row per document row with its kept places."""
     met = by_number(rows.mapInArrow(trimmed(emit(n)), _SENT), n).mapInArrow(trimmed(_meet(n, by_smaller)), _FOUND)
     return by_number(met, n).mapInArrow(trimmed(_gather(by_smaller)), _GATHERED)
 
@@ -185,9 +183,11 @@ def _windows(buckets: int):
 def duplicate_windows(docs: DataFrame) -> DataFrame:
     """(known_doc, known_row, places): starts of windows that a smaller document has too."""
     rows = docs.select("doc_id", "text", row_key().alias("row"))
-    anchors = materialize(exchange(rows, _anchors, by_smaller=False), "op10-anchors")
+    # an entry of 21 bytes (anchors) or 37 (windows) for some of the words
+    n = bucket_count(rows, 1.2)
+    anchors = materialize(exchange(rows, n, _anchors, by_smaller=False), "op10-anchors")
     some = rows.join(anchors, rows["row"] == anchors["known_row"]).select("doc_id", "text", "row", "places")
-    marked = materialize(exchange(some, _windows, by_smaller=True), "op10-marked")
+    marked = materialize(exchange(some, n, _windows, by_smaller=True), "op10-marked")
     remove(anchors)
     return marked
 

@@ -12,12 +12,15 @@ The collection is cut up by content, so that each task can order its own part of
 3. order     contexts are dealt by gram. A task builds the transform of its strings by columns, from
              the last to the first: each round inserts one symbol of every string, moves the strings
              to the order of the suffixes that start in that column (a stable sort by the new
-             symbol of the order before), and updates the common prefixes of neighbours (one more than
+             symbol of the order before: a string's rank is the number of smaller symbols and of equal ones
+             before it), and updates the common prefixes of neighbours (one more than
              the least prefix between them in the round before; 0 where symbols differ). Strings
              are aligned at their anchors, and equal windows start in the same column, so only the current
              column of the transform is kept. Where a neighbour has 200 bytes in common, the window
              that starts in that column is repeated.
-             Above MEMORY_BYTES of text, symbols are in an external file, laid out by columns and read in sequence.
+             Symbols are in external files of GROUP columns each, which are written while strings arrive and
+             read from the last to the first, each in sequence. In memory are the order, the common prefixes
+             and one group of columns: some 60 bytes a string.
 4. apply     bytes under repeated windows are cut out.
 
 Null text is empty. Rows count as different documents even if they are equal (then all but short ones
@@ -27,6 +30,7 @@ go whole). Ids may be null or repeat; further columns play no part.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import int64, materialize, row_key, scratch_path, steps, utf8, width
-from .packed import by_bucket, joined, new_run, runs
+from .common import int64, materialize, remove, remove_folder, row_key, scratch_path, small_batches, steps, trimmed, utf8, width
+from .packed import bucket_count, by_bucket, by_number, joined, new_run, runs
 
 LENGTH = 200
 GRAM = 24
@@ -45,7 +49,10 @@ SPAN = LENGTH - GRAM  # an anchor starts at most this far into its windows
 CONTEXT = LENGTH + SPAN
 STARTS = SPAN + 1
 BITS = (STARTS + 7) // 8
-MEMORY_BYTES = 96 << 20
+#: Columns of one external file.
+GROUP = 16
+#: Bytes of contexts that one task orders, as far as grams can be dealt so.
+ORDER_BYTES = 32 << 20
 _BLOCK = 1 << 20
 
 _ENTRY = ("grams", "contexts", "rows", "places", "many")
@@ -194,47 +201,41 @@ def _contexts(batches):
 
 
 class Columns:
-    """The strings of a task by columns: in memory, or above MEMORY_BYTES in an external file of column blocks."""
+    """The strings of a task by columns, in external files of GROUP columns."""
 
     def __init__(self, folder: str):
-        self.folder, self.blocks, self.sizes, self.out, self.path = folder, [], [], None, None
+        self.fs, root = pafs.FileSystem.from_uri(folder)
+        self.root, self.sizes, self.out = f"{root}/{uuid.uuid4().hex}", [], []
 
     def add(self, block: np.ndarray) -> None:
         """block: columns x strings."""
+        if not self.out:
+            self.fs.create_dir(self.root, recursive=True)
+            self.out = [self.fs.open_output_stream(f"{self.root}/{g}", compression=None) for g in range(0, CONTEXT, GROUP)]
+        for f, g in zip(self.out, range(0, CONTEXT, GROUP)):
+            f.write(block[g : g + GROUP].tobytes())
         self.sizes.append(block.shape[1])
-        if self.out is None:
-            self.blocks.append(block)
-            if sum(b.nbytes for b in self.blocks) > MEMORY_BYTES:
-                self.fs, root = pafs.FileSystem.from_uri(self.folder)
-                self.fs.create_dir(root, recursive=True)
-                self.path = f"{root}/{hashlib.sha256(np.random.bytes(16)).hexdigest()}.columns"
-                self.out = self.fs.open_output_stream(self.path, compression=None)
-                for x in self.blocks:
-                    self.out.write(x.tobytes())
-                self.blocks = []
-        else:
-            self.out.write(block.tobytes())
+
+    def backwards(self):
+        """(number, symbols) of the columns, from the last to the first."""
+        for f in self.out:
+            f.close()
+        for g in reversed(range(0, CONTEXT, GROUP)):
+            with self.fs.open_input_stream(f"{self.root}/{g}", compression=None) as f:
+                data = np.frombuffer(f.read(), np.uint8)
+            width_ = min(GROUP, CONTEXT - g)
+            blocks = [x.reshape(width_, n) for x, n in zip(np.split(data, np.cumsum(self.sizes)[:-1] * width_), self.sizes)]
+            for j in reversed(range(width_)):
+                yield g + j, np.concatenate([x[j] for x in blocks])
 
     def __enter__(self):
-        if self.out is not None:
-            self.out.close()
-            self.file = self.fs.open_input_file(self.path)
         return self
 
-    def column(self, j: int) -> np.ndarray:
-        if self.out is None:
-            return np.concatenate([b[j] for b in self.blocks])
-        parts, at = [], 0
-        for n in self.sizes:
-            self.file.seek(at + j * n)
-            parts.append(np.frombuffer(self.file.read(n), np.uint8))
-            at += CONTEXT * n
-        return np.concatenate(parts)
-
     def __exit__(self, *_):
-        if self.out is not None:
-            self.file.close()
-            self.fs.delete_file(self.path)
+        for f in self.out:
+            f.close()
+        if self.out:
+            self.fs.delete_dir(self.root)
 
 
 def _range_min(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -257,13 +258,13 @@ def _range_min(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def repeated_starts(columns, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Bits (strings x BITS): windows of LENGTH symbols that another string has in the same columns.
 
-    columns(j): the symbols of column j. String i has symbols in columns lo[i] to hi[i] - 1."""
+    columns: (j, symbols of column j) from the last to the first. String i has symbols in columns lo[i] to hi[i] - 1."""
     n = len(lo)
     out = np.zeros((n, BITS), np.uint8)
     order, common = np.arange(n), np.zeros(n, np.uint16)
-    for j in range(CONTEXT - 1, -1, -1):
+    for j, symbols in columns:
         there = (lo <= j) & (j < hi)
-        symbol = np.where(there, columns(j).astype(np.uint16), np.uint16(256))[order]
+        symbol = np.where(there, symbols.astype(np.uint16), np.uint16(256))[order]
         move = np.argsort(symbol, kind="stable")
         order, symbol = order[move], symbol[move]
         same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] < 256)) + 1
@@ -280,25 +281,25 @@ def repeated_starts(columns, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def _order(folder: str):
     def run(batches):
-        columns, meta = Columns(folder), []
-        for b in batches:
-            if not len(b):
-                continue
-            left = b.column("left").to_numpy()
-            text = b.column("context").to_pylist()
-            size = np.fromiter(map(len, text), np.int64, len(text))
-            lo = SPAN - left
-            flat = np.frombuffer(b"".join(text), np.uint8)
-            place = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(len(flat))
-            block = np.zeros((len(text), CONTEXT), np.uint8)
-            block[np.repeat(np.arange(len(text)), size), place] = flat
-            columns.add(np.ascontiguousarray(block.T))
-            meta.append((lo, lo + size, b.column("row").to_numpy(), b.column("place").to_numpy(), b.column("many").to_numpy(zero_copy_only=False)))
-        if not meta:
-            return
-        lo, hi, row, place, many = (np.concatenate(x) for x in zip(*meta))
-        with columns:
-            bits = repeated_starts(columns.column, lo, hi)
+        with Columns(folder) as columns:
+            meta = []
+            for b in batches:
+                if not len(b):
+                    continue
+                left = b.column("left").to_numpy()
+                text = b.column("context").to_pylist()
+                size = np.fromiter(map(len, text), np.int64, len(text))
+                lo = SPAN - left
+                flat = np.frombuffer(b"".join(text), np.uint8)
+                place = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(len(flat))
+                block = np.zeros((len(text), CONTEXT), np.uint8)
+                block[np.repeat(np.arange(len(text)), size), place] = flat
+                columns.add(np.ascontiguousarray(block.T))
+                meta.append((lo, lo + size, b.column("row").to_numpy(), b.column("place").to_numpy(), b.column("many").to_numpy(zero_copy_only=False)))
+            if not meta:
+                return
+            lo, hi, row, place, many = (np.concatenate(x) for x in zip(*meta))
+            bits = repeated_starts(columns.backwards(), lo, hi)
         hit = np.flatnonzero(bits.any(axis=1) & ~many)
         for s in range(0, len(hit), 50_000):
             h = hit[s : s + 50_000]
@@ -310,17 +311,23 @@ def _order(folder: str):
 def _repeats(docs: DataFrame) -> DataFrame:
     """row, whole (places of contexts that are repeated whole), parts (place and bits of the others)."""
     spark = docs.sparkSession
-    n = width(spark)
     rows = docs.select("text", row_key().alias("row"))
-    met = rows.mapInArrow(_anchors(n), _SENT).repartition(n, "bucket").mapInArrow(_meet(n), _OUT)
-    met = materialize(met.repartition(n, "bucket").mapInArrow(_gather, "row long, whole binary, asked binary"), "op3-met")
+    # an anchor has 29 bytes, and there is about one for each 88 bytes of text
+    n = bucket_count(rows, 0.4)
+    met = by_number(rows.mapInArrow(trimmed(_anchors(n)), _SENT), n).mapInArrow(trimmed(_meet(n)), _OUT)
+    met = materialize(by_number(met, n).mapInArrow(trimmed(_gather), "row long, whole binary, asked binary"), "op3-met")
     asked = met.where("asked is not null").select("row", "asked")
-    found = rows.join(asked, "row").select("row", "text", "asked").mapInArrow(_contexts, "gram long, row long, place int, left int, many boolean, context binary")
-    order = _order(scratch_path(spark, "op3-columns"))
-    parts = materialize(found.repartition(n, "gram").mapInArrow(order, "row long, place int, bits binary"), "op3-parts")
-    parts = parts.groupBy("row").agg(F.collect_list(F.struct("place", "bits")).alias("parts"))
+    found = rows.join(asked, "row").select("row", "text", "asked").mapInArrow(trimmed(_contexts), "gram long, row long, place int, left int, many boolean, context binary")
+    folder = scratch_path(spark, "op3-columns")
+    strings = asked.agg(F.coalesce(F.sum(F.octet_length("asked")), F.lit(0))).first()[0] // _ASKED.itemsize
+    found = found.repartition(max(width(spark), strings * CONTEXT // ORDER_BYTES + 1), "gram")
+    parts = materialize(found.mapInArrow(trimmed(_order(folder)), "row long, place int, bits binary"), "op3-parts")
+    remove_folder(spark, folder)
+    by_row = parts.groupBy("row").agg(F.collect_list(F.struct("place", "bits")).alias("parts"))
     whole = met.where("whole is not null").select("row", "whole")
-    return materialize(whole.join(parts, "row", "full"), "op3-repeats")
+    out = materialize(whole.join(by_row, "row", "full"), "op3-repeats")
+    remove(met, parts)
+    return out
 
 
 def removed_bytes(size: int, whole: bytes | None, parts: list[dict]) -> np.ndarray:
@@ -358,9 +365,10 @@ def _apply(with_text: bool):
 
 
 def _applied(docs: DataFrame, with_text: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.withColumn("row", row_key()).join(_repeats(docs), "row", "left").select("doc_id", "text", "whole", "parts")
-    return rows.mapInArrow(_apply(with_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_text' if with_text else 'kept_sha256'} string")
+    return rows.mapInArrow(trimmed(_apply(with_text)), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_text' if with_text else 'kept_sha256'} string")
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ that is left, which is what the levels would give):
                more, where prior is the blocked share of all labelled urls.
 
 The tree is built on distinct (host, path) with counts, so repeats of a url cost one row. Hosts' rules
-are looked up once per distinct host. Tables of one row a host or a branch grow with the data, so no join
-broadcasts them; they are written before they are joined, which leaves Spark free to split a hot host.
+are looked up once per distinct host. Tables of one row a host or a branch grow with the data, so a join
+broadcasts them only where they were measured to be small. They are written before they are joined,
+which leaves Spark free to split a hot host.
 
 Null url, or one without `://`: host and path are empty, no rule fits. Repeated or null ids and
 further columns change nothing. Without any labels every url is allowed. A rule whose host is empty
@@ -33,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import materialize, remove, sized
 
 MIN_SUPPORT, MIN_SHARE = 5, 1
 Z2 = 4
@@ -72,17 +73,18 @@ def ruled(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = materialize(host_rules(rows.select("host").distinct(), rules), "op5-rules")
     fits = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["start"])), F.lit(0))
-    rows = rows.join(known.hint("merge"), "host", "left").withColumn("_r", fits)
+    rows = rows.join(sized(known), "host", "left").withColumn("_r", fits)
     return rows.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.rule_verdict").alias("rule_verdict"))
 
 
 def templates(paths: DataFrame) -> DataFrame:
     """paths: host, path, n, labelled, blocked (distinct host and path) -> the same with template."""
     rows = paths.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
-    ended, d = [], 0
+    ended, written, d = [], [], 0
     parent = ["host", "template"]
     while True:
         rows = materialize(rows, f"op5-rows{d}")
+        written.append(rows)
         ended.append(rows.where(F.size("segments") <= d))
         rows = rows.where(F.size("segments") > d)
         if rows.isEmpty():
@@ -91,9 +93,9 @@ def templates(paths: DataFrame) -> DataFrame:
         by = materialize(rows.groupBy(*parent, "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), f"op5-by{d}")
         total = materialize(by.groupBy(*parent).agg(F.sum("n").alias("all_n")), f"op5-total{d}")
         counted = by
-        by = by.join(total.hint("merge"), parent).withColumn("literal", (F.col("n") >= MIN_SUPPORT) & (F.col("n") * 100 >= F.col("all_n") * MIN_SHARE))
+        by = by.join(sized(total), parent).withColumn("literal", (F.col("n") >= MIN_SUPPORT) & (F.col("n") * 100 >= F.col("all_n") * MIN_SHARE))
         pool = materialize(by.where("literal").groupBy(*parent).agg(F.sum("labelled").alias("L"), F.sum("blocked").alias("B")), f"op5-pool{d}")
-        by = by.join(pool.hint("merge"), parent, "left")
+        by = by.join(sized(pool), parent, "left")
         L, B, lab, blk = (F.col(c).cast("double") for c in ("L", "B", "labelled", "blocked"))
         share = (B + A / 2) / (L + A)
         away = (blk * L - lab * B) * (blk * L - lab * B)
@@ -101,22 +103,26 @@ def templates(paths: DataFrame) -> DataFrame:
         key = F.when(~F.col("literal"), F.lit("*")).when(F.col("labelled") == 0, F.lit("~")).when(similar, F.lit("~=")).otherwise(F.col("seg"))
         by = materialize(by.select(*parent, "seg", F.concat("template", F.lit("/"), key).alias("next"), (F.col("all_n") < MIN_SUPPORT).alias("few")), f"op5-level{d}")
         remove(counted, total, pool)
-        rows = rows.join(by.hint("merge"), [*parent, "seg"])
+        written.append(by)
+        rows = rows.join(sized(by), [*parent, "seg"])
         left = F.concat("template", F.repeat(F.lit("/*"), F.size("segments") - d))
         none = F.array().cast("array<string>")
         rows = rows.select(*paths.columns, F.when(F.col("few"), none).otherwise(F.col("segments")).alias("segments"), F.when(F.col("few"), left).otherwise(F.col("next")).alias("template"))
         d += 1
-    return reduce(DataFrame.unionByName, ended).drop("segments")
+    out = materialize(reduce(DataFrame.unionByName, ended).drop("segments"), "op5-templates")
+    remove(*written)
+    return out
 
 
 def judged(paths: DataFrame) -> DataFrame:
     """host, path, template, purity, rejected for paths as in `templates`."""
-    rows = materialize(templates(paths), "op5-templates")
+    rows = templates(paths)
     prior = rows.agg(F.coalesce(F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("prior"))
-    by = materialize(rows.groupBy("host", "template").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("blk")), "op5-purity")
+    by = rows.groupBy("host", "template").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("blk"))
     by = by.join(F.broadcast(prior))  # one row
-    by = by.withColumn("purity", (F.col("blk") + A * F.col("prior")) / (F.col("lab") + A)).withColumn("rejected", F.col("purity") >= REJECT)
-    return rows.select("host", "path", "template").join(by.select("host", "template", "purity", "rejected").hint("merge"), ["host", "template"])
+    purity = (F.col("blk") + A * F.col("prior")) / (F.col("lab") + A)
+    by = materialize(by.select("host", "template", purity.alias("purity"), (purity >= REJECT).alias("rejected")), "op5-purity")
+    return rows.select("host", "path", "template").join(sized(by), ["host", "template"])
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -124,6 +130,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rows = materialize(ruled(pages, rules), "op5-ruled")
     blocked = (F.col("rule_verdict") == "block").cast("long")
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("rule").alias("labelled"), F.coalesce(F.sum(blocked), F.lit(0)).alias("blocked"))
-    out = rows.join(materialize(judged(materialize(paths, "op5-paths")), "op5-judged").hint("merge"), ["host", "path"])
+    out = rows.join(sized(materialize(judged(materialize(paths, "op5-paths")), "op5-judged")), ["host", "path"])
     verdict = F.coalesce("rule_verdict", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")

@@ -61,17 +61,12 @@ def test_external_columns(spark, tmp_path):
     base[30:, 50:300] = base[:30, 50:300]
     lo, hi = np.zeros(60, int), np.full(60, suffix.CONTEXT)
     lo[3], hi[7] = 60, 240
-    inside = suffix.repeated_starts(lambda j: np.ascontiguousarray(base[:, j]), lo, hi)
-    old, suffix.MEMORY_BYTES = suffix.MEMORY_BYTES, 1000
-    try:
-        c = suffix.Columns(f"file://{tmp_path}/spool")
+    inside = suffix.repeated_starts(((j, base[:, j]) for j in reversed(range(suffix.CONTEXT))), lo, hi)
+    with suffix.Columns(f"file://{tmp_path}/spool") as c:
         for k in range(0, 60, 7):
             c.add(np.ascontiguousarray(base[k : k + 7].T))
-        with c:
-            assert c.out is not None
-            assert (suffix.repeated_starts(c.column, lo, hi) == inside).all()
-    finally:
-        suffix.MEMORY_BYTES = old
+        assert len(list((tmp_path / "spool").iterdir())) == 1
+        assert (suffix.repeated_starts(c.backwards(), lo, hi) == inside).all()
     assert not list((tmp_path / "spool").iterdir())
     want = np.zeros((60, suffix.STARTS), bool)
     for j in range(suffix.STARTS):
@@ -89,3 +84,10 @@ def test_text_and_empty(spark):
     got = {r.doc_id: r.kept_text for r in suffix.dedup_bytes(spark.createDataFrame([(1, "head " + p), (2, p + " tail")], SCHEMA)).collect()}
     assert got == {1: "head ", 2: " tail"}
     assert suffix.dedup_digests(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_text_and_clashing_columns(spark):
+    p = "".join(chr(97 + k * k % 26) for k in range(3000))
+    rows = [(1, "x" * 40 + p * 60, 5, "a", b"b", 1), (2, p[100:900], 6, "c", b"d", 2), (3, "short", 7, "e", b"f", 3), (3, "short", 7, "e", b"f", 3)]
+    df = spark.createDataFrame(rows, SCHEMA + ", row long, whole string, parts binary, bucket int")
+    assert sorted((tuple(r) for r in suffix.dedup_digests(df).collect()), key=str) == brute([r[:2] for r in rows])
