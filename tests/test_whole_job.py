@@ -1,5 +1,6 @@
 """Queries over the whole derived treebank, against brute force in Python on a small table."""
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 
@@ -61,21 +62,49 @@ def counts(df):
     return Counter({tuple(r)[:-1]: r.n for r in df.collect()})
 
 
+def sums(values):
+    """Rows, characters and checksum of texts, as the queries sum them up."""
+    return (len(values), sum(map(len, values)), sum(int(hashlib.md5(v.encode()).hexdigest()[:8], 16) for v in values))
+
+
+def by(pairs):
+    """Texts by key, summed up."""
+    out = defaultdict(list)
+    for key, value in pairs:
+        out[key].append(value)
+    return {k: sums(v) for k, v in out.items()}
+
+
+def summed(df, *keys):
+    return {tuple(r[k] for k in keys): (r.n, r.chars, r.digest) for r in df.collect()}
+
+
 def test_arc_features_of_all_candidates(spark, sf, sents):
     cands = list(candidates(sents))
     assert len(cands) == sum(len(r) * (len(r) - 1) for r in sents.values())
-    maxent = [(label, filled(features.MAXENT, 1, "-", p)) for label, p, _ in cands]
-    assert counts(queries.maxent_arc_features(spark, sf)) == Counter((f,) for _, fs in maxent for f in fs)
-    assert counts(queries.write_events(spark, sf)) == Counter((" ".join([label, *fs]),) for label, fs in maxent)
-    lin = [(label, linear(p, b)) for label, p, b in cands]
-    assert counts(queries.linear_arc_features(spark, sf)) == Counter((f,) for _, fs in lin for f in fs)
-    ids = {f: k for k, f in enumerate(sorted({f for label, fs in lin for f in fs if label == "Yes"}))}
-    assert {r.feature: r.fid for r in queries.feature_dictionary(spark, sf).collect()} == ids
-    assert counts(queries.vectorise(spark, sf)) == Counter((ids[f],) for _, fs in lin for f in fs if f in ids)
+    maxent = [(label, p["dir"], filled(features.MAXENT, 1, "-", p)) for label, p, _ in cands]
+    lin = [(label, p["dir"], linear(p, b)) for label, p, b in cands]
+    tokens = fixtures.tokens(spark, sf)
+    for operator, want in ((features.maxent_arc_features, maxent), (features.linear_arc_features, lin)):
+        got = operator(features.arc_candidates(tokens)).select("label", "dir", "features").collect()
+        assert Counter((r.label, r.dir, tuple(r.features)) for r in got) == Counter((label, way, tuple(fs)) for label, way, fs in want)
+    for query, want in ((queries.maxent_arc_features, maxent), (queries.linear_arc_features, lin)):
+        assert summed(query(spark, sf), "label", "dir", "n_features") == by(((label, way, len(fs)), " ".join(fs)) for label, way, fs in want)
+    assert summed(queries.write_events(spark, sf), "label") == by(((label,), " ".join([label, *fs])) for label, _, fs in maxent)
+    ids = {f: k for k, f in enumerate(sorted({f for label, _, fs in lin for f in fs if label == "Yes"}))}
+    assert {r.feature: r.fid for r in queries._dictionary(spark, sf).collect()} == ids
+    got = {r.template: (r.ids, r.first_id, r.last_id) for r in queries.feature_dictionary(spark, sf).collect()}
+    own = defaultdict(list)
+    for f, k in ids.items():
+        own[int(f.split(":")[0])].append(k)
+    assert got == {t: (sum(k), min(k), max(k)) for t, k in own.items()}
+    known = Counter((ids[f] % 1000, way) for _, way, fs in lin for f in fs if f in ids)
+    assert {(r.fid_mod, r.dir): r.n for r in queries.vectorise(spark, sf).collect()} == known
 
 
 def test_label_features_of_all_templates(spark, sf, sents):
-    got = counts(queries.label_features(spark, sf))
+    rows = features.label_features(fixtures.tokens(spark, sf)).collect()
+    got = Counter((r.role, f) for r in rows for f in r.features)
     seen = {int(f.split("-")[0]) for _, f in got}
     under = [(r, rows[r.head]) for rows in sents.values() for r in rows[1:] if r.head]
     assert Counter({k: v for k, v in got.items() if k[1].startswith("9-")}) == Counter((r.role, f"9-{h.pos}/{r.pos}") for r, h in under)
@@ -84,6 +113,8 @@ def test_label_features_of_all_templates(spark, sf, sents):
     assert always <= seen and seen == set(range(1, 47))
     for k in always:
         assert sum(n for (_, f), n in got.items() if f.startswith(f"{k}-")) == len(under), k
+    want = by(((role, int(f.split("-")[0])), f) for (role, f), n in got.items() for _ in range(n))
+    assert summed(queries.label_features(spark, sf), "role", "template") == want
 
 
 def test_dictionary_lattice_of_all_words(spark, sf, sents):
@@ -115,7 +146,7 @@ def test_rules_of_one_sentence_count(spark, sf, sents):
 
 def scored(spark, sf, sents):
     """sent_id, head, child and the sums of both outcomes' weights for every candidate."""
-    ids = {r.feature: r.fid for r in queries.feature_dictionary(spark, sf).collect()}
+    ids = {r.feature: r.fid for r in queries._dictionary(spark, sf).collect()}
     arcs = [(k, *((j, i) if way == "L" else (i, j))) for k, rows in sents.items() for i in range(len(rows)) for j in range(i + 1, len(rows)) for way in "LR"]
     for arc, (_, p, b) in zip(arcs, candidates(sents), strict=True):
         known = [ids[f] for f in linear(p, b) if f in ids]
