@@ -7,7 +7,9 @@ size is languages x 2**FEATURE_BITS x 4 bytes whatever the corpus (asserted, MAX
 to the tasks as a broadcast; a batch of texts is scored by gathering the rows of its n-grams and
 summing them per text, as a sparse matrix times the model.
 
-The fit uses at most MAX_TRAIN rows, chosen by a hash of the text and id; every row is predicted.
+The fit uses some MAX_TRAIN rows at most: every language gets the same quota, those with fewer rows all
+of theirs. Rows are chosen by a hash of text and doc_id. A language without a chosen row is no class.
+Every row is predicted.
 
 score is the posterior probability of lang_pred. Null texts and texts without a letter are `und` with
 score 0. With no training rows every text is `und`. Rows are independent: repeated or null ids and
@@ -127,26 +129,40 @@ class Model:
         return out, g.known
 
 
+def quota(sizes: list[int], total: int) -> int:
+    """The greatest q with sum(min(n, q) for n in sizes) <= total, at least 1."""
+    left, todo = total, sorted(sizes)
+    for k, n in enumerate(todo):
+        if n * (len(todo) - k) > left:
+            return max(1, left // (len(todo) - k))
+        left -= n
+    return max([1, *todo])
+
+
 def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
-    """Fit on the rows of labelled (text, lang) with both, a sample of at most about max_rows of them."""
+    """Fit on the rows of labelled (text, lang, and doc_id if there) with text and lang, a sample of about max_rows of them at most."""
     small_batches(labelled.sparkSession)
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang")
+    key = F.xxhash64("text", *(["doc_id"] if "doc_id" in labelled.columns else []), F.lit("train"))
+    rows = labelled.where("text is not null and lang is not null").select("text", "lang", key.alias("key"))
     seen = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(seen) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages, n = [r[0] for r in seen], sum(r[1] for r in seen)
+    languages, sizes = [r[0] for r in seen], [r[1] for r in seen]
     counts, docs = np.zeros((len(languages), 1 << FEATURE_BITS)), np.zeros(len(languages))
     if languages:
-        if n > max_rows:
-            rows = rows.where(F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+        q = quota(sizes, max_rows)
+        if max(sizes) > q:
+            share = F.create_map(*(F.lit(x) for lang, n in zip(languages, sizes) for x in (lang, min(1 << 30, (1 << 30) * q // n))))
+            rows = rows.where(F.pmod("key", F.lit(1 << 30)) < share[F.col("lang")])
         number = {x: i for i, x in enumerate(languages)}
-        part = rows.mapInArrow(trimmed(_count(languages)), "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+        part = rows.select("text", "lang").mapInArrow(trimmed(_count(languages)), "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
         for lang, feature, k in part.toLocalIterator():
             if feature < 0:
                 docs[number[lang]] = k
             else:
                 counts[number[lang], feature] = k
-    return Model(languages, counts, docs)
+    have = np.flatnonzero(docs)
+    return Model([languages[i] for i in have], counts[have], docs[have])
 
 
 def _predict(model):

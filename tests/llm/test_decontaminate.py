@@ -79,3 +79,12 @@ def test_documents_without_words_hide_no_hit(spark):
         assert sorted((r.doc_id, len(r.words)) for r in found.collect()) == [(2, 12), (5, 12)]
         got = {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, items).collect()}
         assert got == {1: 0, 2: 12, 3: 0, 4: 0, 5: 12}
+
+
+def test_long_text_and_clashing_columns(spark):
+    item = " ".join(f"t{i}" for i in range(15))
+    long = " ".join(f"w{k}" for k in range(150_000)) + f" {item} tail"
+    rows, items = [(1, long), (2, item + " x"), (2, item + " x"), (3, None)], [(5, item), (5, "short one"), (6, None)]
+    docs = spark.createDataFrame([(*r, 1, 2, "b") for r in rows], DOCS + ", block long, first long, places string")
+    tests = spark.createDataFrame([(*r, "q", 3) for r in items], ITEMS + ", item string, term long")
+    assert sorted((tuple(x) for x in decontaminate.contamination(docs, tests).collect()), key=str) == brute(rows, items)

@@ -86,3 +86,10 @@ def test_signature_estimate():
     d = pa_ ^ pb
     m = 256 - sum(bin(int((v | v >> np.uint64(1)) & np.uint64(0x5555555555555555))).count("1") for v in d)
     assert abs((m / 256 - 0.25) / 0.75 - 0.5) < 0.2
+
+
+def test_long_text_and_clashing_columns(spark):
+    long = " ".join(f"w{k * k % 9973}" for k in range(120_000))
+    rows = [(1, long), (2, long + " more words at the end"), (3, "other words that are not in it at all"), (4, long[:2000])]
+    df = spark.createDataFrame([(*r, 9, 8, "s", 7) for r in rows], SCHEMA + ", row long, id long, sig string, node long")
+    assert sorted(tuple(r) for r in minhash.near_duplicates(df).collect()) == brute(rows)

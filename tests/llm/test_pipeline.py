@@ -56,6 +56,9 @@ def test_whole_run(spark, tmp_path):
     assert sum(r.length for r in out) == out[0].length + sum(r.length for r in out[1:])
 
 
-def test_empty_table(spark):
-    for name, _ in corpus_pipeline.STAGES[:3]:
-        assert step(spark, name, []) == []
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, _ in corpus_pipeline.STAGES[:4]:
+        assert step(spark, name, [], str(tmp_path)) == []
+    empty = spark.createDataFrame([], SCHEMA)
+    assert dict(corpus_pipeline.STAGES)["packing"](spark, empty, str(tmp_path)).count() == 0

@@ -71,3 +71,9 @@ def test_empty_and_clashing_columns(spark):
     rows = [(1, "a b c d e f g h i j k l m n"), (2, "x a b c d e f g h i j k l m n"), (2, "x a b c d e f g h i j k l m n")]
     wide = spark.createDataFrame([(*r, 1, "k", "p") for r in rows], T._parse_datatype_string(SCHEMA + ", row int, known_row string, places string"))
     assert rows_of(substring.substring_digests(wide)) == brute(rows)
+
+
+def test_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(150_000))
+    rows = [(1, long), (2, "x " + long[500:400_000] + " y"), (3, "a b c")]
+    assert rows_of(substring.substring_digests(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
