@@ -15,7 +15,7 @@ a shorter text is one shingle; a text without words has the empty set. Two docum
 5. confirm   the rest are compared on their full shingle sets.
 6. the rest  classes of buckets that are still not connected are joined by prefix: with shingles in
              order of their number of classes, two sets of similarity 0.75 share one of the rarest
-             n - ceil(0.75 n) + 1 of each. Pairs of different components that do, and whose shingles from
+             n - ceil(0.75 n) + 1 of each. Pairs of different components that do, of near sizes, and whose shingles from
              there on are enough, are candidates, estimated and confirmed the same way. So texts that only share common
              lines meet nowhere, connected ones don't meet again, and no link between two components is
              left out.
@@ -30,6 +30,7 @@ of their class are one vertex. Null doc_id is one vertex that comes last. Furthe
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -172,20 +173,23 @@ def _by_prefix(left: DataFrame, docs: DataFrame) -> DataFrame:
     """A stored table of pairs (a, b) of different components among left (node, component, row) that share a prefix shingle."""
     texts = docs.select(row_key().alias("row"), "text").join(left, "row").dropDuplicates(["node", "row"])
     every = materialize(texts.select("node", "component", "text").mapInArrow(trimmed(_shingles), "node long, component long, n long, shingle long"), "op8-shingles")
-    common = every.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1")
+    # stored, so that Spark is free to split a hot shingle where it is joined
+    common = materialize(every.groupBy("shingle").agg(F.count("*").alias("classes")).where("classes > 1"), "op8-common")
     shared = every.join(common, "shingle")
     # those that no other class has come first in the order, but can't be shared
     alone = F.col("n") - F.count("*").over(W.partitionBy("node"))
     place = F.row_number().over(W.partitionBy("node").orderBy("classes", "shingle"))
     prefix = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1
     heads = head = materialize(shared.select("node", "component", "n", "shingle", (place + alone).alias("place"), prefix.alias("prefix")).where("place <= prefix").drop("prefix"), "op8-prefixes")
-    mixed = head.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
-    head = head.join(mixed, "shingle")
-    a, b = (head.select("shingle", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}"), (F.col("n") - F.col("place") + 1).alias(f"rest{k}")) for k in "ab")
+    mixed = materialize(head.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle"), "op8-mixed")
+    # sets of similarity 0.75 differ in size by a third at most, so by one band of sizes; within a shingle, only near bands meet
+    head = head.join(mixed, "shingle").withColumn("band", F.floor(F.log("n") / math.log(4 / 3)))
+    a, b = (head.select("shingle", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}"), (F.col("n") - F.col("place") + 1).alias(f"rest{k}"), "band") for k in "ab")
+    b = b.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     # from the first common shingle on, the sets can share no more than the smaller rest; 0.75 takes 3/7 of both sizes
     fits = (F.col("ca") < F.col("cb")) & (7 * F.least("resta", "restb") >= 3 * (F.col("na") + F.col("nb")))
-    pairs = materialize(a.join(b, "shingle").where(fits).select("a", "b").distinct(), "op8-prefix-pairs")
-    remove(every, heads)
+    pairs = materialize(a.join(b, ["shingle", "band"]).where(fits).select("a", "b").distinct(), "op8-prefix-pairs")
+    remove(every, heads, common, mixed)
     return pairs
 
 
