@@ -12,10 +12,11 @@ def _by_token():
 
 
 def tokens(sentences: DataFrame) -> DataFrame:
-    """sent_id and arrays words, tags, roles, heads -> a row for each token."""
+    """sent_id (and cand_id, if there) and arrays words, tags, roles, heads -> a row for each token."""
     zipped = F.arrays_zip("words", "tags", "roles", "heads")
-    rows = sentences.select("sent_id", F.posexplode(zipped).alias("p", "t"))
-    return rows.select("sent_id", (F.col("p") + 1).alias("tok_id"), F.col("t.words").alias("word"), F.col("t.tags").alias("pos"), F.col("t.roles").alias("role"), F.col("t.heads").alias("head"))
+    keys = [c for c in ("sent_id", "cand_id") if c in sentences.columns]
+    rows = sentences.select(*keys, F.posexplode(zipped).alias("p", "t"))
+    return rows.select(*keys, (F.col("p") + 1).alias("tok_id"), F.col("t.words").alias("word"), F.col("t.tags").alias("pos"), F.col("t.roles").alias("role"), F.col("t.heads").alias("head"))
 
 
 def sentences(tokens: DataFrame) -> DataFrame:
@@ -41,22 +42,22 @@ def dependency_arcs(tokens: DataFrame) -> DataFrame:
     return t.join(_heads(t, "word", "pos", "start", "end"), ["sent_id", "head"])
 
 
-def arc_texts(tokens: DataFrame, head: str = "head") -> DataFrame:
-    """sent_id, tok_id, arc: `word:s:e tag <-- word:s:e tag`, ROOT ROOT for head 0. Offsets and heads are found inside the sentence's row."""
-    g = tokens.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("tok_id", "word", "pos", F.col(head).alias("head")))).alias("t"))
+def arc_texts(tokens: DataFrame, head: str = "head", by: tuple[str, ...] = ("sent_id",)) -> DataFrame:
+    """by, tok_id, head_unit, child_unit, arc: `word:s:e tag <-- word:s:e tag`, ROOT ROOT for head 0. Offsets and heads are found inside the sentence's row."""
+    g = tokens.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tok_id", "word", "pos", F.col(head).alias("head")))).alias("t"))
     ends = F.aggregate("t", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.char_length(x["word"])))
     g = g.withColumn("e", ends)
     unit = F.transform("t", lambda x, i: F.concat(x["word"], F.lit(":"), F.get("e", i), F.lit(":"), F.get("e", i + 1), F.lit(" "), x["pos"]))
     g = g.withColumn("u", unit)
     up = lambda x: F.when(x["head"] == 0, "ROOT ROOT").otherwise(F.get("u", F.array_position("t.tok_id", x["head"]).cast("int") - 1))
-    rows = g.select("sent_id", F.explode(F.transform("t", lambda x, i: F.struct(x["tok_id"].alias("tok_id"), up(x).alias("head_unit"), F.get("u", i).alias("child_unit")))).alias("x"))
-    return rows.select("sent_id", "x.*").withColumn("arc", F.concat("head_unit", F.lit(" <-- "), "child_unit"))
+    rows = g.select(*by, F.explode(F.transform("t", lambda x, i: F.struct(x["tok_id"].alias("tok_id"), up(x).alias("head_unit"), F.get("u", i).alias("child_unit")))).alias("x"))
+    return rows.select(*by, "x.*").withColumn("arc", F.concat("head_unit", F.lit(" <-- "), "child_unit"))
 
 
-def word_graph(tokens: DataFrame, head: str = "head") -> DataFrame:
-    """sent_id, graph: the arcs of a sentence in child order, joined by (+)."""
-    g = arc_texts(tokens, head).groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("tok_id", "arc"))).alias("a"))
-    return g.select("sent_id", F.array_join("a.arc", "(+)").alias("graph"))
+def word_graph(tokens: DataFrame, head: str = "head", by: tuple[str, ...] = ("sent_id",)) -> DataFrame:
+    """by, graph: the arcs of a tree in child order, joined by (+). With by = (sent_id, cand_id), a graph for each candidate."""
+    g = arc_texts(tokens, head, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tok_id", "arc"))).alias("a"))
+    return g.select(*by, F.array_join("a.arc", "(+)").alias("graph"))
 
 
 def children(tokens: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ even sentences have heads tok_id div 2, odd ones the mirror image.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,16 @@ ROLES = ["subj", "dobj", "pobj", "conj", "modp", "modr", "det", "coord"]
 SENTENCE = 12
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; a temporary folder only in local mode, where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        base = f"file://{tempfile.mkdtemp(prefix='arbora-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _item(items: list[str], at) -> F.Column:
     return F.element_at(F.array(*map(F.lit, items)), at + 1)
 

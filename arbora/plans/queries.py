@@ -510,6 +510,17 @@ def force_arcs(spark, sf_dir) -> DataFrame:
     return scoring.force_arcs(_scores(spark, sf_dir), fixed).groupBy("sent_id").agg(F.sum("score").alias("x"))
 
 
+@query(f"AND {DICT}, wn AS (SELECT fid, {_W['Yes']} AS w FROM fd) SELECT fid % 100 AS fid_mod, count(*) AS n, sum(fid)::BIGINT AS ids, round(sum(w) / (SELECT sqrt(sum(w * w)) FROM wn), 9) AS w FROM wn WHERE w <> 0 GROUP BY ALL")
+def load_weights(spark, sf_dir) -> DataFrame:
+    """Saved and loaded again."""
+    d = _dictionary(spark, sf_dir)
+    path = fixtures.scratch_path(spark, "weights")
+    treebank.save_weights(d, d.select("fid", F.expr(_W["Yes"]).cast("double").alias("w")), path)
+    features_, weights = treebank.load_weights(spark, path)
+    both = features_.join(weights, "fid")
+    return both.groupBy((F.col("fid") % 100).alias("fid_mod")).agg(_n(), F.sum("fid").alias("ids"), F.round(F.sum("w"), 9).alias("w"))
+
+
 def _tag_arcs(spark, sf_dir, head: str) -> DataFrame:
     return tokens(spark, sf_dir).select("sent_id", (F.col(head) * 100 + F.col("tok_id")).cast("long").alias("fid"))
 
@@ -669,6 +680,25 @@ def exclude_held_out(spark, sf_dir) -> DataFrame:
     return scoring.exclude_held_out(grammar.rule_evidence(_events(spark, sf_dir)), out).groupBy("type").agg(_n())
 
 
+@query(f"""AND {EVENTS}, a AS (SELECT 'm' AS section, type || ':' || head_key AS key, rule AS outcome, count(*) AS n, 0::BIGINT AS n_trees FROM ev GROUP BY ALL
+  UNION ALL SELECT 'i', type || ':' || rule, word_order, count(*), count(DISTINCT sent_id) FROM ev GROUP BY type, rule, word_order),
+p AS (SELECT *, n / sum(n) OVER (PARTITION BY section, key) AS p FROM a)
+SELECT section, count(*) AS n, count(DISTINCT key) AS keys, sum(length(key) + length(outcome))::BIGINT AS chars, sum(n_trees)::BIGINT AS n_trees, count(*) FILTER (p > 0.5001) AS likely FROM p GROUP BY section""")
+def read_grammar(spark, sf_dir) -> DataFrame:
+    """The grammar's text, written and read again."""
+    e = _events(spark, sf_dir)
+    p = grammar.rule_probabilities(e)
+    key = F.concat(F.col("type").cast("string"), F.lit(":"), "key").alias("key")
+    rules = p.where("level = 'rule'").select(key, F.col("outcome").alias("rule"), "p")
+    trees_ = grammar.rule_evidence(e).groupBy("type", F.col("rule").alias("key"), F.col("word_order").alias("outcome")).agg(F.array_sort(F.collect_list("sent_id")).alias("trees"))
+    orders = p.where("level = 'order'").join(trees_, ["type", "key", "outcome"]).select(key, F.col("outcome").alias("word_order"), "p", F.get("trees", F.lit(0)).alias("id"), "trees")
+    path = fixtures.scratch_path(spark, "grammar")
+    treebank.write_grammar(rules, orders, path)
+    g = treebank.read_grammar(spark, path)
+    chars = F.char_length("key") + F.char_length("outcome")
+    return g.groupBy("section").agg(_n(), F.count_distinct("key").alias("keys"), F.sum(chars).alias("chars"), F.coalesce(F.sum("n_trees"), F.lit(0)).alias("n_trees"), F.count_if(F.col("p") > 0.5001).alias("likely"))
+
+
 @query()
 def decode_trees(spark, sf_dir) -> DataFrame:
     t = tokens(spark, sf_dir).select("sent_id", "tok_id", "head", "pred_head", "n")
@@ -832,7 +862,7 @@ def evaluate(spark, sf_dir) -> DataFrame:
 
 
 K_BEST = f"""{ARCS}, tk AS (SELECT t.*, k, CASE WHEN (sent_id * 7 + tok_id * 3 + k) % 5 = 0 THEN tok_id - 1 ELSE head END AS ch FROM u t, range(3) r(k)),
-ck AS (SELECT c.sent_id, k, coalesce(h.unit, 'ROOT ROOT') AS hu, c.unit AS cu FROM tk c LEFT JOIN u h ON h.sent_id = c.sent_id AND h.tok_id = ch), ga AS (SELECT DISTINCT sent_id, hu || ' <-- ' || cu AS arc FROM gold),
+ck AS (SELECT c.sent_id, k, c.tok_id, coalesce(h.unit, 'ROOT ROOT') AS hu, c.unit AS cu FROM tk c LEFT JOIN u h ON h.sent_id = c.sent_id AND h.tok_id = ch), ga AS (SELECT DISTINCT sent_id, hu || ' <-- ' || cu AS arc FROM gold),
 ar AS (SELECT ck.sent_id, k, count(ga.arc) AS correct, count(*) AS test_arcs, max((hu = 'ROOT ROOT' AND ga.arc IS NOT NULL)::INTEGER)::BIGINT AS root FROM ck LEFT JOIN ga ON ga.sent_id = ck.sent_id AND ga.arc = hu || ' <-- ' || cu GROUP BY ALL),
 gu AS (SELECT DISTINCT sent_id, unnest([hu, cu]) AS x FROM gold), tu AS (SELECT DISTINCT sent_id, k, unnest([hu, cu]) AS x FROM ck),
 wt AS (SELECT tu.sent_id, k, count(*) - 1 AS test_words, count(gu.x) - 1 AS common_words FROM tu LEFT JOIN gu ON gu.sent_id = tu.sent_id AND gu.x = tu.x GROUP BY ALL),
@@ -844,14 +874,24 @@ bs AS (SELECT * FROM es QUALIFY row_number() OVER (PARTITION BY sent_id ORDER BY
 @query(f"AND {K_BEST} SELECT {_tot('count(*)')} FROM bs")
 def evaluate_k_best(spark, sf_dir) -> DataFrame:
     t = tokens(spark, sf_dir)
-    cands = None
+    blocks = None  # of three candidate trees, as text
     for k in range(3):
         head = F.when((F.col("sent_id") * 7 + F.col("tok_id") * 3 + k) % 5 == 0, F.col("tok_id") - 1).otherwise(F.col("head"))
-        c = trees.arc_texts(t.withColumn("cand_head", head), "cand_head").withColumn("cand_id", F.lit(k))
-        cands = c if cands is None else cands.unionByName(c)
+        c = treebank.to_treebank(t.withColumn("head", head)).select("sent_id", F.struct(F.lit(k).alias("k"), "value").alias("c"))
+        blocks = c if blocks is None else blocks.unionByName(c)
+    blocks = blocks.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_list("c")).getField("value"), "\n").alias("value"))
+    cands = trees.arc_texts(trees.tokens(treebank.parse_candidates(blocks)), by=("sent_id", "cand_id"))
     return _rounded(evaluation.evaluate_k_best(trees.arc_texts(t), cands))
 
 
+@query(f"AND {K_BEST} SELECT k AS cand_id, count(*) AS n, sum(length(graph))::BIGINT AS chars, sum(('0x' || substr(md5(graph), 1, 8))::BIGINT)::BIGINT AS digest FROM (SELECT sent_id, k, string_agg(hu || ' <-- ' || cu, '(+)' ORDER BY tok_id) AS graph FROM ck GROUP BY ALL) GROUP BY k")
+def candidate_graphs(spark, sf_dir) -> DataFrame:
+    t = tokens(spark, sf_dir)
+    head = F.when((F.col("sent_id") * 7 + F.col("tok_id") * 3 + F.col("cand_id")) % 5 == 0, F.col("tok_id") - 1).otherwise(F.col("head"))
+    g = trees.word_graph(t.withColumn("cand_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("head", head), by=("sent_id", "cand_id"))
+    return g.groupBy("cand_id").agg(*_sums("graph"))
+
+
 @query(f"""AND {EVAL}, st AS (SELECT *, CASE WHEN gold_words <= 10 THEN '<=10' WHEN gold_words <= 20 THEN '11-20' ELSE '>20' END AS step FROM es)
 SELECT k.step, t.* FROM (VALUES ('<=10'), ('11-20'), ('>20'), ('all')) k(step) LEFT JOIN (SELECT coalesce(step, 'all') AS s, {_tot('(SELECT count(*) FROM es)')} FROM st GROUP BY ROLLUP (step)) t ON t.s = k.step""".replace("SELECT k.step, t.*", "SELECT k.step, t.* EXCLUDE (s)"))
 def evaluate_by_length(spark, sf_dir) -> DataFrame:
