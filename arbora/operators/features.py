@@ -214,8 +214,12 @@ def vectorise(features: DataFrame, dictionary: DataFrame) -> DataFrame:
     Features meet the dictionary by a 128-bit digest. The dictionary is the smaller side, hashed within each partition."""
     more = [c for c in dictionary.columns if c != "feature"]
     d = dictionary.select(*_digest("feature"), *more).hint("shuffle_hash")
-    f = features.select("sent_id", "i", "j", "dir", F.explode("features").alias("feature"))
-    return f.select("sent_id", "i", "j", "dir", *_digest("feature")).join(d, ["h1", "h2"]).drop("h1", "h2")
+    # a candidate is one number beside its sentence, as these rows are many and move
+    arc = F.shiftleft((F.shiftleft(F.col("i").cast("long"), 24) + F.col("j")), 1) + (F.col("dir") == "R").cast("long")
+    f = features.select("sent_id", arc.alias("arc"), F.explode("features").alias("feature"))
+    v = f.select("sent_id", "arc", *_digest("feature")).join(d, ["h1", "h2"])
+    i, j = F.shiftright("arc", 25).cast("int"), F.shiftright("arc", 1).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+    return v.select("sent_id", i.alias("i"), j.alias("j"), F.when(F.col("arc") % 2 == 1, "R").otherwise("L").alias("dir"), *more)
 
 
 def lexicon_features(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:

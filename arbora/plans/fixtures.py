@@ -27,6 +27,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written and read again. Its shuffle files, many times its own size, go when it is written."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    old = spark.conf.get(_FREE)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, old)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _item(items: list[str], at) -> F.Column:
     return F.element_at(F.array(*map(F.lit, items)), at + 1)
 

@@ -377,7 +377,7 @@ def feature_dictionary(spark, sf_dir) -> DataFrame:
 def vectorise(spark, sf_dir) -> DataFrame:
     v = features.vectorise(_linear(spark, sf_dir), _dictionary(spark, sf_dir))
     places = F.col("fid") * (F.col("i") + 13 * F.col("j")) % 1009
-    return v.groupBy((F.col("fid") % 1000).alias("fid_mod"), "dir").agg(_n(), F.sum("fid").alias("ids"), F.sum(places).alias("places"))
+    return fixtures.stored(v.groupBy((F.col("fid") % 1000).alias("fid_mod"), "dir").agg(_n(), F.sum("fid").alias("ids"), F.sum(places).alias("places")), "vectors")
 
 
 @query(f"AND {LEX}, w AS (SELECT DISTINCT word FROM tok) SELECT word, count(DISTINCT lex.pos) FILTER (lex.pos IN {_in(tags.TAGS)}) AS n_tags, count(DISTINCT {SIMPLE('lex.pos')}) AS n_coarse FROM w LEFT JOIN lex USING (word) GROUP BY word")
@@ -488,7 +488,7 @@ def _weighted(spark, sf_dir) -> DataFrame:
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    s = scoring.score_arcs(_cands(spark, sf_dir), _weighted(spark, sf_dir).withColumnRenamed("Yes", "w"))
+    s = fixtures.stored(scoring.score_arcs(_cands(spark, sf_dir), _weighted(spark, sf_dir).withColumnRenamed("Yes", "w")), "scores")
     right = F.col("dir") == "R"
     return s.withColumn("head", F.when(right, F.col("i")).otherwise(F.col("j"))).withColumn("tok_id", F.when(right, F.col("j")).otherwise(F.col("i")))
 
@@ -500,7 +500,7 @@ def score_arcs(spark, sf_dir) -> DataFrame:
 
 @query(f"AND {SCORED} SELECT y, o, count(*) AS n, round(ln(1 / (1 + exp(o - y))), 9) AS log_prob FROM sc GROUP BY ALL")
 def arc_log_prob(spark, sf_dir) -> DataFrame:
-    p = scoring.arc_log_prob(_weighted(spark, sf_dir), arcs=_cands(spark, sf_dir), sums=True)
+    p = fixtures.stored(scoring.arc_log_prob(_weighted(spark, sf_dir), arcs=_cands(spark, sf_dir), sums=True), "log-probs")
     return p.groupBy(F.col("Yes").alias("y"), F.col("No").alias("o"), F.round("log_prob", 9).alias("log_prob")).agg(_n())
 
 
