@@ -32,21 +32,27 @@ def char_offsets(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("end", end).withColumn("start", F.col("end") - F.char_length("word"))
 
 
-def _heads(tokens: DataFrame, *columns: str) -> DataFrame:
-    return tokens.select("sent_id", F.col("tok_id").alias("head"), *(F.col(c).alias(f"head_{c}") for c in columns))
+def _ends() -> Column:
+    """0 and the character offsets where the words of array t end."""
+    return F.aggregate("t", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.char_length(x["word"])))
 
 
 def dependency_arcs(tokens: DataFrame) -> DataFrame:
-    """Head and child of each token that has a head, with words, tags and character spans."""
-    t = char_offsets(tokens)
-    return t.join(_heads(t, "word", "pos", "start", "end"), ["sent_id", "head"])
+    """Head and child of each token that has a head, with words, tags and character spans: found inside the sentence's row."""
+    own = ["tok_id", *(c for c in tokens.columns if c not in ("sent_id", "tok_id"))]
+    g = tokens.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("t")).withColumn("e", _ends())
+    at = lambda x: F.array_position("t.tok_id", x["head"]).cast("int")
+    arc = F.transform("t", lambda x, i: F.struct(*(x[c].alias(c) for c in own), F.get("e", i).alias("start"), F.get("e", i + 1).alias("end"), at(x).alias("h")))
+    rows = g.select("sent_id", "t", "e", F.explode(arc).alias("x")).where("x.h > 0").select("sent_id", "t", "e", "x.*")
+    up = F.get("t", F.col("h") - 1)
+    head = [up["word"].alias("head_word"), up["pos"].alias("head_pos"), F.get("e", F.col("h") - 1).alias("head_start"), F.get("e", "h").alias("head_end")]
+    return rows.select("sent_id", *own, "start", "end", *head)
 
 
 def arc_texts(tokens: DataFrame, head: str = "head", by: tuple[str, ...] = ("sent_id",)) -> DataFrame:
     """by, tok_id, head_unit, child_unit, arc: `word:s:e tag <-- word:s:e tag`, ROOT ROOT for head 0. Offsets and heads are found inside the sentence's row."""
     g = tokens.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tok_id", "word", "pos", F.col(head).alias("head")))).alias("t"))
-    ends = F.aggregate("t", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.char_length(x["word"])))
-    g = g.withColumn("e", ends)
+    g = g.withColumn("e", _ends())
     unit = F.transform("t", lambda x, i: F.concat(x["word"], F.lit(":"), F.get("e", i), F.lit(":"), F.get("e", i + 1), F.lit(" "), x["pos"]))
     g = g.withColumn("u", unit)
     up = lambda x: F.when(x["head"] == 0, "ROOT ROOT").otherwise(F.get("u", F.array_position("t.tok_id", x["head"]).cast("int") - 1))

@@ -6,11 +6,13 @@ even sentences have heads tok_id div 2, odd ones the mirror image.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 POS = ["ncn", "vi", "vt", "adj", "adv", "prep", "conj", "npn", "prel", "det", "cl", "pper"]
 ROLES = ["subj", "dobj", "pobj", "conj", "modp", "modr", "det", "coord"]
@@ -27,6 +29,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: By application and name: path and schema of what stored() has written.
+_made: dict = {}
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,7 +43,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_FREE, old)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _made[spark.sparkContext.applicationId, name] = (path, df.schema)
+    return out
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """What make() gives, stored once for all queries of an application that ask for it."""
+    name = f"{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    path, schema = _made.get((spark.sparkContext.applicationId, name), (None, None))
+    if path is not None:
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:  # the folder was cleared meanwhile
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return stored(make(), name)
 
 
 def _item(items: list[str], at) -> F.Column:

@@ -482,13 +482,17 @@ SCORED = f"{DICT}, sc AS (SELECT sent_id, CASE WHEN dir = 'R' THEN i ELSE j END
 
 
 def _weighted(spark, sf_dir) -> DataFrame:
-    """Vectors of all candidates with the weights of both outcomes."""
-    d = _dictionary(spark, sf_dir).select("feature", *(F.expr(x).cast("double").alias(o) for o, x in _W.items()))
-    return features.vectorise(_linear(spark, sf_dir), d)
+    """Weights of both outcomes of all candidates' features, summed up by candidate once for all queries that score."""
+
+    def make() -> DataFrame:
+        d = _dictionary(spark, sf_dir).select("feature", *(F.expr(x).cast("double").alias(o) for o, x in _W.items()))
+        return features.vectorise(_linear(spark, sf_dir), d).groupBy(*scoring.ARC).agg(*(F.sum(o).alias(o) for o in _W))
+
+    return fixtures.shared(spark, sf_dir, "weighted", make)
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    s = fixtures.stored(scoring.score_arcs(_cands(spark, sf_dir), _weighted(spark, sf_dir).withColumnRenamed("Yes", "w")), "scores")
+    s = scoring.score_arcs(_cands(spark, sf_dir), _weighted(spark, sf_dir).withColumnRenamed("Yes", "w"))
     right = F.col("dir") == "R"
     return s.withColumn("head", F.when(right, F.col("i")).otherwise(F.col("j"))).withColumn("tok_id", F.when(right, F.col("j")).otherwise(F.col("i")))
 
@@ -500,7 +504,7 @@ def score_arcs(spark, sf_dir) -> DataFrame:
 
 @query(f"AND {SCORED} SELECT y, o, count(*) AS n, round(ln(1 / (1 + exp(o - y))), 9) AS log_prob FROM sc GROUP BY ALL")
 def arc_log_prob(spark, sf_dir) -> DataFrame:
-    p = fixtures.stored(scoring.arc_log_prob(_weighted(spark, sf_dir), arcs=_cands(spark, sf_dir), sums=True), "log-probs")
+    p = scoring.arc_log_prob(_weighted(spark, sf_dir), arcs=_cands(spark, sf_dir), sums=True)
     return p.groupBy(F.col("Yes").alias("y"), F.col("No").alias("o"), F.round("log_prob", 9).alias("log_prob")).agg(_n())
 
 
