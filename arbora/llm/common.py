@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on at a time; a longer text is a step of its own.
-CHUNK_BYTES = 3 << 19
+CHUNK_BYTES = 3 << 18
 #: Bounds of one Arrow batch: at some kilobytes a text, Spark's defaults are tens of MB, held several times.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _FREE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}

@@ -27,14 +27,16 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import materialize, row_key, steps, trimmed, width
+from .common import materialize, remove, row_key, small_batches, steps, trimmed, width
 
 WINDOW = 10
 GROUP_BYTES = 8 << 20
+#: Text of one block of documents: the larger, the fewer rows for a term.
+BLOCK_BYTES = 3 << 19
 _TABLE = tv.folded(tv.TABLES[0])
 
 _INDEX = "block long, term long, n long, places binary, doc_id long, first long, n_words long"
@@ -48,7 +50,7 @@ def _index(batches):
     task, block = TaskContext.get().partitionId(), 0
     for b in batches:
         doc = b.column("doc_id").cast(pa.int64())
-        for s, e, texts in steps(b.column("text"), as_bytes=True):
+        for s, e, texts in steps(b.column("text"), BLOCK_BYTES, as_bytes=True):
             w = tv.Words(texts, tv.ALNUM)
             key = (task << 32) + block
             block += 1
@@ -69,8 +71,17 @@ def _index(batches):
             )
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """The stored index of docs (doc_id, text)."""
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index that build_index() wrote to path."""
+    return spark.read.schema(_INDEX).parquet(path)
+
+
+def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The stored index of docs (doc_id, text); at path it stays for later searches."""
+    if path is not None:
+        small_batches(docs.sparkSession)
+        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(_index), _INDEX).write.option("compression", "zstd").parquet(path)
+        return open_index(docs.sparkSession, path)
     return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(_index), _INDEX), "op9-index")
 
 
@@ -213,4 +224,5 @@ def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold a window of an item."""
     index = build_index(docs.select(row_key().alias("doc_id"), "text"))
     found = materialize(matches(index, items).where("size(words) > 0").select(F.col("doc_id").alias("row")).distinct(), "op9-found")
+    remove(index)
     return docs.withColumn("row", row_key()).join(found, "row", "left_anti").select(*docs.columns)

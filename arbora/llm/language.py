@@ -36,7 +36,7 @@ ALPHA = 0.5
 MAX_TRAIN = 60_000
 MAX_LANGUAGES = 1000
 #: Bytes of text of one numpy step; an n-gram takes some 60 bytes meanwhile.
-STEP_BYTES = 1 << 19
+STEP_BYTES = 1 << 18
 UNKNOWN = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []

@@ -80,8 +80,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 def minima(shingles: np.ndarray) -> np.ndarray:
     out = np.full(PERMS, ~np.uint64(0))
-    for s in range(0, len(shingles), 4096):
-        x = shingles[s : s + 4096]
+    for s in range(0, len(shingles), 512):  # 1 MB at a time
+        x = shingles[s : s + 512]
         np.minimum(out, (x[None, :] * _A[:, None] + _B[:, None]).min(axis=1), out=out)
     return out
 
@@ -129,7 +129,7 @@ def _confirm(batches):
         va, vb = b.column("a").to_pylist(), b.column("b").to_pylist()
         keep = []
         sizes = sum(pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in pair)
-        for s, e in chunks(sizes.tolist(), 3 << 19):
+        for s, e in chunks(sizes.tolist(), 3 << 18):
             ta, tb = (utf8(t.slice(s, e - s)) for t in pair)
             place = {}
             for t in (*ta, *tb):

@@ -23,7 +23,7 @@ from . import textvec as tv
 #: Pieces that a worker remembers.
 CACHE = 600_000
 #: Bytes of text that are encoded at a time.
-STEP_BYTES = 1 << 19
+STEP_BYTES = 1 << 18
 #: Pieces that the library gets in one call: its results take about a kilobyte each until they are copied.
 _CALL = 4096
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSURE = 0, 1, 2, 3, 4

@@ -88,3 +88,13 @@ def test_long_text_and_clashing_columns(spark):
     docs = spark.createDataFrame([(*r, 1, 2, "b") for r in rows], DOCS + ", block long, first long, places string")
     tests = spark.createDataFrame([(*r, "q", 3) for r in items], ITEMS + ", item string, term long")
     assert sorted((tuple(x) for x in decontaminate.contamination(docs, tests).collect()), key=str) == brute(rows, items)
+
+
+def test_index_serves_later_searches(spark, tmp_path):
+    item = " ".join(f"t{i}" for i in range(12))
+    path = f"file://{tmp_path}/index"
+    decontaminate.build_index(spark.createDataFrame([(1, f"a {item}"), (2, "b")], DOCS), path)
+    index = decontaminate.open_index(spark, path)
+    for k in (3, 4):
+        found = decontaminate.matches(index, spark.createDataFrame([(k, item)], ITEMS)).where("size(words) > 0").collect()
+        assert [(r.doc_id, list(r["items"])) for r in found] == [(1, [str(k)])]
