@@ -129,3 +129,35 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256
 q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS least FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> least THEN least END AS refers_to FROM q"""
+
+SQL["op13_filter_interaction"] = r"""
+WITH l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN doc_id > least THEN 'E' ELSE '' END) AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+cell AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+r AS (
+  SELECT part, filter_order, step, n, good, toxic, fails, contains(fails, filter_order[step]) AS own,
+    length(translate(filter_order[1:step-1], fails, '')) < step - 1 AS gone FROM cell, s)
+SELECT part, filter_order, step::INTEGER AS step,
+  coalesce(sum(n) FILTER (WHERE NOT own AND NOT gone), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (WHERE own AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE own AND gone), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (WHERE fails = filter_order[step]), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE own AND NOT gone), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (WHERE own AND NOT gone), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(CASE WHEN own THEN n * 120 // length(fails) END), 0)::BIGINT AS shapley
+FROM r GROUP BY part, filter_order, step"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, minhash, oracle, packing, quality, substring, suffix, token_counts, urls, warc
+from . import decontaminate, interaction, language, minhash, oracle, packing, quality, substring, suffix, token_counts, urls, warc
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,6 +62,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.interaction_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
