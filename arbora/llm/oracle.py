@@ -161,3 +161,17 @@ SELECT part, filter_order, step::INTEGER AS step,
   coalesce(sum(toxic) FILTER (WHERE own AND NOT gone), 0)::BIGINT AS toxic_lost,
   coalesce(sum(CASE WHEN own THEN n * 120 // length(fails) END), 0)::BIGINT AS shapley
 FROM r GROUP BY part, filter_order, step"""
+
+SQL["op11_embedding_near_dup"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(x, lambda e: e <> 0)) > 0),
+link AS (
+  SELECT a.r AS u, b.r AS v FROM ok a JOIN ok b ON a.label = b.label AND len(a.x) = len(b.x) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach AS (SELECT r, r AS c FROM v UNION SELECT link.v, c FROM reach JOIN link ON reach.r = u),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = c GROUP BY reach.r),
+n AS (SELECT u AS r, count(*) AS n FROM link GROUP BY u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v LEFT JOIN least USING (r) LEFT JOIN n USING (r)"""

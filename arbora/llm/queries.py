@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, interaction, language, minhash, oracle, packing, quality, spelling, substring, suffix, token_counts, urls, warc
+from . import decontaminate, embeddings, interaction, language, minhash, oracle, packing, quality, spelling, substring, suffix, token_counts, urls, warc
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,6 +62,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
