@@ -7,58 +7,44 @@ even sentences have heads tok_id div 2, odd ones the mirror image.
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..operators.storage import scratch_path, stored  # noqa: F401
+
 POS = ["ncn", "vi", "vt", "adj", "adv", "prep", "conj", "npn", "prel", "det", "cl", "pper"]
 ROLES = ["subj", "dobj", "pobj", "conj", "modp", "modr", "det", "coord"]
 SENTENCE = 12
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary folder only in local mode, where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        base = f"file://{tempfile.mkdtemp(prefix='arbora-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: By application, input and name: path and schema of the tables that queries share.
+_made: dict = {}
 
 
-#: By application and name: path and schema of what stored() has written.
-_made: dict = {}
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written and read again. Its shuffle files, many times its own size, go when it is written."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    old = spark.conf.get(_FREE)
-    spark.conf.set(_FREE, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_FREE, old)
-    out = spark.read.schema(df.schema).parquet(path)
-    _made[spark.sparkContext.applicationId, name] = (path, df.schema)
-    return out
+def _version(spark: SparkSession, sf_dir: str) -> str:
+    """A name for the state of the documents table: its files, their sizes and times."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
+    seen = sorted(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in files)
+    return hashlib.sha256("\n".join([sf_dir, *seen]).encode()).hexdigest()[:16]
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """What make() gives, stored once for all queries of an application that ask for it."""
-    name = f"{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
-    path, schema = _made.get((spark.sparkContext.applicationId, name), (None, None))
+    """What make() gives, stored once for all queries of an application that ask for it on the same state of the input."""
+    key = (spark.sparkContext.applicationId, name, _version(spark, sf_dir))
+    path, schema = _made.get(key, (None, None))
     if path is not None:
         try:
             return spark.read.schema(schema).parquet(path)
         except AnalysisException as e:  # the folder was cleared meanwhile
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-    return stored(make(), name)
+    out = stored(make(), name)
+    _made[key] = (out.stored_at, out.schema)
+    return out
 
 
 def _item(items: list[str], at) -> F.Column:

@@ -375,9 +375,9 @@ def feature_dictionary(spark, sf_dir) -> DataFrame:
 
 @query(f"AND {DICT} SELECT fid % 1000 AS fid_mod, dir, count(*) AS n, sum(fid)::BIGINT AS ids, sum(fid * (i + 13 * j) % 1009)::BIGINT AS places FROM lf JOIN fd USING (f) GROUP BY ALL")
 def vectorise(spark, sf_dir) -> DataFrame:
-    v = features.vectorise(_linear(spark, sf_dir), _dictionary(spark, sf_dir))
+    v = features.arc_vectors(tokens(spark, sf_dir), _dictionary(spark, sf_dir)).withColumn("fid", F.explode("fid"))
     places = F.col("fid") * (F.col("i") + 13 * F.col("j")) % 1009
-    return fixtures.stored(v.groupBy((F.col("fid") % 1000).alias("fid_mod"), "dir").agg(_n(), F.sum("fid").alias("ids"), F.sum(places).alias("places")), "vectors")
+    return v.groupBy((F.col("fid") % 1000).alias("fid_mod"), "dir").agg(_n(), F.sum("fid").alias("ids"), F.sum(places).alias("places"))
 
 
 @query(f"AND {LEX}, w AS (SELECT DISTINCT word FROM tok) SELECT word, count(DISTINCT lex.pos) FILTER (lex.pos IN {_in(tags.TAGS)}) AS n_tags, count(DISTINCT {SIMPLE('lex.pos')}) AS n_coarse FROM w LEFT JOIN lex USING (word) GROUP BY word")
@@ -486,7 +486,7 @@ def _weighted(spark, sf_dir) -> DataFrame:
 
     def make() -> DataFrame:
         d = _dictionary(spark, sf_dir).select("feature", *(F.expr(x).cast("double").alias(o) for o, x in _W.items()))
-        return features.vectorise(_linear(spark, sf_dir), d).groupBy(*scoring.ARC).agg(*(F.sum(o).alias(o) for o in _W))
+        return features.arc_sums(tokens(spark, sf_dir), d)
 
     return fixtures.shared(spark, sf_dir, "weighted", make)
 
@@ -502,10 +502,10 @@ def score_arcs(spark, sf_dir) -> DataFrame:
     return _scores(spark, sf_dir).groupBy("sent_id").agg(_n(), F.sum(F.col("score") * F.col("tok_id")).alias("x"))
 
 
-@query(f"AND {SCORED} SELECT y, o, count(*) AS n, round(ln(1 / (1 + exp(o - y))), 9) AS log_prob FROM sc GROUP BY ALL")
+@query(f"AND {SCORED} SELECT y, o, count(*) AS n, round(ln(1 / (1 + exp(o - y))), 9) + 0.0 AS log_prob FROM sc GROUP BY ALL")
 def arc_log_prob(spark, sf_dir) -> DataFrame:
     p = scoring.arc_log_prob(_weighted(spark, sf_dir), arcs=_cands(spark, sf_dir), sums=True)
-    return p.groupBy(F.col("Yes").alias("y"), F.col("No").alias("o"), F.round("log_prob", 9).alias("log_prob")).agg(_n())
+    return p.groupBy(F.col("Yes").alias("y"), F.col("No").alias("o"), (F.round("log_prob", 9) + 0.0).alias("log_prob")).agg(_n())
 
 
 @query(f"AND {SCORED} SELECT sent_id, sum(CASE WHEN t.pred_head = sc.head THEN 9999 ELSE y END)::DOUBLE AS x FROM sc LEFT JOIN tok t USING (sent_id, tok_id) GROUP BY sent_id")
