@@ -54,6 +54,32 @@ class Hashed:
         return mixed(self.h[0]), mixed(self.h[1])
 
 
+class SpanHashes:
+    """Digests of spans of texts from sums over whole texts. Offsets are characters in one row of all texts,
+    each with one place more for its end: first[k] is where text k starts."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_string()).fill_null("")
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        # a byte after each text, which is the place of its end
+        stops = at[1:] - at[0]
+        data = np.insert(whole, stops, 0)
+        self.place = np.flatnonzero((data & 0xC0) != 0x80)
+        ends = stops + np.arange(len(stops))
+        self.first = np.concatenate([[0], np.searchsorted(self.place, ends) + 1])
+        self.sums, self.unshift = [], []
+        for code, factor, inverse in zip(CODES, FACTORS, _INVERSE):
+            sums = np.zeros(len(data) + 1, U)
+            np.cumsum(code[data] * _powers(factor, len(data))[: len(data)], out=sums[1:])
+            self.sums.append(sums)
+            self.unshift.append(_powers(inverse, len(data) + 1))
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.place[start], self.place[end]
+        return tuple(mixed((sums[b] - sums[a]) * unshift[a]) for sums, unshift in zip(self.sums, self.unshift))
+
+
 _SLASH = Hashed.of("/")
 
 
