@@ -17,7 +17,8 @@ that is left, which is what the levels would give):
 3. reject      a template whose smoothed purity (blocked + A * prior) / (labelled + A) is REJECT or
                more, where prior is the blocked share of all labelled urls.
 
-The tree is built on distinct (host, path) with counts, so repeats of a url cost one row. Hosts' rules
+From level CHAINS_FROM on, segments that all urls of a parent have in common are passed in one step, so rounds
+follow the levels where paths part, not the length of the longest one. The tree is built on distinct (host, path) with counts, so repeats of a url cost one row. Hosts' rules
 are looked up once per distinct host. Tables of one row a host or a branch grow with the data, so a join
 broadcasts them only where they were measured to be small. They are written before they are joined,
 which leaves Spark free to split a hot host.
@@ -39,6 +40,8 @@ from .common import materialize, remove, sized
 MIN_SUPPORT, MIN_SHARE = 5, 1
 Z2 = 4
 A, REJECT = 4, 0.7
+#: The level from which on segments that all urls of a parent share are passed in one step; results don't depend on it.
+CHAINS_FROM = 3
 #: (host + path, verdict) of the query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,6 +80,25 @@ def ruled(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.rule_verdict").alias("rule_verdict"))
 
 
+def _past_chains(rows: DataFrame, tag: str) -> DataFrame:
+    """rows moved past the segments that all urls of their parent have in common, in one step.
+
+    Such a level has one branch only, which is the pool that it is tested against: `~=` with labels, `~` without.
+    What the first and the last of sorted texts start with, all of them start with."""
+    rest = F.concat(F.array_join("segments", "/"), F.lit("/"))
+    span = rows.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("labelled").alias("known"), F.min(rest).alias("low"), F.max(rest).alias("high"))
+    low, high = (F.split(F.substring(c, F.lit(1), F.char_length(c) - 1), "/") for c in ("low", "high"))
+    parted = F.array_position(F.zip_with(low, high, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+    shared = F.when(parted > 0, parted - 1).otherwise(F.size(low)).cast("int")
+    key = F.when(F.col("known") > 0, F.lit("/~=")).otherwise(F.lit("/~"))
+    span = materialize(span.where(F.col("all_n") >= MIN_SUPPORT).select("host", "template", shared.alias("shared"), key.alias("key")).where("shared > 0"), tag)
+    k = F.coalesce("shared", F.lit(0))
+    moved = rows.join(sized(span), ["host", "template"], "left").withColumns({"segments": F.slice("segments", k + 1, F.size("segments")), "template": F.concat("template", F.repeat(F.coalesce("key", F.lit("")), k))})
+    out = materialize(moved.drop("shared", "key"), tag)
+    remove(span)
+    return out
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """paths: host, path, n, labelled, blocked (distinct host and path) -> the same with template."""
     rows = paths.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
@@ -85,11 +107,17 @@ def templates(paths: DataFrame) -> DataFrame:
     while True:
         rows = materialize(rows, f"op5-rows{d}")
         written.append(rows)
-        ended.append(rows.where(F.size("segments") <= d))
-        rows = rows.where(F.size("segments") > d)
+        ended.append(rows.where(F.size("segments") == 0))
+        rows = rows.where(F.size("segments") > 0)
+        if d >= CHAINS_FROM:
+            # a round of its own for each level would take long on deep paths that hardly branch
+            rows = _past_chains(rows, f"op5-chains{d}")
+            written.append(rows)
+            ended.append(rows.where(F.size("segments") == 0))
+            rows = rows.where(F.size("segments") > 0)
         if rows.isEmpty():
             break
-        rows = rows.withColumn("seg", F.get("segments", F.lit(d)))
+        rows = rows.withColumn("seg", F.get("segments", F.lit(0)))
         by = materialize(rows.groupBy(*parent, "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), f"op5-by{d}")
         total = materialize(by.groupBy(*parent).agg(F.sum("n").alias("all_n")), f"op5-total{d}")
         counted = by
@@ -105,9 +133,9 @@ def templates(paths: DataFrame) -> DataFrame:
         remove(counted, total, pool)
         written.append(by)
         rows = rows.join(sized(by), [*parent, "seg"])
-        left = F.concat("template", F.repeat(F.lit("/*"), F.size("segments") - d))
-        none = F.array().cast("array<string>")
-        rows = rows.select(*paths.columns, F.when(F.col("few"), none).otherwise(F.col("segments")).alias("segments"), F.when(F.col("few"), left).otherwise(F.col("next")).alias("template"))
+        left = F.concat("template", F.repeat(F.lit("/*"), F.size("segments")))
+        none, rest = F.array().cast("array<string>"), F.slice("segments", F.lit(2), F.size("segments"))
+        rows = rows.select(*paths.columns, F.when(F.col("few"), none).otherwise(rest).alias("segments"), F.when(F.col("few"), left).otherwise(F.col("next")).alias("template"))
         d += 1
     out = materialize(reduce(DataFrame.unionByName, ended).drop("segments"), "op5-templates")
     remove(*written)

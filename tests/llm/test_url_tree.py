@@ -1,5 +1,6 @@
 """The template tree of op5 against a recursive brute force."""
 
+import sys
 from collections import defaultdict
 
 from arbora.llm import urls
@@ -20,6 +21,9 @@ def test_unlabelled_pages_of_a_blocked_host_are_allowed(spark):
     assert {(r.path[:3], r.verdict) for r in out} == {("/de", "block"), ("/en", "allow"), ("/fr", "allow")}
 
 
+sys.setrecursionlimit(5000)
+
+
 def brute(rows):
     """path -> template of one host's rows, by recursion."""
     out = {}
@@ -55,3 +59,24 @@ def test_deep_paths_equal_brute_force(spark):
     got = {r.path: (r.template, r.rejected) for r in urls.judged(df).collect()}
     assert {p: t for p, (t, _) in got.items()} == brute(rows)
     assert {p.split("/")[5] for p, (_, bad) in got.items() if bad} == {"bad"}
+
+
+def test_shared_segments_are_passed_at_once(spark):
+    """Two deep paths that part once, one that ends on the way, one of 1,000 segments with copies, and prefixes that are no segments."""
+    long = "/s" * 1000
+    rows = [("h.com", long, 10, 0, 0)]
+    stem = "/k/l/m" + "".join(f"/n{i}" for i in range(60))
+    rows += [("g.com", f"{stem}/{x}{tail}", 6, lab, lab) for x, lab in (("left", 1), ("right", 0)) for tail in ("/u/v/w", "/u/v-w", "/u/v")]
+    rows += [("g.com", stem, 7, 2, 0), ("g.com", stem + "/left-over/z", 6, 0, 0), ("g.com", stem[:-1], 6, 0, 0)]
+    df = spark.createDataFrame(rows, PATHS)
+    rounds = []
+    keep = urls.materialize
+    try:
+        urls.materialize = lambda df, tag: (rounds.append(tag), keep(df, tag))[1]
+        got = {(r.host, r.path): r.template for r in urls.judged(df).collect()}
+    finally:
+        urls.materialize = keep
+    for host in ("h.com", "g.com"):
+        mine = [r for r in rows if r[0] == host]
+        assert {p: t for (h, p), t in got.items() if h == host} == brute(mine)
+    assert sum(t.startswith("op5-rows") for t in rounds) < 10
