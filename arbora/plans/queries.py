@@ -64,10 +64,13 @@ def json_trees(spark, sf_dir) -> DataFrame:
     return t.groupBy("role").agg(_n(), F.sum("head").alias("heads"), F.sum(F.char_length("word")).alias("chars"))
 
 
-@query("SELECT pos, count(*) AS n, sum(length(word))::BIGINT AS chars FROM tok GROUP BY pos")
+@query("SELECT style, pos, count(*) AS n, sum(length(word))::BIGINT AS chars FROM tok, (VALUES ('slash'), ('alternating')) v(style) GROUP BY ALL")
 def read_tagged(spark, sf_dir) -> DataFrame:
-    s = tokens(spark, sf_dir).groupBy("sent_id").agg(F.array_join(F.collect_list(F.concat("word", F.lit("/"), "pos")), " ").alias("text"))
-    return s.select(F.explode(treebank.read_tagged(F.col("text"))).alias("x")).groupBy("x.pos").agg(_n(), F.sum(F.char_length("x.word")).alias("chars"))
+    """Both styles of tagged text, written from the same sentences."""
+    s = tokens(spark, sf_dir).groupBy("sent_id").agg(F.collect_list(F.struct("word", "pos")).alias("t"))
+    text = lambda sep: F.array_join(F.transform("t", lambda x: F.concat(x["word"], F.lit(sep), x["pos"])), " ")
+    read = [s.select(F.lit(style).alias("style"), F.explode(treebank.read_tagged(text(sep), style)).alias("x")) for style, sep in (("slash", "/"), ("alternating", " "))]
+    return read[0].unionByName(read[1]).groupBy("style", "x.pos").agg(_n(), F.sum(F.char_length("x.word")).alias("chars"))
 
 
 @query("SELECT word, string_agg(DISTINCT pos, ',' ORDER BY pos) AS tags FROM tok GROUP BY word")
@@ -84,9 +87,10 @@ def normalise_words(spark, sf_dir) -> DataFrame:
     return scalars.normalise_words(tokens(spark, sf_dir)).groupBy(F.col("word").alias("w")).agg(_n())
 
 
-@query("SELECT word, replace(replace(replace(CASE WHEN length(word) = 1 THEN word ELSE '' END, ',', '-COMMA-'), '(', '-LRB-'), ')', '-RRB-') AS code, count(*) AS n FROM tok WHERE length(word) = 1 GROUP BY ALL")
+@query(f"SELECT word, {_case('word', tags.PUNCTUATION, 'word')} AS code, count(*) AS n FROM tok GROUP BY word")
 def encode_punc(spark, sf_dir) -> DataFrame:
-    t = tokens(spark, sf_dir).where(F.char_length("word") == 1).groupBy("word").agg(_n())
+    """Every word; those whose code does not lead back to it would be left out."""
+    t = tokens(spark, sf_dir).groupBy("word").agg(_n())
     return t.select("word", scalars.encode_punc(F.col("word")).alias("code"), "n").where(scalars.decode_punc(F.col("code")) == F.col("word"))
 
 
@@ -746,9 +750,29 @@ def dictionary_lattice(spark, sf_dir) -> DataFrame:
     return segment.dictionary_lattice(_texts(spark, sf_dir), _words(spark, sf_dir)).groupBy("doc_id").agg(_n(), F.sum("s").alias("starts"))
 
 
-@query(f"AND {LAT}, e AS (SELECT DISTINCT doc_id, s, t FROM lat) SELECT a.doc_id, count(*) AS n FROM e a JOIN e b ON b.doc_id = a.doc_id AND b.s = a.t JOIN e c ON c.doc_id = a.doc_id AND c.s = b.t GROUP BY a.doc_id")
+#: Dictionary words of four and more characters.
+DLAT = """tx AS (SELECT sent_id AS doc_id, string_agg(word, '' ORDER BY tok_id) AS text FROM tok GROUP BY sent_id), wd AS (SELECT DISTINCT word FROM tok WHERE length(word) > 3),
+dl AS (SELECT doc_id, s::BIGINT AS s, (s + n)::BIGINT AS t FROM (SELECT *, unnest(range(4, least(length(text) - s, (SELECT max(length(word)) FROM wd)) + 1)) AS n FROM (SELECT doc_id, text, unnest(range(0, length(text))) AS s FROM tx))
+  WHERE substr(text, s + 1, n) IN (SELECT word FROM wd))"""
+#: The same and each character by itself, which is no word.
+DLAT1 = f"{DLAT}, lat AS (SELECT doc_id, s, t, true AS is_word FROM dl UNION ALL SELECT doc_id, p::BIGINT, p::BIGINT + 1, false FROM (SELECT doc_id, unnest(range(0, length(text))) AS p FROM tx))"
+
+
+def _dictionary_edges(spark, sf_dir) -> DataFrame:
+    """doc_id, s, t of the dictionary's words of four and more characters in every text: shorter ones are unknown."""
+    return segment.dictionary_lattice(_texts(spark, sf_dir), _words(spark, sf_dir).where(F.char_length("word") > 3)).select("doc_id", "s", "t")
+
+
+def _dictionary_lattice(spark, sf_dir) -> DataFrame:
+    """The dictionary's edges as words, and each character by itself."""
+    one = _texts(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0), F.char_length("text") - 1)).alias("s"))
+    one = one.select("doc_id", "s", (F.col("s") + 1).alias("t"), F.lit(False).alias("is_word"))
+    return _dictionary_edges(spark, sf_dir).withColumn("is_word", F.lit(True)).unionByName(one)
+
+
+@query(f"AND {DLAT1}, e AS (SELECT DISTINCT doc_id, s, t FROM lat) SELECT a.doc_id, count(*) AS n FROM e a JOIN e b ON b.doc_id = a.doc_id AND b.s = a.t JOIN e c ON c.doc_id = a.doc_id AND c.s = b.t GROUP BY a.doc_id")
 def lattice_paths(spark, sf_dir) -> DataFrame:
-    return segment.lattice_paths(_lattice(spark, sf_dir), 3).groupBy("doc_id").agg(_n())
+    return segment.lattice_paths(_dictionary_lattice(spark, sf_dir), 3).groupBy("doc_id").agg(_n())
 
 
 LENGTHS = "ln AS (SELECT sent_id AS doc_id, sum(length(word))::BIGINT AS n FROM tok GROUP BY sent_id)"
@@ -757,37 +781,40 @@ bw_{out} AS (SELECT doc_id, n AS pt FROM ln UNION SELECT e.doc_id, e.s FROM bw_{
 {out} AS (SELECT e.* FROM {e} e JOIN fw_{out} f ON f.doc_id = e.doc_id AND f.pt = e.s JOIN bw_{out} b ON b.doc_id = e.doc_id AND b.pt = e.t)"""
 
 
-@query(f"AND {LAT}, {LENGTHS}, le AS (SELECT doc_id, s::BIGINT AS s, t::BIGINT AS t FROM lat WHERE tok_id <> 5), {_PRUNED('le', 'pr')} SELECT doc_id, count(*) AS n, sum(s)::BIGINT AS starts FROM pr GROUP BY doc_id", recursive=True)
+@query(f"AND {DLAT1}, {LENGTHS}, le AS (SELECT doc_id, s, t FROM lat WHERE is_word OR s % 7 <> 3), {_PRUNED('le', 'pr')} SELECT doc_id, count(*) AS n, sum(s)::BIGINT AS starts FROM pr GROUP BY doc_id", recursive=True)
 def prune_lattice(spark, sf_dir) -> DataFrame:
-    e = _lattice(spark, sf_dir).where("tok_id <> 5")
+    """The dictionary's lattice without some single characters, so that many edges lead nowhere."""
+    e = _dictionary_lattice(spark, sf_dir).where("is_word or s % 7 <> 3")
     return segment.prune_lattice(e, _lengths(spark, sf_dir)).groupBy("doc_id").agg(_n(), F.sum("s").alias("starts"))
 
 
-@query(f"""AND {LAT}, {LENGTHS}, e AS (SELECT DISTINCT doc_id, s::BIGINT AS s, t::BIGINT AS t, is_word FROM lat),
-top AS (SELECT doc_id, s, max(t) AS longest FROM e GROUP BY ALL HAVING bool_or(is_word) FILTER (t = (SELECT max(x.t) FROM e x WHERE x.doc_id = e.doc_id AND x.s = e.s))),
+@query(f"""AND {DLAT1}, {LENGTHS}, e AS (SELECT DISTINCT doc_id, s, t, is_word FROM lat),
+top AS (SELECT doc_id, s, max(t) AS longest FROM e GROUP BY ALL HAVING arg_max(is_word, t)),
 bad AS (SELECT a.doc_id, a.s, a.t, a.is_word AS w1, b.t AS u, b.is_word AS w2 FROM e a JOIN top USING (doc_id, s) JOIN e b ON b.doc_id = a.doc_id AND b.s = a.t WHERE a.t < longest AND b.t <= longest AND NOT (a.is_word AND b.is_word)),
 gone AS (SELECT doc_id, s, t FROM bad WHERE NOT w1 UNION SELECT doc_id, t, u FROM bad WHERE NOT w2), rest AS (SELECT * FROM e ANTI JOIN gone USING (doc_id, s, t)),
 {_PRUNED('rest', 'pr')}
 SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM pr UNION ALL SELECT doc_id FROM e WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.doc_id = e.doc_id)) GROUP BY doc_id""", recursive=True)
 def drop_redundant_syllables(spark, sf_dir) -> DataFrame:
-    return segment.drop_redundant_syllables(_lattice(spark, sf_dir), _lengths(spark, sf_dir)).groupBy("doc_id").agg(_n())
+    return segment.drop_redundant_syllables(_dictionary_lattice(spark, sf_dir), _lengths(spark, sf_dir)).groupBy("doc_id").agg(_n())
 
 
-@query(f"AND {LAT} SELECT CASE WHEN is_word THEN 0.5 WHEN t - s = 1 THEN 3.0 ELSE 2.5 END::DOUBLE AS w, count(*) AS n FROM lat GROUP BY ALL")
+@query(f"""AND {LAT} SELECT mode, round(log10(CASE WHEN mode = 'corpus' THEN pow(CASE WHEN is_word THEN 3.0::DOUBLE ELSE 10.0::DOUBLE END, t - s) WHEN is_word THEN 0.5 WHEN t - s = 1 THEN 3.0 ELSE 2.5 END::DOUBLE), 9) AS log_w, count(*) AS n
+FROM lat, (VALUES ('heuristic'), ('corpus')) v(mode) GROUP BY ALL""")
 def edge_weights(spark, sf_dir) -> DataFrame:
-    return segment.edge_weights(_lattice(spark, sf_dir)).groupBy("w").agg(_n())
+    """Both modes."""
+    both = [segment.edge_weights(_lattice(spark, sf_dir), mode).select(F.lit(mode).alias("mode"), F.round(F.log10("w"), 9).alias("log_w")) for mode in ("heuristic", "corpus")]
+    return both[0].unionByName(both[1]).groupBy("mode", "log_w").agg(_n())
 
 
 @query()
 def best_segmentation(spark, sf_dir) -> DataFrame:
-    e = segment.edge_weights(_lattice(spark, sf_dir))
+    e = segment.edge_weights(_dictionary_lattice(spark, sf_dir))
     return segment.best_segmentation(e, _lengths(spark, sf_dir)).select("doc_id", "rank", "cost", F.size("nodes").alias("n_nodes"))
 
 
 @query()
 def expand_unknown(spark, sf_dir) -> DataFrame:
-    e = _lattice(spark, sf_dir).where("tok_id % 4 <> 2 and tok_id > 0")
-    return segment.expand_unknown(e, _texts(spark, sf_dir)).groupBy("doc_id").agg(_n())
+    return segment.expand_unknown(_dictionary_edges(spark, sf_dir), _texts(spark, sf_dir)).groupBy("doc_id").agg(_n())
 
 
 @query(rf"""AND {THAI_TOK}, od AS (SELECT *, tok_id % 3 <> 0 AND regexp_matches(word, '^[^!-~\x{{0E50}}-\x{{0E59}} \t\n\x0B\f\r]*$') AS odd FROM th),
