@@ -51,11 +51,13 @@ def dependency_arcs(tokens: DataFrame) -> DataFrame:
 
 def arc_texts(tokens: DataFrame, head: str = "head", by: tuple[str, ...] = ("sent_id",)) -> DataFrame:
     """by, tok_id, head_unit, child_unit, arc: `word:s:e tag <-- word:s:e tag`, ROOT ROOT for head 0. Offsets and heads are found inside the sentence's row."""
-    g = tokens.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tok_id", "word", "pos", F.col(head).alias("head")))).alias("t"))
+    # all columns move, so that trees of one table that differ in the head column share the exchange
+    own = ["tok_id", "word", "pos", *(c for c in tokens.columns if c not in (*by, "tok_id", "word", "pos"))]
+    g = tokens.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*own))).alias("t"))
     g = g.withColumn("e", _ends())
     unit = F.transform("t", lambda x, i: F.concat(x["word"], F.lit(":"), F.get("e", i), F.lit(":"), F.get("e", i + 1), F.lit(" "), x["pos"]))
     g = g.withColumn("u", unit)
-    up = lambda x: F.when(x["head"] == 0, "ROOT ROOT").otherwise(F.get("u", F.array_position("t.tok_id", x["head"]).cast("int") - 1))
+    up = lambda x: F.when(x[head] == 0, "ROOT ROOT").otherwise(F.get("u", F.array_position("t.tok_id", x[head]).cast("int") - 1))
     rows = g.select(*by, F.explode(F.transform("t", lambda x, i: F.struct(x["tok_id"].alias("tok_id"), up(x).alias("head_unit"), F.get("u", i).alias("child_unit")))).alias("x"))
     return rows.select(*by, "x.*").withColumn("arc", F.concat("head_unit", F.lit(" <-- "), "child_unit"))
 
