@@ -25,15 +25,23 @@ def _units(tokens: DataFrame) -> DataFrame:
 def _nodes(tokens: DataFrame) -> DataFrame:
     """Units with the ids and units of their complement children in position order (null without any) and the tag of their head.
 
-    Children and heads are found inside the sentence's row, after one exchange by sent_id."""
-    own = ("tok_id", "word", "base", "role", "head", "kind", "unit")
-    u = _units(tokens).groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("u"))
-    children = lambda x: F.filter("u", lambda y: (y["head"] == x["tok_id"]) & (y["kind"] == "complement"))
-    up = lambda x: F.get(F.filter("u", lambda y: y["tok_id"] == x["head"]), F.lit(0))["base"]
+    Children and heads are found inside the sentence's row, after one exchange by sent_id: complements sorted by
+    head make the children of a token one slice, so that a token costs two searches in an array and no loop over lambdas."""
+    own = ("tok_id", "word", "base", "head", "kind", "unit")
+    # plain tokens move, and no array is built before they have
+    u = _units(tokens.repartition("sent_id")).groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("u"))
+    complements = F.filter("u", lambda y: (y["kind"] == "complement") & y["head"].isNotNull())
+    u = u.withColumn("kids", F.array_sort(F.transform(complements, lambda y: F.struct(y["head"].alias("head"), y["tok_id"].alias("tok_id"), y["unit"].alias("unit")))))
+    u = u.select("sent_id", "u", "kids", F.col("kids.head").alias("kid_heads"), F.col("u.tok_id").alias("ids"), F.col("u.base").alias("bases"))
+
+    def children(x: Column) -> Column:
+        at = F.array_position("kid_heads", x["tok_id"])
+        return F.when(at > 0, F.slice("kids", at.cast("int"), F.size("kid_heads") - F.size(F.array_remove("kid_heads", x["tok_id"]))))
+
+    up = lambda x: F.get("bases", F.array_position("ids", x["head"]).cast("int") - 1)
     node = F.transform("u", lambda x: F.struct(*(x[c].alias(c) for c in own), children(x).alias("c"), up(x).alias("head_base")))
     n = u.select("sent_id", F.explode(node).alias("x")).select("sent_id", "x.*")
-    some = F.size("c") > 0
-    return n.withColumns({"child_ids": F.when(some, F.col("c.tok_id")), "child_units": F.when(some, F.array_join("c.unit", ","))}).drop("c")
+    return n.withColumns({"child_ids": F.col("c.tok_id"), "child_units": F.array_join("c.unit", ",")}).drop("c")
 
 
 def rule_events(tokens: DataFrame) -> DataFrame:
@@ -66,8 +74,9 @@ def _share(counts: DataFrame, key: list[str]) -> DataFrame:
 
 def rule_probabilities(events: DataFrame) -> DataFrame:
     """level rule: P(rule | type, head_key); level order: P(order | type, rule). Columns level, type, key, outcome, n, p."""
-    # events are counted once; both levels are sums of those counts
-    counts = events.groupBy("type", "head_key", "rule", "word_order").agg(F.count("*").alias("n"))
+    # events are counted once, in tasks before they move; dealt by rule, the counts give both levels' sums and the
+    # totals and joins of the level order without a further exchange
+    counts = events.groupBy("type", "head_key", "rule", "word_order").agg(F.count("*").alias("n")).repartition("type", "rule")
     rules = _share(counts.groupBy("type", "head_key", "rule").agg(F.sum("n").alias("n")), ["type", "head_key"])
     orders = _share(counts.groupBy("type", "rule", "word_order").agg(F.sum("n").alias("n")), ["type", "rule"])
     a = rules.select(F.lit("rule").alias("level"), "type", F.col("head_key").alias("key"), F.col("rule").alias("outcome"), "n", "p")
