@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .trees import flat, grouped
 
 
 def relative_order(offsets: Column) -> Column:
@@ -15,21 +16,16 @@ def relative_order(offsets: Column) -> Column:
     return F.transform(offsets, lambda x: F.when(x > 0, F.array_position(right, x)).when(x < 0, -F.array_position(left, -x)).otherwise(F.lit(0)).cast("int"))
 
 
-def _units(tokens: DataFrame) -> DataFrame:
-    """Tokens with base tag (before a hyphen), role class and `[tag@role]`; blanks left out."""
-    t = tokens.where("word <> '_'").withColumn("base", F.split_part("pos", F.lit("-"), F.lit(1)))
-    t = t.withColumn("kind", scalars.role_class(F.col("role")))
-    return t.withColumn("unit", F.concat(F.lit("["), F.col("base"), F.lit("@"), F.col("role"), F.lit("]")))
+def _node_rows(tokens: DataFrame) -> DataFrame:
+    """sent_id and nodes, an array of the tokens but blanks, each with base tag (before a hyphen), role class, `[tag@role]`,
+    the ids and units of its complement children in position order (null without any), the tag of its head and its type of rule.
 
-
-def _nodes(tokens: DataFrame) -> DataFrame:
-    """Units with the ids and units of their complement children in position order (null without any) and the tag of their head.
-
-    Children and heads are found inside the sentence's row, after one exchange by sent_id: complements sorted by
-    head make the children of a token one slice, so that a token costs two searches in an array and no loop over lambdas."""
+    Children and heads are found inside the sentence's row: complements sorted by head make the children of
+    a token one slice, so that a token costs two searches in an array and no loop over lambdas."""
     own = ("tok_id", "word", "base", "head", "kind", "unit")
-    # plain tokens move, and no array is built before they have
-    u = _units(tokens.repartition("sent_id")).groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("u"))
+    base = lambda x: F.split_part(x["pos"], F.lit("-"), F.lit(1))
+    unit = lambda x: F.struct(x["tok_id"].alias("tok_id"), x["word"].alias("word"), base(x).alias("base"), x["head"].alias("head"), scalars.role_class(x["role"]).alias("kind"), F.concat(F.lit("["), base(x), F.lit("@"), x["role"], F.lit("]")).alias("unit"))
+    u = grouped(tokens).select("sent_id", F.transform(F.filter("t", lambda x: x["word"] != "_"), unit).alias("u"))
     complements = F.filter("u", lambda y: (y["kind"] == "complement") & y["head"].isNotNull())
     u = u.withColumn("kids", F.array_sort(F.transform(complements, lambda y: F.struct(y["head"].alias("head"), y["tok_id"].alias("tok_id"), y["unit"].alias("unit")))))
     u = u.select("sent_id", "u", "kids", F.col("kids.head").alias("kid_heads"), F.col("u.tok_id").alias("ids"), F.col("u.base").alias("bases"))
@@ -40,8 +36,21 @@ def _nodes(tokens: DataFrame) -> DataFrame:
 
     up = lambda x: F.get("bases", F.array_position("ids", x["head"]).cast("int") - 1)
     node = F.transform("u", lambda x: F.struct(*(x[c].alias(c) for c in own), children(x).alias("c"), up(x).alias("head_base")))
-    n = u.select("sent_id", F.explode(node).alias("x")).select("sent_id", "x.*")
-    return n.withColumns({"child_ids": F.col("c.tok_id"), "child_units": F.array_join("c.unit", ",")}).drop("c")
+
+    def finished(x: Column) -> Column:
+        childless, adjunct = x["c"].isNull(), (x["kind"] == "adjunct") & x["head_base"].isNotNull()
+        kind = F.when((x["kind"] == "complement") & ~childless, 1).when(adjunct & childless, 2).when(adjunct, 3)
+        units = F.array_join(x["c"]["unit"], ",")
+        return F.struct(*(x[c].alias(c) for c in own), x["head_base"].alias("head_base"), x["c"]["tok_id"].alias("child_ids"), units.alias("child_units"), kind.alias("type"))
+
+    return u.select("sent_id", F.transform(node, finished).alias("nodes"))
+
+
+def _rule(x, word: Column) -> Column:
+    """A node's rule with the given text as its word: the specific form with the word, the generic one without."""
+    one = F.concat(word, F.lit("["), x["base"], F.lit("] --> "), x["child_units"])
+    up = F.concat(F.lit("["), x["head_base"], F.lit("] --> "), word, x["unit"])
+    return F.when(x["type"] == 1, one).when(x["type"] == 2, up).otherwise(F.concat(up, F.lit(" --> "), x["child_units"]))
 
 
 def rule_events(tokens: DataFrame) -> DataFrame:
@@ -49,9 +58,7 @@ def rule_events(tokens: DataFrame) -> DataFrame:
 
     Type 1: a complement node with complement children. Type 2: an adjunct child without, type 3: an
     adjunct child with complement children, both keyed by the child."""
-    childless, adjunct = F.col("child_ids").isNull(), (F.col("kind") == "adjunct") & F.col("head_base").isNotNull()
-    kind = F.when((F.col("kind") == "complement") & ~childless, 1).when(adjunct & childless, 2).when(adjunct, 3)
-    t = _nodes(tokens).withColumn("type", kind).where("type is not null")
+    t = flat(_node_rows(tokens), "nodes").where("type is not null")
     text = lambda ranks: F.array_join(F.transform(ranks, lambda x: x.cast("string")), ",")
     offsets = F.transform("child_ids", lambda x: x - F.col("tok_id"))
     # type 3 ranks the head together with the grandchildren
@@ -59,9 +66,7 @@ def rule_events(tokens: DataFrame) -> DataFrame:
     order2 = F.when(F.col("head") > F.col("tok_id"), "1 --> 0").otherwise("-1 --> 0")
     order3 = F.concat(F.element_at("ranks", 1).cast("string"), F.lit(" --> 0 --> "), text(F.slice("ranks", 2, F.size("ranks"))))
     order = F.when(F.col("type") == 1, F.concat(F.lit("0 --> "), text(F.col("ranks")))).when(F.col("type") == 2, order2).otherwise(order3)
-    one = lambda w: F.concat(w, F.lit("["), "base", F.lit("] --> "), "child_units")
-    up = lambda w: F.concat(F.lit("["), F.col("head_base"), F.lit("] --> "), w, "unit")
-    rule = lambda w: F.when(F.col("type") == 1, one(w)).when(F.col("type") == 2, up(w)).otherwise(F.concat(up(w), F.lit(" --> "), "child_units"))
+    rule = lambda w: _rule({c: F.col(c) for c in ("type", "base", "head_base", "unit", "child_units")}, w)
     forms = F.array(F.struct(F.concat("word", F.lit("/"), "base").alias("k"), rule(F.col("word")).alias("r")), F.struct(F.col("base").alias("k"), rule(F.lit("")).alias("r")))
     e = t.select("sent_id", "tok_id", "type", order.alias("word_order"), F.explode(forms).alias("f"))
     return e.select("sent_id", "tok_id", "type", F.col("f.k").alias("head_key"), F.col("f.r").alias("rule"), "word_order")
@@ -92,17 +97,17 @@ def context_counts(tokens: DataFrame) -> DataFrame:
     """kind, context, outcome, n: root rules; child rules given the head's rule and side; STOP without adjuncts.
 
     A node's key is its generic rule: `2:` or `3:` for adjuncts, `1:` for complements with complements; else its tag."""
-    t = _units(tokens)
-    generic = rule_events(tokens).where("instr(head_key, '/') = 0 or head_key = '/'").select("sent_id", "tok_id", F.concat(F.col("type").cast("string"), F.lit(":"), "rule").alias("rule_key")).distinct()
-    nodes = t.join(generic.groupBy("sent_id", "tok_id").agg(F.min("rule_key").alias("rule_key")), ["sent_id", "tok_id"], "left").withColumn("key", F.coalesce("rule_key", "base"))
-    head = nodes.select("sent_id", F.col("tok_id").alias("head"), F.col("key").alias("head_key"))
-    arcs = nodes.where("kind <> 'unknown'").join(head, ["sent_id", "head"])
-    side = F.when(F.col("tok_id") > F.col("head"), "+R").otherwise("+L")
-    child = arcs.select(F.col("kind"), F.concat("head_key", side).alias("context"), F.col("key").alias("outcome"))
-    root = nodes.where("head = 0").select(F.lit("root").alias("kind"), F.lit("root").alias("context"), F.col("key").alias("outcome"))
-    stop = nodes.join(nodes.where("kind = 'adjunct'").select("sent_id", F.col("head").alias("tok_id")).distinct(), ["sent_id", "tok_id"], "left_anti")
-    stop = stop.select(F.lit("adjunct").alias("kind"), F.concat("key", F.lit("+0+True")).alias("context"), F.lit("STOP").alias("outcome"))
-    return child.unionByName(root).unionByName(stop).groupBy("kind", "context", "outcome").agg(F.count("*").alias("n"))
+    key = lambda x: F.when(x["type"].isNotNull(), F.concat(x["type"].cast("string"), F.lit(":"), _rule(x, F.lit("")))).otherwise(x["base"])
+    node = lambda x: F.struct(x["tok_id"].alias("tok_id"), x["head"].alias("head"), x["kind"].alias("kind"), key(x).alias("key"))
+    n = _node_rows(tokens).select(F.transform("nodes", node).alias("k"))
+    n = n.select("k", F.col("k.tok_id").alias("ids"), F.transform(F.filter("k", lambda x: x["kind"] == "adjunct"), lambda x: x["head"]).alias("taken"))
+    counted = lambda kind, context, outcome: F.struct(kind.alias("kind"), context.alias("context"), outcome.alias("outcome"))
+    up = lambda x: F.get("k", F.array_position("ids", x["head"]).cast("int") - 1)["key"]
+    side = lambda x: F.when(x["tok_id"] > x["head"], "+R").otherwise("+L")
+    child = F.transform(F.filter("k", lambda x: (x["kind"] != "unknown") & F.array_contains("ids", x["head"])), lambda x: counted(x["kind"], F.concat(up(x), side(x)), x["key"]))
+    root = F.transform(F.filter("k", lambda x: x["head"] == 0), lambda x: counted(F.lit("root"), F.lit("root"), x["key"]))
+    stop = F.transform(F.filter("k", lambda x: ~F.coalesce(F.array_contains("taken", x["tok_id"]), F.lit(False))), lambda x: counted(F.lit("adjunct"), F.concat(x["key"], F.lit("+0+True")), F.lit("STOP")))
+    return flat(n.select(F.concat(child, root, stop).alias("x")), "x").groupBy("kind", "context", "outcome").agg(F.count("*").alias("n"))
 
 
 def root_tags(tokens: DataFrame) -> DataFrame:
