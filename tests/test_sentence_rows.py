@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.operators import evaluation, trees
+from arbora.operators import evaluation, grammar, segment, trees
 from arbora.plans import queries
 from arbora.sources import treebank
 
@@ -70,3 +70,21 @@ def test_queries_move_no_tokens(name, spark, tmp_path):
     # at most the sums by sentence move
     assert not any("word" in line for line in plan.split("\n") if "Exchange " in line) and "Window" not in plan and "Join" not in plan
     assert df.count() > 0
+
+
+def test_rules_do_not_move(toks, rows):
+    same(grammar.rule_events(toks), grammar.rule_events(rows))
+    assert exchanges(grammar.rule_events(rows)) == 0
+    same(grammar.context_counts(toks), grammar.context_counts(rows))
+    assert exchanges(grammar.context_counts(rows)) == 1  # of the counts
+
+
+def test_lattice_edges_do_not_move(spark, tmp_path):
+    spark.createDataFrame([(1, "a bb ccc . dd e f g h i j k l m")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    lattice = queries._lattice(spark, f"file://{tmp_path}")
+    assert exchanges(lattice) == 0
+    assert {(r.doc_id, r.s, r.t, r.word) for r in lattice.where("tok_id = 0").collect()} == {(1000000, 0, 3, "abb"), (1000000, 6, 9, ".dd"), (1000000, 10, 12, "fg"), (1000000, 13, 15, "ij"), (1000001, 0, 2, "lm")}
+    nodes = spark.createDataFrame([(1, 0, 2, "a"), (1, 2, 3, "b"), (1, 2, 4, "c"), (1, 3, 4, "d"), (2, 2, 3, "e")], "doc_id long, s int, t int, pos string")
+    met = segment.adjacent(nodes)
+    assert exchanges(met) == 1
+    assert {tuple(r) for r in met.collect()} == {(1, 0, 2, "a", 3, "b"), (1, 0, 2, "a", 4, "c"), (1, 2, 3, "b", 4, "d")}
