@@ -88,3 +88,10 @@ def test_lattice_edges_do_not_move(spark, tmp_path):
     met = segment.adjacent(nodes)
     assert exchanges(met) == 1
     assert {tuple(r) for r in met.collect()} == {(1, 0, 2, "a", 3, "b"), (1, 0, 2, "a", 4, "c"), (1, 2, 3, "b", 4, "d")}
+
+
+def test_json_trees_of_rows(toks, rows):
+    straight = rows.withColumn("t", F.transform("t", lambda x: x.withField("head", (x["tok_id"] - 1).cast("int")))).localCheckpoint()
+    got = treebank.to_json_tree(straight)
+    assert exchanges(got) == 0
+    same(got, treebank.to_json_tree(trees.flat(straight)))
