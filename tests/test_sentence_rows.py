@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.operators import evaluation, grammar, segment, trees
+from arbora.operators import evaluation, features, grammar, segment, trees
 from arbora.plans import queries
 from arbora.sources import treebank
 
@@ -95,3 +95,17 @@ def test_json_trees_of_rows(toks, rows):
     got = treebank.to_json_tree(straight)
     assert exchanges(got) == 0
     same(got, treebank.to_json_tree(trees.flat(straight)))
+
+
+def test_siblings_and_label_features_of_rows(toks, rows):
+    got = trees.sibling_context(rows)
+    assert exchanges(got) == 0
+    same(trees.flat(got), trees.sibling_context(toks))
+    labels = features.label_features(rows)
+    assert exchanges(labels) == 0
+    same(labels, features.label_features(toks))
+
+
+def test_siblings_of_tokens_without_a_head(spark):
+    toks = spark.createDataFrame([(1, k, "ab"[k % 2], "vi", "det", h, 0) for k, h in enumerate([None, 1, None, 1, 2, None], 1)], SCHEMA)
+    same(trees.flat(trees.sibling_context(trees.grouped(toks))), trees.sibling_context(toks))
