@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from ..functions import scalars
+from ..functions import scalars, tags
 from .trees import flat, grouped
 
 
@@ -72,6 +76,98 @@ def rule_events(tokens: DataFrame) -> DataFrame:
     return e.select("sent_id", "tok_id", "type", F.col("f.k").alias("head_key"), F.col("f.r").alias("rule"), "word_order")
 
 
+_EVENT = pa.schema([("sent_id", pa.int64()), ("tok_id", pa.int32()), ("type", pa.int32()), ("word", pa.string()), ("base", pa.string()), ("rule", pa.string()), ("demand", pa.list_(pa.string())), ("first", pa.bool_())])
+
+
+def _coded(x: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """A number for each text and the texts by number."""
+    d = x.dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
+
+
+def _renamed(codes: np.ndarray, texts: list[str]) -> tuple[np.ndarray, list[str]]:
+    """As coded, for texts that may repeat."""
+    names = {x: k for k, x in enumerate(dict.fromkeys(texts))}
+    return np.array([names[x] for x in texts], np.int64)[codes], list(names)
+
+
+def _class(role: str) -> int:
+    first = role.split("/")[0]
+    return 1 if first in tags.COMPLEMENTS else 2 if first in tags.ADJUNCTS else 0
+
+
+def _batch_events(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Events of a batch of sentences. Tokens are numbered through; a head is found among its sentence's tokens by search."""
+    t, ids = rows.column("t"), rows.column("sent_id")
+    sentence = np.repeat(np.arange(len(ids)), np.diff(t.offsets.to_numpy()))
+    own = t.flatten()
+    keep = pc.and_(pc.is_valid(own.field("role")), pc.not_equal(own.field("word"), "_"))
+    keep = np.asarray(pc.fill_null(keep, False))
+    own, sentence = own.filter(pa.array(keep)), sentence[keep]
+    tok = own.field("tok_id").to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((tok, sentence))
+    own, sentence, tok = own.take(pa.array(order)), sentence[order], tok[order]
+    up = pc.fill_null(own.field("head"), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    role, roles = _coded(own.field("role"))
+    pos, poses = _coded(own.field("pos"))
+    base, bases = _renamed(pos, [x.split("-")[0] for x in poses])
+    kind = np.array([_class(x) for x in roles], np.int64)[role]
+    span = int(max(tok.max(initial=0), up.max(initial=0))) + 2
+    key, wanted = sentence * span + tok, sentence * span + up
+    n = len(key)
+    at = np.minimum(np.searchsorted(key, wanted), max(n - 1, 0))
+    has = (up >= 0) & (key[at] == wanted)
+    # complements by head, in order of position: a token's children are one run
+    kids = np.flatnonzero((kind == 1) & has)
+    kids = kids[np.argsort(at[kids], kind="stable")]
+    many = np.bincount(at[kids], minlength=n)
+    start = np.cumsum(many) - many
+    kind_of = np.where((kind == 1) & (many > 0), 1, np.where((kind == 2) & has, np.where(many > 0, 3, 2), 0))
+    event = np.flatnonzero(kind_of)
+    kind_of = kind_of[event]
+    # what is demanded: of an adjunct its head's tag first, then a complement's role, tag and side of the token or, of type 3, of its head
+    nb = max(len(bases), 1)
+    children = np.where(kind_of == 2, 0, many[event])
+    total = int(children.sum())
+    child = kids[np.arange(total) - np.repeat(np.cumsum(children) - children, children) + np.repeat(start[event], children)]
+    centre = np.repeat(np.where(kind_of == 3, up[event], tok[event]), children)
+    units = role[child] * nb + base[child]
+    head = event[kind_of != 1]
+    takes = role[head] * nb + base[at[head]]
+    codes = np.concatenate([((units * 2 + (tok[child] >= centre)) * 2), (takes * 2 + (up[head] > tok[head])) * 2 + 1])
+    order = np.argsort(np.concatenate([np.repeat(np.arange(len(event)), children) * 2 + 1, np.flatnonzero(kind_of != 1) * 2]), kind="stable")
+    named, codes = np.unique(codes[order], return_inverse=True)
+    names = [f"{roles[c // 4 // nb]}:{'<-a-' if c % 2 else '>-c-'}{bases[c // 4 % nb]}-{'R' if c // 2 % 2 else 'L'}" for c in named.tolist()]
+    offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
+    demand = pa.ListArray.from_arrays(offsets(children + (kind_of != 1)), pa.array(names, pa.string()).take(pa.array(codes)))
+    # the generic rule
+    unit, unit_codes = np.unique(np.concatenate([units, role[event] * nb + base[event]]), return_inverse=True)
+    unit = pa.array([f"[{bases[c % nb]}@{roles[c // nb]}]" for c in unit.tolist()], pa.string())
+    below = pc.binary_join(pa.ListArray.from_arrays(offsets(children), unit.take(pa.array(unit_codes[:total]))), ",")
+    self_ = unit.take(pa.array(unit_codes[total:]))
+    tag = pa.array([f"[{x}]" for x in bases], pa.string()).take(pa.array(np.where(kind_of == 1, base[event], base[at[event]])))
+    join = lambda *x: pc.binary_join_element_wise(*x, " --> ")
+    rule = pc.if_else(pa.array(kind_of == 1), join(tag, below), pc.if_else(pa.array(kind_of == 2), join(tag, self_), join(tag, self_, below)))
+    # the first of its rule in the sentence; a rule's text and type tell its key
+    same = rule.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) * 4 + kind_of
+    first = np.zeros(len(event), bool)
+    first[np.unique(sentence[event] * (int(same.max(initial=0)) + 1) + same, return_index=True)[1]] = True
+    cols = [ids.take(pa.array(sentence[event])), pa.array(tok[event].astype(np.int32)), pa.array(kind_of.astype(np.int32)), own.field("word").take(pa.array(event)), pa.array(bases, pa.string()).take(pa.array(base[event])), rule, demand, pa.array(first)]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, _EVENT)], schema=_EVENT)
+
+
+def event_demands(tokens: DataFrame) -> DataFrame:
+    """sent_id, tok_id, type, word, base, rule, demand, first: one row for each of rule_events() in its generic form, with its
+    demands (as scoring.rule_demands() lists them) from the tree itself; first marks one event of each rule in a sentence."""
+    own = lambda x: F.struct(*(x[c].alias(c) for c in ("tok_id", "word", "pos", "role", "head")))
+
+    def run(batches):
+        for b in batches:
+            yield _batch_events(b)
+
+    return grouped(tokens).select("sent_id", F.transform("t", own).alias("t")).mapInArrow(run, from_arrow_schema(_EVENT))
+
+
 def _share(counts: DataFrame, key: list[str]) -> DataFrame:
     """counts with p: n over the sum of n by key. Totals are joined, so a hot key is not one window."""
     return counts.join(counts.groupBy(*key).agg(F.sum("n").alias("total")), key).withColumn("p", F.col("n") / F.col("total")).drop("total")
