@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions import scalars, tags
+from .storage import stored
 from .trees import flat, grouped
 
 
@@ -57,23 +58,153 @@ def _rule(x, word: Column) -> Column:
     return F.when(x["type"] == 1, one).when(x["type"] == 2, up).otherwise(F.concat(up, F.lit(" --> "), x["child_units"]))
 
 
+_RULE = pa.schema([("sent_id", pa.int64()), ("tok_id", pa.int32()), ("type", pa.int32()), ("head_key", pa.string()), ("rule", pa.string()), ("word_order", pa.string())])
+
+
 def rule_events(tokens: DataFrame) -> DataFrame:
     """sent_id, tok_id, type, head_key, rule, word_order; specific (word/tag) and generic (tag) form of each rule.
 
     Type 1: a complement node with complement children. Type 2: an adjunct child without, type 3: an
-    adjunct child with complement children, both keyed by the child."""
-    t = flat(_node_rows(tokens), "nodes").where("type is not null")
-    text = lambda ranks: F.array_join(F.transform(ranks, lambda x: x.cast("string")), ",")
-    offsets = F.transform("child_ids", lambda x: x - F.col("tok_id"))
-    # type 3 ranks the head together with the grandchildren
-    t = t.withColumn("ranks", F.when(F.col("type") == 1, relative_order(offsets)).when(F.col("type") == 3, relative_order(F.concat(F.array(F.col("head") - F.col("tok_id")), offsets))))
-    order2 = F.when(F.col("head") > F.col("tok_id"), "1 --> 0").otherwise("-1 --> 0")
-    order3 = F.concat(F.element_at("ranks", 1).cast("string"), F.lit(" --> 0 --> "), text(F.slice("ranks", 2, F.size("ranks"))))
-    order = F.when(F.col("type") == 1, F.concat(F.lit("0 --> "), text(F.col("ranks")))).when(F.col("type") == 2, order2).otherwise(order3)
-    rule = lambda w: _rule({c: F.col(c) for c in ("type", "base", "head_base", "unit", "child_units")}, w)
-    forms = F.array(F.struct(F.concat("word", F.lit("/"), "base").alias("k"), rule(F.col("word")).alias("r")), F.struct(F.col("base").alias("k"), rule(F.lit("")).alias("r")))
-    e = t.select("sent_id", "tok_id", "type", order.alias("word_order"), F.explode(forms).alias("f"))
-    return e.select("sent_id", "tok_id", "type", F.col("f.k").alias("head_key"), F.col("f.r").alias("rule"), "word_order")
+    adjunct child with complement children, both keyed by the child. Those of a batch of sentences are found in numpy."""
+    own = lambda x: F.struct(*(x[c].alias(c) for c in ("tok_id", "word", "pos", "role", "head")))
+
+    def run(batches):
+        for b in batches:
+            yield _batch_rules(b)
+
+    return grouped(tokens).select(F.col("sent_id").cast("long"), F.transform("t", own).alias("t")).mapInArrow(run, from_arrow_schema(_RULE))
+
+
+_GROUP = pa.schema([("type", pa.int32()), ("head_key", pa.string()), ("rule", pa.string()), ("word_order", pa.string()), ("n", pa.int64()), ("trees", pa.list_(pa.int64()))])
+
+
+def rule_groups(tokens: DataFrame) -> DataFrame:
+    """type, head_key, rule, word_order, n, trees: rule_events() counted up, with their distinct trees. A row for each batch of
+    sentences that has such events: generic rules are few in a batch, so that most of their events never become rows."""
+    own = lambda x: F.struct(*(x[c].alias(c) for c in ("tok_id", "word", "pos", "role", "head")))
+
+    def run(batches):
+        for b in batches:
+            yield _grouped_rules(_batch_rules(b))
+
+    return grouped(tokens).select(F.col("sent_id").cast("long"), F.transform("t", own).alias("t")).mapInArrow(run, from_arrow_schema(_GROUP))
+
+
+def rule_trees(tokens: DataFrame) -> DataFrame:
+    """type, head_key, rule, n: trees that have the rule. A sentence is one row, so its events meet in one batch."""
+    own = lambda x: F.struct(*(x[c].alias(c) for c in ("tok_id", "word", "pos", "role", "head")))
+    keys = _GROUP.names[:3]
+
+    def run(batches):
+        for b in batches:
+            t = pa.Table.from_batches([_batch_rules(b)]).group_by([*keys, "sent_id"], use_threads=False).aggregate([])
+            t = t.group_by(keys, use_threads=False).aggregate([([], "count_all")]).rename_columns([*keys, "n"])
+            yield from t.cast(pa.schema(list(_GROUP)[:3] + [_GROUP.field("n")])).to_batches()
+
+    g = grouped(tokens).select(F.col("sent_id").cast("long"), F.transform("t", own).alias("t"))
+    return g.mapInArrow(run, "type int, head_key string, rule string, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def _grouped_rules(events: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows of rule_groups() of a batch's events."""
+    keys = _GROUP.names[:4]
+    n = np.zeros(len(events), np.int64)
+    for c in keys:
+        n = np.unique(n * (len(events) + 2) + events.column(c).dictionary_encode().indices.fill_null(len(events)).to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)[1].reshape(-1)
+    ids = events.column("sent_id").to_numpy(zero_copy_only=False)
+    order = np.lexsort((ids, n))
+    n, ids = n[order], ids[order]
+    new = np.concatenate([[True], n[1:] != n[:-1]])[: len(n)]
+    other = new | np.concatenate([[True], ids[1:] != ids[:-1]])[: len(n)]
+    at = np.flatnonzero(new)
+    sizes = np.diff(np.append(at, len(n)))
+    trees = np.diff(np.append(np.searchsorted(np.flatnonzero(other), at), int(other.sum())))
+    first = events.take(pa.array(order[at]))
+    return pa.RecordBatch.from_arrays([*(first.column(c) for c in keys), pa.array(sizes), _lists(trees, pa.array(ids[other]))], schema=_GROUP)
+
+
+def _lists(sizes: np.ndarray, items: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), items)
+
+
+def _ranks(event: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """relative_order() of each event's offsets."""
+    span = 2 * int(np.abs(offset).max(initial=0)) + 1
+    seen, at = np.unique(event * span + offset + span // 2, return_inverse=True)
+    e, o = seen // span, seen % span - span // 2
+    at = at.reshape(-1)
+    # offsets of an event are a run of seen: right of them ranks count from the first positive, left of them back from the last negative one
+    up_to, below = np.searchsorted(seen, e * span + span // 2, "right"), np.searchsorted(seen, e * span + span // 2)
+    k = np.arange(len(seen))
+    return np.where(o > 0, k - up_to + 1, np.where(o < 0, k - below, 0))[at]
+
+
+def _batch_rules(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Both forms of the events of a batch of sentences. Tokens are numbered through; heads and children are found by search."""
+    t, ids = rows.column("t"), rows.column("sent_id")
+    sentence = np.repeat(np.arange(len(ids)), np.diff(t.offsets.to_numpy()))
+    own = t.flatten()
+    keep = np.asarray(pc.fill_null(pc.and_kleene(pc.not_equal(own.field("word"), "_"), pc.is_valid(own.field("tok_id"))), False))
+    own, sentence = own.filter(pa.array(keep)), sentence[keep]
+    tok = own.field("tok_id").to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((tok, sentence))
+    own, sentence, tok = own.take(pa.array(order)), sentence[order], tok[order]
+    up = pc.fill_null(own.field("head"), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = np.asarray(pc.is_valid(own.field("head")))
+    tagged = np.asarray(pc.is_valid(own.field("pos")))
+    role, roles = _coded(pc.fill_null(own.field("role"), ""))
+    pos, poses = _coded(pc.fill_null(own.field("pos"), ""))
+    base, bases = _renamed(pos, [x.split("-")[0] for x in poses])
+    kind = np.array([_class(x) for x in roles], np.int64)[role]
+    low = int(min(tok.min(initial=0), up.min(initial=0)))
+    span = int(max(tok.max(initial=0), up.max(initial=0))) - low + 1
+    key, wanted = sentence * span + tok - low, sentence * span + up - low
+    n = len(key)
+    at = np.minimum(np.searchsorted(key, wanted), max(n - 1, 0))
+    has = known & (key[at] == wanted)
+    # complements by head, in order of position: a token's children are one run
+    kids = np.flatnonzero((kind == 1) & known)
+    kids = kids[np.argsort(wanted[kids], kind="stable")]
+    start = np.searchsorted(wanted[kids], key)
+    many = np.searchsorted(wanted[kids], key, "right") - start
+    under = has & tagged[at]
+    kind_of = np.where((kind == 1) & (many > 0), 1, np.where((kind == 2) & under, np.where(many > 0, 3, 2), 0))
+    event = np.flatnonzero(kind_of)
+    kind_of = kind_of[event]
+    children = np.where(kind_of == 2, 0, many[event])
+    total, m = int(children.sum()), len(event)
+    of = np.repeat(np.arange(m), children)
+    child = kids[np.arange(total) - np.repeat(np.cumsum(children) - children, children) + np.repeat(start[event], children)]
+    # places of the head, of type 3, and of the children
+    heads = np.flatnonzero(kind_of == 3)
+    ranks = _ranks(np.concatenate([heads, of]), np.concatenate([up[event[heads]], tok[child]]) - tok[event[np.concatenate([heads, of])]])
+    numbers, codes = np.unique(ranks, return_inverse=True)
+    texts = pa.array([str(x) for x in numbers.tolist()], pa.string()).take(pa.array(codes.reshape(-1)))
+    join = lambda *x: pc.binary_join_element_wise(*x, "")
+    first = np.zeros(m, np.int64)
+    first[heads] = np.arange(len(heads))
+    placed = pc.binary_join(_lists(children, texts.slice(len(heads))), ",")
+    one, two = pa.array(kind_of == 1), pa.array(kind_of == 2)
+    lead = pc.if_else(one, "0", texts.take(pa.array(first)) if len(heads) else pa.array([None] * m, pa.string()))
+    side = pc.if_else(pa.array(up[event] > tok[event]), "1 --> 0", "-1 --> 0")
+    word_order = pc.if_else(two, side, join(pc.if_else(one, "0 --> ", join(lead, " --> 0 --> ")), placed))
+    # units; those without a tag are not listed
+    nb = max(len(bases), 1)
+    listed = tagged[child] & np.asarray(pc.is_valid(own.field("role")))[child]
+    unit, unit_codes = np.unique(np.concatenate([role[child[listed]] * nb + base[child[listed]], role[event] * nb + base[event]]), return_inverse=True)
+    unit = pa.array([f"[{bases[c % nb]}@{roles[c // nb]}]" for c in unit.tolist()], pa.string())
+    unit_codes, some = unit_codes.reshape(-1), int(listed.sum())
+    below = pc.binary_join(_lists(np.bincount(of[listed], minlength=m), unit.take(pa.array(unit_codes[:some]))), ",")
+    own_base = pa.array(bases, pa.string()).take(pa.array(base[event], mask=~tagged[event]))
+    self_ = pc.if_else(pa.array(tagged[event]), unit.take(pa.array(unit_codes[some:])), pa.scalar(None, pa.string()))
+    tag = join("[", pc.if_else(one, own_base, pa.array(bases, pa.string()).take(pa.array(base[at[event]]))), "]")
+    tail = pc.if_else(one, join(" --> ", below), pc.if_else(two, self_, join(self_, " --> ", below)))
+    word = own.field("word").take(pa.array(event))
+    generic = join(tag, pc.if_else(one, "", " --> "), tail)
+    specific = pc.if_else(one, join(word, tag, tail), join(tag, " --> ", word, tail))
+    cols = [ids.take(pa.array(sentence[event])), pa.array(tok[event].astype(np.int32)), pa.array(kind_of.astype(np.int32)), join(word, "/", own_base), specific, word_order]
+    cols = [pa.concat_arrays([c.cast(f.type), (other if other is not None else c).cast(f.type)]) for c, f, other in zip(cols, _RULE, (None, None, None, own_base, generic, None))]
+    return pa.RecordBatch.from_arrays(cols, schema=_RULE)
 
 
 _EVENT = pa.schema([("sent_id", pa.int64()), ("tok_id", pa.int32()), ("type", pa.int32()), ("word", pa.string()), ("base", pa.string()), ("rule", pa.string()), ("demand", pa.list_(pa.string())), ("first", pa.bool_())])
@@ -174,10 +305,13 @@ def _share(counts: DataFrame, key: list[str]) -> DataFrame:
 
 
 def rule_probabilities(events: DataFrame) -> DataFrame:
-    """level rule: P(rule | type, head_key); level order: P(order | type, rule). Columns level, type, key, outcome, n, p."""
-    # events are counted once, in tasks before they move; dealt by rule, the counts give both levels' sums and the
-    # totals and joins of the level order without a further exchange
-    counts = events.groupBy("type", "head_key", "rule", "word_order").agg(F.count("*").alias("n")).repartition("type", "rule")
+    """level rule: P(rule | type, head_key); level order: P(order | type, rule). Columns level, type, key, outcome, n, p.
+    events: rule_events(), or with n, how often each was counted, in a table that is cheap to read twice."""
+    # events are counted once, in tasks before they move, and stored: else each level would count them anew, as Spark filters
+    # and narrows both differently. Dealt by rule, the counts give the sums, totals and joins of the level order without a further exchange
+    by = ("type", "head_key", "rule", "word_order")
+    counts = events.select(*by, "n") if "n" in events.columns else stored(events.groupBy(*by).agg(F.count("*").alias("n")), "rule-counts")
+    counts = counts.repartition("type", "rule")
     rules = _share(counts.groupBy("type", "head_key", "rule").agg(F.sum("n").alias("n")), ["type", "head_key"])
     orders = _share(counts.groupBy("type", "rule", "word_order").agg(F.sum("n").alias("n")), ["type", "rule"])
     a = rules.select(F.lit("rule").alias("level"), "type", F.col("head_key").alias("key"), F.col("rule").alias("outcome"), "n", "p")
